@@ -1,0 +1,61 @@
+"""The corpus pipeline: five stages over `documents`, each on all that the one before has kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from facetry.llm import bpe, decontaminate, langid, line_dedup, simhash
+from facetry.llm.common import by_id, documents, ready, small, written
+from facetry.llm.queries import held_out, vocabulary
+
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return by_id(docs, small(written(verdicts.select("doc_id").distinct(), "verdicts"), 16), how="left_anti")
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no text, no letter.  `lang` stays what the table says."""
+    ready(spark)
+    model = langid.train(docs.where(~held_out()))
+    return _without(docs, langid.detect(docs, model).where("lang_pred = 'und'"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated lines; n_chars follows the text.  A document keeps its row even if nothing else is left of it."""
+    ready(spark)
+    out = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    ready(spark)
+    groups = simhash.near_duplicates(docs)
+    return _without(docs, groups.where("doc_id <> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that benchmark windows cover to a twentieth or more."""
+    ready(spark)
+    return _without(docs, decontaminate.decontaminate(docs, documents(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): what a trainer reads; ids are little-endian unsigned 32-bit integers."""
+    ready(spark)
+    words = vocabulary()
+    return bpe.encode(docs, words, bpe.build_lexicon(docs, words))
+
+
+STAGES = [("language ID", identify_languages), ("line dedup", dedup_lines), ("SimHash near-dedup", dedup_near), ("benchmark decontamination", drop_contaminated), ("BPE encoding", encode)]
+#: Language ID, SimHash and BPE are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each is written to the shared folder and read again."""
+    ready(spark)
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,153 @@
+"""Language identification by inference of a multilingual mixture.
+
+A language is a distribution over hashed byte trigrams, counted over all labelled texts.  A document is a mixture of
+languages; expectation-maximisation estimates the proportions, and the set of languages is the one with the best
+likelihood after a penalty for each language beyond the first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks
+
+BINS_LOG2 = 15
+BINS = 1 << BINS_LOG2
+#: More distinct labels than this are refused: the model is collected, one row of BINS numbers for each language.
+MOST_LANGUAGES = 512
+#: A language with less than this share after the first fit is not a candidate.
+LEAST_SHARE = 0.01
+
+
+def _classes() -> np.ndarray:
+    """0 for what separates words (ASCII that isn't a letter), A-Z as a-z, bytes beyond ASCII as they are."""
+    c = np.zeros(256, np.uint32)
+    c[97:123] = c[65:91] = np.arange(1, 27)
+    c[128:] = np.arange(128, 256)
+    return c
+
+
+_CLASS = _classes()
+
+
+def trigram_bins(text: np.ndarray) -> np.ndarray:
+    """The bin of each trigram around a letter; the text counts as standing between spaces."""
+    c = np.zeros(len(text) + 2, np.uint32)
+    c[1:-1] = _CLASS[text]
+    code = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
+    return ((code[c[1:-1] != 0] * np.uint32(2654435761)) >> np.uint32(32 - BINS_LOG2)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, np.ndarray] = {}
+    for b in batches:
+        langs = b.column(0).to_pylist()
+        for row, buf, offsets in blocks(b.column(1)):
+            for i in range(len(offsets) - 1):
+                own = total.setdefault(langs[row + i], np.zeros(BINS, np.int64))
+                for at in range(offsets[i], offsets[i + 1], 1 << 20):  # trigrams across the cuts of a very long text are left out of the counts
+                    own += np.bincount(trigram_bins(buf[at : min(at + (1 << 20), offsets[i + 1])]), minlength=BINS)
+    for lang, n in total.items():
+        bins = np.flatnonzero(n)
+        if len(bins):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins.astype(np.int32)), pa.array(n[bins])], names=["lang", "bin", "n"])
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    #: Probability of each bin in each language.
+    p: np.ndarray
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts trigrams by language over all rows with a text and a label; tasks send sums, never texts."""
+    base = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    sums = base.mapInArrow(_counts, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).persist()
+    try:
+        languages = [r[0] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+        if len(languages) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+        languages.sort()
+        table = sums.toPandas()
+    finally:
+        sums.unpersist()
+    n = np.zeros((len(languages), BINS))
+    if len(table):
+        n[np.searchsorted(languages, table["lang"].to_numpy(dtype=str)), table["bin"].to_numpy()] = table["n"].to_numpy()
+    return Model(languages, ((n + 0.1) / (n + 0.1).sum(axis=1, keepdims=True)).astype(np.float64) if languages else n)
+
+
+def fit(p: np.ndarray, counts: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Proportions of the languages with probabilities p (languages x trigrams), and the log-likelihood, by EM."""
+    share = np.full(len(p), 1 / len(p))
+    n = counts.sum()
+    if len(p) == 1:
+        return share, float(counts @ np.log(p[0]))
+    for _ in range(steps):
+        new = share * (p @ (counts / (share @ p))) / n
+        moved = np.abs(new - share).max()
+        share = new
+        if moved < 2e-3:
+            break
+    return share, float(counts @ np.log(share @ p))
+
+
+def identify(text: np.ndarray, model: Model, penalty: float) -> tuple[list[tuple[int, float]], float]:
+    """Chosen languages with their proportions, largest first."""
+    bins = trigram_bins(text)
+    if len(bins) > 4096:
+        n = np.bincount(bins, minlength=BINS)
+        bins = np.flatnonzero(n)
+        counts = n[bins].astype(float)
+    else:
+        bins, counts = np.unique(bins, return_counts=True)
+        counts = counts.astype(float)
+    p = model.p[:, bins]
+    single = np.log(p) @ counts
+    best = ([(int(single.argmax()), 1.0)], float(single.max()))
+    if len(model.languages) == 1 or not len(bins):
+        return best
+    cost = penalty * np.log(counts.sum() + 1)
+    share, _ = fit(p, counts)
+    order = np.argsort(-share, kind="stable")
+    order = order[share[order] >= LEAST_SHARE]
+    for k in range(2, len(order) + 1):
+        own, value = fit(p[order[:k]], counts)
+        value -= cost * (k - 1)
+        if value <= best[1]:
+            break
+        best = (sorted(((int(j), float(w)) for j, w in zip(order[:k], own)), key=lambda x: (-x[1], x[0])), value)
+    return best
+
+
+def detect(docs: DataFrame, model: Model, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, mixture): one row per row of `docs`, extra columns ignored.
+
+    mixture is an array of (lang, share), largest first; lang_pred is the first and score its share.  A null text, one
+    without a letter, and every text if no language was learned: `und`, score 0, empty mixture.  Ties go to the language
+    that sorts first.  Whole texts are used."""
+    spark = docs.sparkSession
+    own = spark.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = own.value
+        for b in batches:
+            lettered, pred, score, mixture = b.column(2).to_pylist(), ["und"] * b.num_rows, np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
+            for row, buf, offsets in blocks(b.column(1)):
+                for i in range(len(offsets) - 1):
+                    if lettered[row + i] and m.languages:
+                        found, _ = identify(buf[offsets[i] : offsets[i + 1]], m, penalty)
+                        pred[row + i], score[row + i] = m.languages[found[0][0]], min(1.0, found[0][1])
+                        mixture[row + i] = [{"lang": m.languages[j], "share": w} for j, w in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(mixture, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], names=["doc_id", "lang_pred", "score", "mixture"])
+
+    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lettered.alias("lettered")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
