@@ -24,6 +24,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import scratch
 
@@ -309,7 +310,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     """All columns of `encoded` and `decoded`, the text of its ids; special tokens are kept.  Null ids give an empty text."""
     own, key = encoded.sparkSession.sparkContext.broadcast(vocabulary), _name(vocabulary)
     at, names = encoded.columns.index(ids_col), [*encoded.columns, "decoded"]
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(own, key, None)
