@@ -193,15 +193,17 @@ def contents(catalog: Catalog, df: DataFrame, result: Result, s: Select, scope:
                     out.append((alias, e.embedded(node.range.shape, node.value.column, p)))
         return e.df, out
     if q.alternatives:
-        return e.df, [("", e.union(s.root.range, [c for _, c in s.root.value.parts], {str(k): m for k, m in q.alternatives.items()}))]
+        own = e.union(s.root.range, [c for _, c in s.root.value.parts], {str(k): m for k, m in q.alternatives.items()})
+        return e.df, [("", own)]
     if q.template:
         shape, access, key = s.root.access[0]
         if access is None:
-            own = e.cell(s.root.range, key, {k: m for k, m in q.template.items()})
+            own = e.cell(s.root.range, key, dict(q.template))
             return e.df, [("", own)]
         out = e.members(shape, access, key, q)
         return e.df, out
     if isinstance(s.root.range, Union):
-        return e.df, [("", e.union(s.root.range, [c for _, c in s.root.value.parts], {}))]
+        own = e.union(s.root.range, [c for _, c in s.root.value.parts], {})
+        return e.df, [("", own)]
     return e.df, [("", s.root.value.column)]
 

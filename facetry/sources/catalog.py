@@ -7,12 +7,22 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shapes import Shape
+from ..shapes import InColumn, InVariants, Property, Shape
 
 #: The column of a frame that holds the classes of its rows, their own first.
 LINEAGE = "__lineage"
 
 
+def columns(p: Property) -> tuple[str, ...]:
+    """The columns of the holder's frame that a property is read from."""
+    match p.storage:
+        case InColumn(name):
+            return (name,)
+        case InVariants(names):
+            return names
+    return ()
+
+
 class Catalog:
     """Frames by class and link tables by name; frames are made when they are first read and never cached here."""
 
@@ -61,9 +71,13 @@ class Catalog:
 
     def extent(self, shape: Shape) -> DataFrame:
         """All rows of a class, those of its subclasses included, with their lineage."""
-        frames = [self.frame(s).withColumn(LINEAGE, F.array(*map(F.lit, s.lineage))) for s in self.concrete(shape)]
+        concrete = self.concrete(shape)
+        frames = [self.frame(s).withColumn(LINEAGE, F.array(*map(F.lit, s.lineage))) for s in concrete]
         if not frames:
             raise KeyError(f"no frame is bound to {shape.name} or a subclass")
+        if concrete != [shape]:  # of subclasses, what they share
+            own = [shape.key, *(c for p in shape.properties.values() for c in columns(p)), LINEAGE]
+            frames = [f.select(*dict.fromkeys(c for c in own if c in f.columns)) for f in frames]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
