@@ -130,7 +130,7 @@ def literal(r: Range, operand: Any) -> Column | None:
 
 
 def matches(v: Value, option: Any) -> Column:
-    """Whether a value is an option; never null, and never an error: another type is no match."""
+    """Whether a value is an option; another type is no match (false or null) and never an error."""
     if option is None:
         return ~v.present
     if isinstance(option, dict):
@@ -139,7 +139,7 @@ def matches(v: Value, option: Any) -> Column:
     for r, c in v.parts:
         own = literal(r, option)
         if own is not None and not isinstance(r, Embedded):
-            found = found | F.coalesce(c == own, F.lit(False))
+            found = found | (c == own)
     return found
 
 

@@ -43,14 +43,15 @@ class Result:
 
 
 def compare(v: Value, op: str, operand: Any) -> Column:
-    """Whether some variant compares so; a bound picks the variants of its tier, others fail."""
+    """Whether some variant compares so (null or false if not: what a filter takes for no, and a scan can evaluate);
+    a bound picks the variants of its tier, others fail."""
     found, kinds = F.lit(False), set()
     for r, c in sorted(v.parts, key=lambda p: tier(p[0])):
         own = literal(r, operand)
         if own is None or (kinds and tier(r) == TEXT and TEMPORAL in kinds):
             continue
         kinds.add(tier(r))
-        found = found | F.coalesce({"<": c < own, ">": c > own, "<=": c <= own, ">=": c >= own}[op], F.lit(False))
+        found = found | {"<": c < own, ">": c > own, "<=": c <= own, ">=": c >= own}[op]
     return found
 
 
@@ -77,7 +78,7 @@ def _any(v: Value, own: list[Any]) -> Column:
     if len(own) > 1 and len(v.parts) == 1 and not any(isinstance(o, dict) or o is None for o in own) and not v.maps:
         r, column = v.parts[0]
         known = [x for x in (literal(r, o) for o in own) if x is not None]
-        return F.coalesce(column.isin(*known), F.lit(False)) if known else F.lit(False)
+        return column.isin(*known) if known else F.lit(False)
     found = F.lit(False)
     for o in own:
         found = found | matches(v, o)

@@ -1,0 +1,58 @@
+"""The HTTP store over a stub transport."""
+
+import base64
+import json
+
+import pytest
+from toys import Vendor
+
+from facetry.shapes import ShapeError
+from facetry.sources.rest import Problem, Response, RestStore, accept_language
+from facetry.validate import EntryError
+
+STATE = {"code": "1", "name": "a"}
+
+
+def stub(*responses):
+    calls, left = [], list(responses)
+
+    def send(method, url, headers, body):
+        calls.append((method, url, dict(headers), body))
+        return left.pop(0)
+
+    return RestStore(send), calls
+
+
+def test_lookup():
+    store, calls = stub(Response(200, {}, '{"name": "a"}'), Response(404), Response(500), Response(200, {}, "{"), Response(200, {}, '{"odd": 1}'))
+    assert store.lookup("http://x/v/1", Vendor, {"name": {}}, ["it", "en"]) == {"name": "a"}
+    method, url, headers, body = calls[0]
+    assert method == "GET" and json.loads(base64.b64decode(url.split("?")[1])) == {"name": {}} and body is None
+    assert headers["Accept-Language"] == "it;q=1, en;q=0.667, *;q=0.333"
+    assert store.lookup("http://x/v/2", Vendor, {}) is None and calls[1][1] == "http://x/v/2"
+    for _ in range(3):
+        with pytest.raises(Problem):
+            store.lookup("http://x/v/1", Vendor, {"name": {}})
+    with pytest.raises(EntryError):
+        store.lookup("http://x/v/1", Vendor, {}, virtual=True)
+    with pytest.raises(ShapeError):
+        store.lookup("http://x/v/1", Vendor, {"odd": {}})
+
+
+def test_writes():
+    store, calls = stub(Response(201, {"Location": "1"}), Response(409), Response(201), Response(201, {"location": "http://y/1"}), Response(204), Response(404), Response(204), Response(404), Response(404), Response(404))
+    assert store.create("http://x/v/", Vendor, STATE) == "http://x/v/1" and store.create("http://x/v/", Vendor, STATE) is None
+    for _ in range(2):
+        with pytest.raises(Problem):
+            store.create("http://x/v/", Vendor, STATE)
+    one = "http://x/v/1"
+    assert store.update(one, Vendor, STATE) == one and store.update(one, Vendor, STATE) is None
+    assert store.insert(one, Vendor, STATE) == one and calls[-1][2]["Prefer"] == "handling=lenient"
+    with pytest.raises(Problem):
+        store.insert(one, Vendor, STATE)
+    assert store.delete(one, Vendor) is None and "Prefer" not in calls[-1][2]
+    assert store.remove(one, Vendor) == one and calls[-1][2]["Prefer"] == "handling=lenient"
+
+
+def test_weights():
+    assert accept_language(["en"]) == "en;q=1, *;q=0.5"
