@@ -102,7 +102,7 @@ def _send(owners_log2: int):
 
 
 def _answer(owners_log2: int):
-    def run(key, sent: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
         """An owner's bitmaps: which of a chunk's fingerprints a second document has, in the chunk or in another."""
         values = [ungolomb(c, n) for c, n in zip(sent["code"], sent["n"])]
         every, times = np.unique(np.concatenate(values), return_counts=True)

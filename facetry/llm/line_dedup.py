@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_
     when all lines go.  Columns named in `carry` come along; other columns are ignored."""
     maps = written(keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), "bitmaps")
     base = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("of")).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
-    marked = by_id(base, small(maps, 96)).withColumn("dense", F.expr(_DENSE))
+    marked = by_id(base, small(maps, 64, "24 * size(words)")).withColumn("dense", F.expr(_DENSE))
     kept = F.expr(_KEPT)
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     return marked.select(

@@ -89,7 +89,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     """Fits on the rows given, (shard, text, label); rows with a null label are left out, null texts are empty."""
     own = labelled.select("shard", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("double").alias("label")).where("label is not null")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["text", "label"], kind="stable").sample(frac=1, random_state=7)
         bias, w = ftrl(pa.array(rows["text"], pa.string()), rows["label"].to_numpy(), epochs, alpha, beta, l1, l2)
         at = np.flatnonzero(w)
