@@ -230,13 +230,15 @@ class Select:
 
     def _ungrouped(self) -> Result:
         rows, p = self.rows, self.plan
-        for c in (*p.ordering, *p.focusing):
-            if not aggregates(c.expression):
-                rows.node(c.expression.path)
         admitted = self._admitted(rows)
         self._divided(self._filtered(rows))
         if admitted is not None:
             rows.df = rows.df.where(admitted)
+        if rows.fanned and not p.projection:
+            rows = self.rows = self._matched(rows)
+        for c in (*p.ordering, *p.focusing):
+            if not aggregates(c.expression):
+                rows.node(c.expression.path)
         reductions = self._reductions(rows) if p.itemised else {}
         for c in p.of("<", ">", "<=", ">=", "~", "?", "!", aggregate=True):
             if str(c.expression) in reductions:
@@ -246,10 +248,7 @@ class Select:
                 rows.df = rows.df.where(F.lit(None in options(c.value)) if c.op in "?!" else F.lit(False))
         values = {str(c.expression): reductions[str(c.expression)] if str(c.expression) in reductions else self.value(rows, c.expression) for c in (*p.ordering, *p.focusing) if not aggregates(c.expression) or str(c.expression) in reductions}
         if not p.projection:
-            order = self._ordered(values, self.root.value.order)
-            if rows.fanned:
-                rows.df = self._first(rows.df, [*self.keys, self.item], order)
-            return Result(rows.df, order, rows)
+            return Result(rows.df, self._ordered(values, self.root.value.order), rows)
         cells = [self._cell(rows, b) for b in p.query.bindings]
         order = self._ordered(values, self.root.value.order)
         alone = not rows.fanned and self.root.access and self.root.access[0][0].key and any(not b.expression.pipe and b.expression.path in ((), ("id",)) for b in p.query.bindings)
@@ -257,6 +256,17 @@ class Select:
             rows.df = self._first(rows.df, [*self.keys, *(k for _, k, _, _ in cells)], order if (p.ordering or p.focusing or p.query.limit or p.query.offset) else None)
         return Result(rows.df, order, rows, cells)
 
+    def _matched(self, rows: Rows) -> Rows:
+        """The members that some row of a fan-out speaks for: their keys are made distinct on their own, which combines
+        on the map side, and the members' columns meet them in a semi-join."""
+        own = rows.df.select(self.item.alias("__k"), *([F.col(OWNER).alias("__o")] if self.owned else [])).distinct()
+        on = self.item.eqNullSafe(own["__k"])
+        if self.owned:
+            on = on & F.col(OWNER).eqNullSafe(own["__o"])
+        fresh = self._rows(frozenset())
+        fresh.df = fresh.df.join(own, on, "left_semi")
+        return fresh
+
     def _first(self, df: DataFrame, by: list[Column], order: list[Column] | None) -> DataFrame:
         """One row for each combination of keys: the first in order, any if none is asked for."""
         names = [f"__d{k}" for k in range(len(by))]
