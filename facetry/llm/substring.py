@@ -25,7 +25,7 @@ from .common import NOT_SPACE, U, blocks, by_id, byte_table, grams, small, spans
 
 GRAM = 12
 #: Distinct segments that a shard is meant to hold; an anchor with more than CROWDED is dealt out window by window.
-SHARD, CROWDED = 24_000, 4_096
+SHARD, CROWDED = 12_000, 4_096
 _TABLE = byte_table(NOT_SPACE, fold=False)
 
 
@@ -206,13 +206,14 @@ def repeated(contents: list[bytes], times: np.ndarray, window: int) -> list[np.n
     return flags
 
 
-def _runs(flags: np.ndarray) -> list[list[int]]:
+def _runs(flags: np.ndarray) -> list[int]:
+    """Runs of set flags, each as one number: its begin in the upper 32 bits, its end in the lower."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return edge.reshape(-1, 2).tolist()
+    return ((edge[::2] << 32) | edge[1::2]).tolist()
 
 
 def _indexed(window: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         flags = repeated(list(rows["content"]), rows["times"].to_numpy(np.int64), window)
         found = [_runs(f) for f in flags]
         some = [bool(f) for f in found]
@@ -234,8 +235,8 @@ def _removed(window: int):
                     total.append(len(own))
                     if runs:
                         keep = np.ones(len(own), bool)
-                        for a, z in runs:
-                            keep[a : z + window - 1] = False
+                        for r in runs:
+                            keep[r >> 32 : (r & 0xFFFFFFFF) + window - 1] = False
                         own = [w for w, k in zip(own, keep.tolist()) if k]
                     gone.append(total[-1] - len(own))
                     texts.append(b" ".join(own))
@@ -249,10 +250,10 @@ _KEY = "struct<id:bigint,text:bigint>"
 
 
 def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """(doc_id, runs) of `docs` (doc_id a _KEY, text): [first, end) of the windows of each document that occur elsewhere."""
+    """(doc_id, runs) of `docs` (doc_id a _KEY, text): runs of the windows of each document that occur elsewhere (see _runs)."""
     marks = written(docs.mapInArrow(_anchors(window, gram), f"doc_id {_KEY}, anchor long, seg long, start int, n int"), "segments")
     twice = written(marks.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("of")), "anchors")
-    met = written(marks.join(small(twice, 24), F.col("anchor") == F.col("of"), "left_semi"), "met")
+    met = written(marks.join(twice, F.col("anchor") == F.col("of"), "left_semi"), "met")
     classes = met.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "n")).alias("at"))
     classes = written(classes.select("anchor", "seg", "times", "at.doc_id", "at.start", "at.n"), "classes")
     # anchors before very many different words: their segments are dealt out by window
@@ -260,7 +261,7 @@ def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFr
     named = classes.join(small(crowded, 24), F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     chosen = written(named.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "times", "start", "n", "crowded")).alias("chosen")), "chosen")
     total = classes.count()
-    texts = by_id(docs.select("doc_id", "text"), small(chosen, 600), how="inner").select("text", "chosen").mapInArrow(_texts(window), "anchor long, seg long, times long, crowded boolean, place int, content binary")
+    texts = by_id(docs.select("doc_id", "text"), chosen, how="inner").select("text", "chosen").mapInArrow(_texts(window), "anchor long, seg long, times long, crowded boolean, place int, content binary")
     texts = written(texts, "contents")
     shards = max(1, -(-total // SHARD))
     plain = texts.where("not crowded").select("anchor", "seg", "times", "content", F.pmod("anchor", F.lit(shards)).alias("shard"))
@@ -268,14 +269,15 @@ def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFr
     apart = texts.where("crowded").select("anchor", "seg", "place", F.xxhash64("content").alias("unit"), "times", "content")
     units = apart.groupBy("unit").agg(F.sum("times").alias("times"), F.first("content").alias("content"))
     dealt = units.select(F.lit(0).cast("long").alias("anchor"), F.col("unit").alias("seg"), "times", "content", F.pmod("unit", F.lit(shards)).alias("shard"))
-    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, runs array<array<int>>"), "found")
+    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, runs array<bigint>"), "found")
     # a unit's key is its own hash and anchor 0; no segment's anchor is looked up with it
     hit = found.where("anchor = 0").select(F.col("seg").alias("u"))
     back = apart.select("anchor", "seg", "place", "unit").join(small(hit, 24), F.col("unit") == F.col("u")).groupBy("anchor", "seg").agg(F.collect_set("place").alias("p"))
-    back = back.select("anchor", "seg", F.transform("p", lambda p: F.array(p, p + 1)).alias("runs"))
+    back = back.select("anchor", "seg", F.transform("p", lambda p: F.shiftleft(p.cast("long"), 32) + p + 1).alias("runs"))
     runs = written(found.where("anchor <> 0").unionByName(back), "runs").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "runs")
-    hits = met.join(small(runs, 64), (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
-    return hits.select("doc_id", F.explode("runs").alias("r"), "start").select("doc_id", F.transform("r", lambda x: x + F.col("start")).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+    hits = met.join(runs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
+    start = F.col("start").cast("long")
+    return hits.select("doc_id", F.explode("runs").alias("r"), "start").select("doc_id", (F.col("r") + F.shiftleft(start, 32) + start).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,5 +290,5 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
     base = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
     runs = written(repeated_runs(base, window), "document-runs")
-    out = by_id(base, small(runs, 200)).mapInArrow(_removed(window), f"doc_id {_KEY}, text string, n_words long, n_removed long")
+    out = by_id(base, runs).mapInArrow(_removed(window), f"doc_id {_KEY}, text string, n_words long, n_removed long")
     return out.select(F.col("doc_id.id").alias("doc_id"), "text", "n_words", "n_removed")
