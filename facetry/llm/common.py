@@ -25,8 +25,17 @@ SPACES = "\t\n\x0b\x0c\r "
 U = np.uint64
 
 
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held several times on its way.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package when it is not installed (a cluster ships it with --py-files)."""
+    """Bounds Arrow batches, and lets Python workers on this machine import the package when it is not installed (a
+    cluster ships it with --py-files)."""
+    for name, most in BATCH.items():
+        now = str(spark.conf.get(name)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -50,9 +59,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows fit in BROADCAST_BYTES; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int, more: str = "0") -> DataFrame:
+    """Marks a written table for broadcast if its rows fit in BROADCAST_BYTES; otherwise the join shuffles.
+
+    row_bytes: of the fixed part of a row; more: an expression for the bytes of the rest."""
+    size = df.agg(F.sum(F.expr(f"{row_bytes} + {more}"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def by_id(left: DataFrame, right: DataFrame, on: str = "doc_id", how: str = "left") -> DataFrame:
