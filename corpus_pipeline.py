@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import bpe, decontaminate, langid, line_dedup, simhash
-from facetry.llm.common import by_id, documents, ready, small, written
+from facetry.llm.common import documents, ready, small, written
 from facetry.llm.queries import held_out, vocabulary
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return by_id(docs, small(written(verdicts.select("doc_id").distinct(), "verdicts"), 16), how="left_anti")
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows with a name each: id and a hash of the text, so rows that repeat an id, or have none, are told apart."""
+    return docs.withColumn("row_name", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+
+
+def _without(named: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows but those whose name is in `dropped`; names are written first, so their size is known."""
+    names = written(dropped.select(F.col("row_name").alias("of")).distinct(), "verdicts")
+    return named.join(small(names, 32), F.col("row_name") == F.col("of"), "left_anti").drop("row_name")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter.  `lang` stays what the table says."""
     ready(spark)
-    model = langid.train(docs.where(~held_out()))
-    return _without(docs, langid.detect(docs, model).where("lang_pred = 'und'"))
+    named, model = _named(docs), langid.train(docs.where(~held_out()))
+    found = langid.detect(named, model, id_col="row_name")
+    return _without(named, found.where("lang_pred = 'und'").select(F.col("doc_id").alias("row_name")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates; rows that repeat an id are one document."""
     ready(spark)
-    groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    named = _named(docs)
+    groups = simhash.near_duplicates(named, carry=("row_name",))
+    return _without(named, groups.where("not (doc_id <=> component_id)"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark windows cover to a twentieth or more."""
     ready(spark)
-    return _without(docs, decontaminate.decontaminate(docs, documents(spark, sf_dir, "benchmark")).where("contaminated"))
+    named = _named(docs)
+    found = decontaminate.decontaminate(named, documents(spark, sf_dir, "benchmark"), id_col="row_name")
+    return _without(named, found.where("contaminated").select(F.col("doc_id").alias("row_name")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column(1)
         fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in texts), dtype=U, count=len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def _pairs(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -182,8 +182,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lists(held[0], held[1], held[2].view(U), held[3])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per row of `docs`, extra columns are ignored.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per row of `docs`; columns in `carry` come along, others are ignored.
 
     Texts are lower-cased in A-Z; words are runs of anything but ASCII white space; a text of fewer than three words is
     one shingle, one without words (empty, null) has fingerprint 0 and links like any other.  component_id is the
@@ -192,12 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies meet in one group by fingerprint before the index, so a hot text is one entry; each list holds distinct
     fingerprints only and gives at most a spanning forest."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(base.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
+    kinds = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
+    prints = written(base.mapInArrow(_fingerprints, f"doc_id long, fp long{kinds}"), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     entries = F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(mask_of(b))).alias("key")) for k, b in enumerate(blocks_of_four())))
     index = classes.where("rep is not null").select(F.explode(entries).alias("e"), "fp", "rep").select("e.block", "e.key", "fp", "rep")
     links = index.repartition("block", "key").sortWithinPartitions("block", "key", "fp").mapInArrow(_links, "a long, b long")
     roots = components(links)
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("fp").alias("own"), F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["own"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, prints["fp"] == named["own"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
