@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .functions.values import variants
 from .operators.expand import Expander, contents, gather, members_of
 from .operators.rows import prefixed, root_node
 from .operators.select import OWNER, Scope, Select, window
 from .plans.analyze import plan
 from .plans.grammar import parse
-from .shapes import Shape, ShapeError
+from .shapes import Reference, Shape, ShapeError
 from .sources.catalog import Catalog
 
 
@@ -68,12 +70,41 @@ def lookup_many(catalog: Catalog, shape: Shape, entries: DataFrame | Sequence[An
     return e.df.select(*([] if "id" in q.template else [key.alias("id")]), *cols)
 
 
+def virtual(catalog: Catalog, entry: Any, shape: Shape, model: Mapping[str, Any], locale: Sequence[str] | None = None) -> dict[str, Any]:
+    """A resource that need not be held, as plain values: `id` and `type` come from the request, single values from
+    whatever is held, and a collection of references is the extent of its class, under its own model."""
+    q, out = parse(dict(model)), {}
+    single = {n: m for n, m in q.template.items() if n not in ("id", "type") and not shape.property(n).many}
+    held = lookup_many(catalog, shape, [entry], single, locale).limit(1).collect() if single and catalog.concrete(shape) else []
+    own = decode(held[0]) if held else {}
+    for name, m in q.template.items():
+        if name in ("id", "type") and name not in shape.properties:
+            out[name] = entry if name == "id" else shape.name
+        elif name in single:
+            if name in own:
+                out[name] = own[name]
+        else:
+            targets = [v.shape for v in variants(shape.property(name).range) if isinstance(v, Reference)]
+            found = [decode(r) for t in targets for r in select(catalog, t, m, locale).collect()]
+            bare = parse(dict(m)).plain
+            if found:
+                out[name] = [r["id"] for r in found] if bare else found
+    return out
+
+
 def detect(catalog: Catalog, shape: Shape, entries: DataFrame) -> DataFrame:
     """(id, present) for a frame of keys named `id`: whether a resource of the class or a subclass bears it."""
     own = catalog.extent(shape).select(F.col(shape.key).alias("__id")).distinct()
     return entries.select("id").join(own, F.col("id") == F.col("__id"), "left").select("id", F.col("__id").isNotNull().alias("present"))
 
 
+def frozen(value: Any) -> Any:
+    """Plain values that cannot be changed: mapping views and tuples."""
+    if isinstance(value, dict):
+        return MappingProxyType({k: frozen(v) for k, v in value.items()})
+    return tuple(frozen(v) for v in value) if isinstance(value, list) else value
+
+
 def decode(value: Any) -> Any:
     """A row as plain values: absent members are left out, unions are their one value."""
     if isinstance(value, Row):
