@@ -61,7 +61,7 @@ def lookup_many(catalog: Catalog, shape: Shape, entries: DataFrame | Sequence[An
     df = prefixed(catalog.extent(shape), "r_")
     key = F.col("r_" + shape.key)
     if isinstance(entries, DataFrame):
-        df = df.join(entries.select(F.col("id").alias("__id")).distinct(), key == F.col("__id"), "left_semi")
+        df = df.join(entries.select(F.col("id").alias("__id")), key == F.col("__id"), "left_semi")
     else:
         df = df.where(key.isin(list(entries)))
     e = Expander(catalog, df, Scope(locale))

@@ -26,6 +26,8 @@ class Expander:
 
     def __init__(self, catalog: Catalog, df: DataFrame, scope: Scope):
         self.catalog, self.df, self.scope = catalog, df, scope
+        #: The frame without the collections joined to it: what owners of further collections are read from.
+        self.bare = df
         self._count = 0
 
     def name(self, kind: str) -> str:
@@ -51,7 +53,8 @@ class Expander:
         if isinstance(r, Reference):
             p = self.name("t")
             target = prefixed(self.catalog.extent(r.shape), p)
-            self.df = self.df.join(target, column == F.col(p + r.shape.key), "left")
+            on = column == F.col(p + r.shape.key)
+            self.df, self.bare = self.df.join(target, on, "left"), self.bare.join(target, on, "left")
             here = F.col(p + r.shape.key)
             return F.when(here.isNotNull(), self.record(r.shape, lambda c: F.col(p + c), here, q))
         raise ShapeError(f"a {r.name} has no members")
@@ -119,9 +122,9 @@ class Expander:
     def collection(self, p: Property, access: Access, key: Column, model: dict[str, Any]) -> Column:
         """The array of a collection's members (null if it has none), of all owners in one plan."""
         own, o = self.name("c"), self.name("o")
-        base, root = members_of(self.catalog, p, self.df, access, key)
+        base, root = members_of(self.catalog, p, self.bare, access, key)
         found = gather(self.catalog, base, root, model, self.scope).select(F.col(OWNER).alias(o), F.col("items").alias(own))
-        self.df = self.df.join(found, key.eqNullSafe(F.col(o)), "left")
+        self.df = self.df.join(found, key == F.col(o), "left")
         return F.col(own)
 
 
@@ -130,12 +133,12 @@ def members_of(catalog: Catalog, p: Property, df: DataFrame, access: Access, key
     match p.storage:
         case Reversed(column):
             shape = p.range.shape
-            owners = df.select(key.alias(OWNER)).distinct()
+            owners = df.select(key.alias(OWNER))
             rows = prefixed(catalog.extent(shape), "r_")
             base = rows.withColumn(OWNER, F.col("r_" + column)).join(owners, OWNER, "left_semi")
             return base, root_node(shape, lambda c: F.col(f"r_{c}"), p.range)
         case Linked(table, own, item):
-            owners = df.select(key.alias(OWNER)).distinct()
+            owners = df.select(key.alias(OWNER))
             links = catalog.table(table).select(F.col(own).alias(OWNER), F.col(item).alias("r___item")).join(owners, OWNER, "left_semi").distinct()
             return _items(catalog, links, p.range)
         case InColumn(column):
@@ -190,7 +193,7 @@ def contents(catalog: Catalog, df: DataFrame, result: Result, s: Select, scope:
                 if nested or not p.template:
                     out.append((alias, e.cell(node.range, column, model)))
                 else:
-                    out.append((alias, e.embedded(node.range.shape, node.value.column, p)))
+                    out.append((alias, e.embedded(node.range.shape, column, p)))
         return e.df, out
     if q.alternatives:
         own = e.union(s.root.range, [c for _, c in s.root.value.parts], {str(k): m for k, m in q.alternatives.items()})

@@ -108,6 +108,10 @@ class Select:
     def keys(self) -> list[Column]:
         return [F.col(OWNER)] if self.owned else []
 
+    def same(self, own: Column, other: Column) -> Column:
+        """Equality of items: plain on keys, which are never null, so a grouping by key is a partitioning that its join takes."""
+        return own == other if self.root.access and self.root.access[0][0].key and len(self.root.value.parts) == 1 else own.eqNullSafe(other)
+
     @property
     def item(self) -> Column:
         return self.root.value.parts[0][1] if len(self.root.value.parts) == 1 else self.root.value.column
@@ -164,14 +168,22 @@ class Select:
             walk = self._rows(frozenset())
             v = self.value(walk, c.expression)
             given = [o for o in own if o is not None]
-            on = lambda right: (self.item.eqNullSafe(right["__k"])) & (F.col(OWNER).eqNullSafe(right["__o"]) if self.owned else F.lit(True))
+            on = lambda right: self.same(self.item, right["__k"]) & (F.col(OWNER) == right["__o"] if self.owned else F.lit(True))
             if len(given) < len(own):
                 some = held(walk, v.present).distinct()
                 some = some.withColumnRenamed(OWNER, "__o") if self.owned else some
                 rows.df = rows.df.join(some, on(some), "left_anti")
             if given:
-                which = F.array_compact(F.array(*(F.when(matches(v, o), k) for k, o in enumerate(given))))
-                some = walk.df.select(self.item.alias("__k"), *self.keys, F.explode(which).alias("__w")).groupBy(*names).agg(F.count_distinct("__w").alias("__n")).where(F.col("__n") == len(given)).drop("__n")
+                found = [matches(v, o) for o in given]
+                hit = found[0]
+                for m in found[1:]:
+                    hit = hit | m
+                # relational division: a bit for each option, joined by or in one aggregation
+                bits = {f"__b{at}": (found[at : at + 62], (1 << len(found[at : at + 62])) - 1) for at in range(0, len(found), 62)}
+                marked = walk.df.where(hit).select(self.item.alias("__k"), *self.keys, *(sum((F.when(m, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, m in enumerate(ms)), F.lit(0).cast("long")).alias(n) for n, (ms, _) in bits.items()))
+                some = marked.groupBy(*names).agg(*(F.bit_or(n).alias(n) for n in bits))
+                for n, (_, full) in bits.items():
+                    some = some.where(F.col(n) == full).drop(n)
                 some = some.withColumnRenamed(OWNER, "__o") if self.owned else some
                 rows.df = rows.df.join(some, on(some), "left_semi")
         return rows
@@ -202,9 +214,9 @@ class Select:
                 continue
             by = [self.item.alias(f"k{k}"), *([F.col(OWNER).alias(f"o{k}")] if self.owned else [])]
             found = own.df.groupBy(*by).agg(*aggs)
-            on = self.item.eqNullSafe(found[f"k{k}"])
+            on = self.same(self.item, found[f"k{k}"])
             if self.owned:
-                on = on & F.col(OWNER).eqNullSafe(found[f"o{k}"])
+                on = on & (F.col(OWNER) == found[f"o{k}"])
             rows.df = rows.df.join(found, on, "left")
             for c in self.plan.query.criteria:
                 before, name, after = split_pipe(c.expression.pipe)
@@ -252,17 +264,25 @@ class Select:
         cells = [self._cell(rows, b) for b in p.query.bindings]
         order = self._ordered(values, self.root.value.order)
         alone = not rows.fanned and self.root.access and self.root.access[0][0].key and any(not b.expression.pipe and b.expression.path in ((), ("id",)) for b in p.query.bindings)
-        if not alone:
-            rows.df = self._first(rows.df, [*self.keys, *(k for _, k, _, _ in cells)], order if (p.ordering or p.focusing or p.query.limit or p.query.offset) else None)
+        if alone:
+            return Result(rows.df, order, rows, cells)
+        if p.ordering or p.focusing or p.query.limit or p.query.offset or self.owned:
+            rows.df = self._first(rows.df, [*self.keys, *(k for _, k, _, _ in cells)], order)
+        elif any(n is not None and m and isinstance(n.range, Dictionary | Union) for _, _, n, m in cells):
+            rows.df = self._first(rows.df, [k for _, k, _, _ in cells], None)
+        else:  # the cells are all that is needed of a row, so they alone are made distinct
+            names = [f"__c{k}" for k in range(len(cells))]
+            rows.df = rows.df.select(*(key.alias(n) for n, (_, key, _, _) in zip(names, cells))).distinct()
+            cells = [(alias, F.col(n), node, model) for n, (alias, _, node, model) in zip(names, cells)]
         return Result(rows.df, order, rows, cells)
 
     def _matched(self, rows: Rows) -> Rows:
         """The members that some row of a fan-out speaks for: their keys are made distinct on their own, which combines
         on the map side, and the members' columns meet them in a semi-join."""
         own = rows.df.select(self.item.alias("__k"), *([F.col(OWNER).alias("__o")] if self.owned else [])).distinct()
-        on = self.item.eqNullSafe(own["__k"])
+        on = self.same(self.item, own["__k"])
         if self.owned:
-            on = on & F.col(OWNER).eqNullSafe(own["__o"])
+            on = on & (F.col(OWNER) == own["__o"])
         fresh = self._rows(frozenset())
         fresh.df = fresh.df.join(own, on, "left_semi")
         return fresh
