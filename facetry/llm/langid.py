@@ -36,14 +36,28 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def trigram_bins(text: np.ndarray) -> np.ndarray:
-    """The bin of each trigram around a letter; the text counts as standing between spaces."""
-    c = np.zeros(len(text) + 2, np.uint32)
-    c[1:-1] = _CLASS[text]
+#: Bytes of a text that are worked on at once.
+PIECE = 1 << 20
+
+
+def trigram_bins(text: np.ndarray, at: int = 0, end: int | None = None) -> np.ndarray:
+    """The bin of each trigram around a letter in text[at:end]; the text counts as standing between spaces."""
+    end = len(text) if end is None else end
+    c = np.zeros(end - at + 2, np.uint32)
+    a, b = max(0, at - 1), min(len(text), end + 1)
+    c[a - at + 1 : b - at + 1] = _CLASS[text[a:b]]
     code = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
     return ((code[c[1:-1] != 0] * np.uint32(2654435761)) >> np.uint32(32 - BINS_LOG2)).astype(np.int64)
 
 
+def trigram_counts(text: np.ndarray) -> np.ndarray:
+    """How often each bin occurs, piece by piece."""
+    n = np.zeros(BINS, np.int64)
+    for at in range(0, len(text), PIECE):
+        n += np.bincount(trigram_bins(text, at, min(len(text), at + PIECE)), minlength=BINS)
+    return n
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
@@ -51,8 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, buf, offsets in blocks(b.column(1)):
             for i in range(len(offsets) - 1):
                 own = total.setdefault(langs[row + i], np.zeros(BINS, np.int64))
-                for at in range(offsets[i], offsets[i + 1], 1 << 20):  # trigrams across the cuts of a very long text are left out of the counts
-                    own += np.bincount(trigram_bins(buf[at : min(at + (1 << 20), offsets[i + 1])]), minlength=BINS)
+                own += trigram_counts(buf[offsets[i] : offsets[i + 1]])
     for lang, n in total.items():
         bins = np.flatnonzero(n)
         if len(bins):
@@ -101,13 +114,12 @@ def fit(p: np.ndarray, counts: np.ndarray, steps: int = 25) -> tuple[np.ndarray,
 
 def identify(text: np.ndarray, model: Model, penalty: float) -> tuple[list[tuple[int, float]], float]:
     """Chosen languages with their proportions, largest first."""
-    bins = trigram_bins(text)
-    if len(bins) > 4096:
-        n = np.bincount(bins, minlength=BINS)
+    if len(text) > 8192:
+        n = trigram_counts(text)
         bins = np.flatnonzero(n)
         counts = n[bins].astype(float)
     else:
-        bins, counts = np.unique(bins, return_counts=True)
+        bins, counts = np.unique(trigram_bins(text), return_counts=True)
         counts = counts.astype(float)
     p = model.p[:, bins]
     single = np.log(p) @ counts

@@ -9,6 +9,7 @@ the guaranteed five are dropped and the rest verified by counting bits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from .common import U, written
 from .components import components
 
 SEED = 42
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 MOST_BITS = 3
 #: Positions that two linked fingerprints share at least.
 LEAST_BYTES = 8 - MOST_BITS
@@ -42,22 +44,50 @@ def mask_of(positions: tuple[int, ...]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+#: Bytes of a text whose words are objects at once.
+PIECE = 1 << 20
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists that follow pieces of bounded size (or one word)."""
+    at, n = 0, len(text)
+    while at < n:
+        end = at + PIECE
+        if end < n and (rest := _SPACE.search(text, end)):
+            end = rest.start()
+        elif end < n:
+            end = n
+        yield text[at:end].lower().split()  # bytes: A-Z and ASCII white space only
+        at = end
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """SimHash of one text (see near_duplicates); unsigned."""
-    parts = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
-    k = min(shingle, len(parts))
+    total, ones, held = 0, np.zeros(64, np.int64), []
+    for words in _pieces(text):
+        parts = held + words
+        if len(parts) < shingle:
+            held = parts
+            continue
+        total += _add(parts, shingle, ones)
+        held = parts[-(shingle - 1) :]
+    if not total:  # fewer words than a shingle has
+        total = _add(held, len(held), ones) if held else 1
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+
+
+def _add(parts: list[bytes], k: int, ones: np.ndarray) -> int:
+    """Adds the bits of all shingles of k words; returns how many there are."""
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
+    digest, n = xxhash.xxh64_intdigest, len(starts)
     for at in range(0, n, 8192):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + 8192], ends[at : at + 8192])], dtype="<u8")
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return n
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

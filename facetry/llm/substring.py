@@ -71,9 +71,12 @@ def _texts(window: int):
         for b in batches:
             out = []
             for t, chosen in zip(b.column(0), b.column(1).to_pylist()):
-                parts = t.as_buffer().to_pybytes().split()
+                raw = t.as_buffer().to_pybytes()
+                begin, end, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
                 for x in chosen:
-                    a, n = x["start"], x["n"]
+                    a, n = 0, x["n"]
+                    own = slice(x["start"], x["start"] + n + window - 1)
+                    parts = [raw[i:j] for i, j in zip(begin[own].tolist(), end[own].tolist())]
                     if x["crowded"]:
                         out += [(x["anchor"], x["seg"], x["times"], True, k, b" ".join(parts[a + k : a + k + window])) for k in range(n)]
                     else:
@@ -222,6 +225,21 @@ def _indexed(window: int):
     return run
 
 
+#: Bytes of a text whose words may all be objects at once.
+LONG = 1 << 20
+
+
+def _kept(raw: bytes, runs: list[int], window: int) -> tuple[bytes, int, int]:
+    """The words outside the runs of windows joined by spaces, how many words there are and how many stay."""
+    begin, end, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
+    keep = np.ones(len(begin), bool)
+    for r in runs:
+        keep[r >> 32 : (r & 0xFFFFFFFF) + window - 1] = False
+    a, b = begin[keep], end[keep]
+    step = 1 << 16
+    return b" ".join(b" ".join([raw[i:j] for i, j in zip(a[k : k + step].tolist(), b[k : k + step].tolist())]) for k in range(0, len(a), step)), len(begin), len(a)
+
+
 def _removed(window: int):
     """(doc_id, text, n_words, n_removed) with the words outside the runs of repeated windows."""
 
@@ -231,15 +249,13 @@ def _removed(window: int):
                 part = b.slice(at, 512)
                 texts, total, gone = [], [], []
                 for t, runs in zip(part.column(1), part.column(2).to_pylist()):
-                    own = t.as_buffer().to_pybytes().split() if t.is_valid else []
-                    total.append(len(own))
-                    if runs:
-                        keep = np.ones(len(own), bool)
-                        for r in runs:
-                            keep[r >> 32 : (r & 0xFFFFFFFF) + window - 1] = False
-                        own = [w for w, k in zip(own, keep.tolist()) if k]
-                    gone.append(total[-1] - len(own))
-                    texts.append(b" ".join(own))
+                    raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    if runs or len(raw) > LONG:
+                        kept, n, left = _kept(raw, runs or [], window)
+                    else:
+                        own = raw.split()
+                        kept, n, left = b" ".join(own), len(own), len(own)
+                    total.append(n), gone.append(n - left), texts.append(kept)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
     return run

@@ -359,11 +359,16 @@ def test_encoding_is_the_librarys(spark, docs, rows, empty, tokenizer):
 
 def test_encoder_on_hard_texts(tokenizer):
     e = bpe.Encoder(bpe.Vocabulary(vocabulary()))
-    hard = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "it's we'LL  'd\t\n x", "   ", "  　 a", "١٢٣ ²½ Ⅷ", "a" * 3000, "ab" * 2000, "日本語テキスト", "😀👩‍👩‍👧 x", "\x00\x1c\x85 ", "é �", "don't 'S"]
+    r = random.Random(9)
+    mixed = ["".join(r.choice([" ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", "a", "Bc", "é", "12", "!", "'s", "'", ".", "<|endoftext|>", "x" * 70]) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    hard = [*mixed, " ", "a ", " a", "a \n", "\n a", "a\n \nb", "a \n b", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "it's we'LL  'd\t\n x", "   ", "  　 a", "١٢٣ ²½ Ⅷ", "a" * 3000, "ab" * 2000, "日本語テキスト", "😀👩‍👩‍👧 x", "\x00\x1c\x85 ", "é �", "don't 'S"]
+    together = bpe.Encoder(e.vocabulary).encode_all(hard)
+    assert together == [e.encode(t) for t in hard]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.vocabulary.merge_many([b"", b"a", b" the", b"x" * 70])] == [e.vocabulary.merge(w) for w in (b"", b"a", b" the", b"x" * 70)]
     for t in hard:
         ids = tokenizer.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(e.encode(t), "<u4").tolist() == ids
-        assert e.decode(e.encode(t)) == tokenizer.decode(ids, skip_special_tokens=False)
+        assert bpe.decode_ids(e.vocabulary, e.encode(t)) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def test_lexicon_holds_its_words_only(tmp_path):
@@ -390,3 +395,44 @@ def test_context_limits(spark, docs, rows, empty, tokenizer):
         assert r["tokens_cut"] == sum(n) - r["tokens_kept"] and r["total_docs"] == len(n) and r["total_tokens"] == sum(n)
         assert abs(r["share_within"] - sum(x <= limit for x in n) / len(n)) < 1e-12
     assert token_counts.context_limits(token_counts.length_histogram(empty, v)).count() == 0
+
+
+# --- very long texts
+
+
+def test_pieces_change_nothing(monkeypatch, tokenizer):
+    r = random.Random(4)
+    text = "".join(r.choice(["aB", "é", " ", "  ", "\n", "x", "1", "'s", "!", "\x0b", "日本"]) for _ in range(4000))
+    raw, array = text.encode(), np.frombuffer(text.encode(), np.uint8)
+    whole = simhash.fingerprint(raw), langid.trigram_counts(array), substring._kept(raw, [(5 << 32) + 9], 3)
+    assert whole[0] == brute_print(text) and (whole[1] == np.bincount(langid.trigram_bins(array), minlength=langid.BINS)).all()
+    own = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    assert whole[2] == (b" ".join(own[:5] + own[11:]), len(own), len(own) - 6)
+    for module in (simhash, langid, bpe):
+        monkeypatch.setattr(module, "PIECE", 7)
+    assert simhash.fingerprint(raw) == whole[0] and (langid.trigram_counts(array) == whole[1]).all()
+    assert [simhash.fingerprint(t.encode()) for t in ("a" * 40, "a" * 40 + " b", " " * 50)] == [brute_print(t) for t in ("a" * 40, "a" * 40 + " b", " " * 50)]
+    e = bpe.Encoder(bpe.Vocabulary(vocabulary()))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == ids and bpe.decode_ids(e.vocabulary, e.encode(text)) == text
+
+
+def test_words_are_found_in_pieces(monkeypatch):
+    from facetry.llm import common
+
+    r = random.Random(6)
+    rows = ["".join(r.choice(["ab", "é", " ", "\n", "Q", "-"]) for _ in range(r.randint(0, 60))) for _ in range(50)] + ["x" * 300, ""]
+    raw = [t.encode() for t in rows]
+    buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    for table, pattern in ((common.byte_table(common.NOT_SPACE, False), rb"[^\x20\x09-\x0D]+"), (common.byte_table(common.ALNUM, True), rb"[0-9A-Za-z\x80-\xff]+")):
+        whole = common.words(buf, offsets, table)
+        want = [(k, m.group()) for k, x in enumerate(raw) for m in re.finditer(pattern, x)]
+        assert [(int(k), bytes(buf[s:e])) for s, e, k in zip(*whole[:3])] == want
+        monkeypatch.setattr(common, "BLOCK_BYTES", 3)
+        for a, b in zip(whole, common.words(buf, offsets, table)):
+            assert (a == b).all()
+        monkeypatch.undo()
+        hashes = {}
+        for (_, w), h in zip(want, whole[3].tolist()):
+            assert hashes.setdefault(w.lower() if table[65] == table[97] else w, h) == h
+        assert len(set(hashes.values())) == len(hashes)
