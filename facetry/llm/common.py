@@ -29,6 +29,10 @@ U = np.uint64
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+#: Python workers live long and are several to an executor: what they free goes back to the system.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
+
+
 def ready(spark: SparkSession) -> None:
     """Bounds Arrow batches, and lets Python workers on this machine import the package when it is not installed (a
     cluster ships it with --py-files)."""
@@ -38,17 +42,28 @@ def ready(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name, value in WORKERS.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: Folders of applications that have none set, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session; only where the setting is absent (tests, one machine) a folder of our own."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="facetry-")
-        spark.conf.set("spark.checkpoint.dir", own)
-    return own.rstrip("/")
+    """The shared folder of the session, `spark.checkpoint.dir`; only where that is not set (tests, one machine) a
+    temporary folder of our own, which executors on other machines would not see: there that is an error."""
+    context = spark.sparkContext
+    own = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="facetry-")
+    return _OWN[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
