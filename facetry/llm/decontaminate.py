@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 The automaton holds a bounded number of item words; a larger benchmark is cut into several, through which the documents
-pass one after another in the same stage.  Documents are streamed once per automaton without a shuffle.  Words that
+pass one after another, with a written table in between.  Documents are streamed once per automaton without a shuffle.  Words that
 cannot be part of a match (their pair with the next word is in no item) are skipped by a vectorised test that has no
 false negatives; the rest step through the automaton as real words.
 """
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U, blocks, byte_table, grams, words
+from .common import ALNUM, U, blocks, byte_table, grams, words, written
 
 WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Item words that one automaton holds at most; longer items are cut into parts that overlap by a window less one.
@@ -39,9 +39,10 @@ class SuffixAutomaton:
             for w in item:
                 last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
             ended.append(last)
-        # items by state: each prefix state of an item and all its suffixes, up to those already marked for the item
-        self.items: list[set] = [set() for _ in self.len]
-        self.whole: list[list[tuple[int, str | None]]] = [[] for _ in self.len]
+        # items by state: each prefix state of an item and all its suffixes, up to those already marked for the item;
+        # kept for the states that hold strings of a window's length
+        self.items: dict[int, set] = {}
+        self.whole: dict[int, list[tuple[int, str | None]]] = {}
         for (name, item), end in zip(items, ended):
             state, seen = 0, set()
             for w in item:
@@ -49,10 +50,11 @@ class SuffixAutomaton:
                 up = state
                 while up > 0 and up not in seen:
                     seen.add(up)
-                    self.items[up].add(name)
+                    if self.len[self.link[up]] < window <= self.len[up]:
+                        self.items.setdefault(up, set()).add(name)
                     up = self.link[up]
             if len(item) < window:
-                self.whole[state].append((len(item), name))
+                self.whole.setdefault(state, []).append((len(item), name))
         self.least = min([window, *(len(i) for _, i in items)])
         #: The state of the last `window` words, and the nearest suffix states with whole short items.
         self._window_state: dict[int, int] = {}
@@ -98,7 +100,7 @@ class SuffixAutomaton:
         if s not in self._short:
             found, t = [], s
             while t > 0:
-                found += self.whole[t]
+                found += self.whole.get(t, ())
                 t = self.link[t]
             self._short[s] = found
         return self._short[s]
@@ -274,7 +276,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, longe
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *(F.lit(None).cast("array<array<int>>").alias(c) for c in ("spans", "bytes")), F.lit(None).cast("array<string>").alias("items"))
     kind = out.schema["doc_id"].dataType.simpleString()
     chunks = list(normalised_items(benchmark, window, item_col, item_text_col)) or [[]]
-    for chunk in chunks:
+    for k, chunk in enumerate(chunks):
+        if k:  # one automaton in memory at a time
+            out = written(out, "spans")
         if not chunk:  # still counts words: an item that no text can hold
             chunk = [(None, [b"\x00"] * window)]
         out = out.mapInArrow(_scanned(uuid.uuid4().hex, spark.sparkContext.broadcast(chunk), window), f"doc_id {kind}, text string, n_words long, spans array<array<int>>, bytes array<array<int>>, items array<string>")

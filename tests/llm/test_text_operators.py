@@ -248,7 +248,7 @@ def brute_hits(rows, items, window=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk", [decontaminate.CHUNK_WORDS, 20])
+@pytest.mark.parametrize("chunk", [decontaminate.CHUNK_WORDS, 90])
 def test_decontamination(spark, docs, rows, empty, chunk, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK_WORDS", chunk)
     t = [x or "" for x in texts()]
@@ -345,8 +345,9 @@ def tokenizer():
     return tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
 
 
-def test_encoding_is_the_librarys(spark, docs, rows, empty, tokenizer):
+def test_encoding_is_the_librarys(spark, docs, rows, empty, tokenizer, monkeypatch):
     v = vocabulary()
+    monkeypatch.setattr(bpe, "LEAST_COUNT", 2)
     name = bpe.build_lexicon(docs, v, words=500)
     out = bpe.decode(bpe.encode(docs, v, name), v)
     want = Counter()
