@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import struct
 import uuid
 from collections import Counter
@@ -26,18 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import scratch
+from .common import scratch, written
 
 #: The byte-level pre-tokenizer's pattern, a fixed value of this kind of vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that are a pre-token of their own behind a word's letters.
+_MARKS = frozenset(",.")
+_CUT = regex.compile(r"\S\s")
+#: A space that more white space follows, or nothing; and one that something else follows.
+_WIDE, _SPACE = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
+#: Characters of a text whose words are objects at once.
+PIECE = 1 << 20
 #: Words of the lexicon, and words whose ids a worker keeps at hand.
 LEXICON_WORDS, REMEMBERED = 1 << 15, 1 << 18
 #: Words longer than this are neither remembered nor compiled.
 LONG_WORD = 64
+#: Words that occur less often are never compiled.
+LEAST_COUNT = 16
 #: Distinct words that a counting task holds before it hands them on.
 COUNTED = 1 << 17
 
 
+_ID_BITS = 32
+_ID, _NEVER = (1 << _ID_BITS) - 1, 1 << 62
+
+
 def byte_characters() -> dict[int, str]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,6 +59,41 @@ def byte_characters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
+class PairTable:
+    """A hash table from 64-bit keys to values, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.full(1 << self.bits, _NEVER, np.int64)
+        self.probes, todo = 0, np.arange(len(keys))
+        while len(todo):
+            at = self._place(keys[todo], self.probes)
+            free = np.flatnonzero(self.values[at] == _NEVER)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]] = keys[todo[won]], values[todo[won]]
+            todo = np.delete(todo, won)
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys, 0)
+        out = np.where(self.keys[at] == keys, self.values[at], _NEVER)
+        # on to the next place where another key, not a gap, was met
+        todo = np.flatnonzero((self.keys[at] != keys) & (self.values[at] != _NEVER))
+        for probe in range(1, self.probes):
+            if not len(todo):
+                break
+            at = self._place(keys[todo], probe)
+            same = self.keys[at] == keys[todo]
+            out[todo[same]] = self.values[at[same]]
+            todo = todo[~same & (self.values[at] != _NEVER)]
+        return out
+
+
 class Vocabulary:
     """Ids, merge ranks and special strings of a byte-level BPE file of the tokenizers library."""
 
@@ -60,43 +109,101 @@ class Vocabulary:
             self.pieces[i] = token.encode()
         self.letters = [ids[byte_characters()[b]] for b in range(256)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Pairs of ids that merge: the rank in the upper bits, the id they merge to in the lower.
+        self.merges = {(ids[a], ids[b]): rank << _ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        keys = np.array([a << 32 | b for a, b in self.merges], np.uint64)
+        self._pairs = PairTable(keys, np.array(list(self.merges.values()), np.int64))
+        self._letters = np.array(self.letters, np.int64)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of lowest rank is joined, the leftmost first, until no pair has a rank."""
-        ids, merges = [self.letters[b] for b in word], self.merges
+        ids = list(map(self.letters.__getitem__, word))
         if len(ids) > LONG_WORD:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, 0
-            for k, pair in enumerate(pairwise(ids)):
-                m = merges.get(pair)
-                if m and (best is None or m[0] < best[0]):
-                    best, at = m, k
-            if best is None:
+        get = self.merges.get
+        found = [get(pair, _NEVER) for pair in pairwise(ids)]
+        while found:
+            best = min(found)
+            if best == _NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            k = found.index(best)
+            ids[k] = best & _ID
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = get((ids[k - 1], ids[k]), _NEVER)
+            if k < len(found):
+                found[k] = get((ids[k], ids[k + 1]), _NEVER)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words (bytes of 32-bit integers): in each round every word joins its pair of lowest rank, the
+        leftmost, until none of its pairs has a rank."""
+        out: list[bytes] = [b""] * len(words)
+        for k, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                out[k] = np.array(self.merge(w), "<u4").tobytes()
+        live = np.array([k for k, w in enumerate(words) if 0 < len(w) <= LONG_WORD], np.int64)
+        if not len(live):
+            return out
+        ids = self._letters[np.frombuffer(b"".join([words[k] for k in live.tolist()]), np.uint8)]
+        n = np.array([len(words[k]) for k in live.tolist()], np.int64)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            return self._pairs.get((ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64))
+
+        rank = np.full(len(ids), _NEVER, np.int64)  # of the pair that begins at a place
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(n) - 1] = True
+        inner = np.flatnonzero(~last)
+        rank[inner] = ranks(inner)
+        while True:
+            begin = np.cumsum(n) - n
+            best = np.minimum.reduceat(rank, begin)
+            done = best == _NEVER
+            if done.any():
+                stay = np.repeat(~done, n)
+                flat, size = ids[~stay].astype("<u4").tobytes(), np.cumsum(n[done]) * 4
+                for k, a, b in zip(live[done].tolist(), (size - n[done] * 4).tolist(), size.tolist()):
+                    out[k] = flat[a:b]
+                live, n, ids, rank, last, best = live[~done], n[~done], ids[stay], rank[stay], last[stay], best[~done]
+                if not len(live):
+                    return out
+                begin = np.cumsum(n) - n
+            hit = np.flatnonzero(rank == np.repeat(best, n))
+            word = np.searchsorted(begin, hit, side="right") - 1
+            at = hit[np.concatenate(([True], word[1:] != word[:-1]))]  # the leftmost of each word
+            ids[at] = best & _ID
+            last[at] |= last[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))  # one place has gone before each
+            ids, rank, last, n = ids[keep], rank[keep], last[keep], n - 1
+            rank[moved] = _NEVER
+            begin = np.cumsum(n) - n
+            left = moved[moved > begin] - 1
+            fresh = np.concatenate((moved[~last[moved]], left))
+            if len(fresh):
+                rank[fresh] = ranks(fresh)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n for words of any length."""
         n, merges = len(ids), self.merges
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
             _, k, a, b = heapq.heappop(heap)
             j = after[k]
             if ids[k] != a or j < 0 or ids[j] != b:
                 continue
-            ids[k], ids[j] = merges[a, b][1], -1
+            ids[k], ids[j] = merges[a, b] & _ID, -1
             after[k] = after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             for x in (before[k], k):
-                if x >= 0 and after[x] >= 0 and (m := merges.get((ids[x], ids[after[x]]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[after[x]]))
+                if x >= 0 and after[x] >= 0 and (m := merges.get((ids[x], ids[after[x]]))) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[after[x]]))
         return [i for i in ids if i >= 0]
 
 
@@ -179,6 +286,39 @@ class Lexicon:
         self.first, self.targets, self.sums, self.at, self.flat = parts
         self.finals, self.labels = at, at + states
 
+        # an edge's state and label, ascending: where edges are sought for many words at once
+        starts, behind = np.asarray(self.first, np.int64), np.frombuffer(self.map, np.uint8, edges, at + states)
+        self._edges = (np.repeat(np.arange(states), np.diff(starts)) << 8) | behind
+        self._final = np.frombuffer(self.map, np.uint8, states, at)
+
+    def get_many(self, words: list[bytes]) -> list[bytes | None]:
+        """What get() says of each word; all walk through the automaton together, one byte a step."""
+        out: list[bytes | None] = [None] * len(words)
+        n = np.array([len(w) for w in words], np.int64)
+        begin, text = np.cumsum(n) - n, np.frombuffer(b"".join(words), np.uint8)
+        state, number, live = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(len(n))
+        targets, sums, depth = np.asarray(self.targets, np.int64), np.asarray(self.sums, np.int64), 0
+        ended = []
+        while len(live):
+            done = n[live] == depth
+            ended.append(live[done])
+            live = live[~done]
+            if not len(live) or not len(self._edges):
+                break
+            key = (state[live] << 8) | text[begin[live] + depth]
+            at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            ok = self._edges[at] == key
+            live, at = live[ok], at[ok]
+            number[live] += sums[at]
+            state[live] = targets[at]
+            depth += 1
+        ended = np.concatenate(ended) if ended else live
+        ended = ended[self._final[state[ended]] == 1]
+        first = self.at
+        for k, j in zip(ended.tolist(), number[ended].tolist()):
+            out[k] = self.flat[first[j] : first[j + 1]].tobytes()
+        return out
+
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word as little-endian 32-bit integers; None if it isn't in the lexicon."""
         state = number = 0
@@ -193,36 +333,119 @@ class Lexicon:
         return self.flat[self.at[number] : self.at[number + 1]].tobytes() if data[self.finals + state] else None
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of bounded size: no pre-token goes from a character that is no space to one that is."""
+    at, n = 0, len(text)
+    while at < n:
+        m = _CUT.search(text, at + PIECE) if n - at > PIECE else None
+        end = m.start() + 1 if m else n
+        yield text[at:end]
+        at = end
+
+
+def words_of(part: str) -> list[str]:
+    """What stands between single spaces: the first word as it is, each other one after its space.
+
+    A pre-token begins at every space that is followed by something else than white space: the space belongs to what
+    follows it, and white space before it is a pre-token of its own.  So words can be encoded one by one."""
+    return _SPACE.split(part) if _WIDE.search(part) else part.split(" ")
+
+
 class Encoder(dict):
-    """Encodes and decodes whole texts; as a dict it remembers the ids of words (bytes of 32-bit integers)."""
+    """Encodes and decodes whole texts; as a dict it remembers the ids (bytes of 32-bit integers) of words after a space."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        if ids is None:
-            ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.learn([word])
+        return self.pop(word) if len(word) > LONG_WORD else self[word]
+
+    def learn(self, words: list[str]) -> None:
+        """Finds the ids of words after a space: in the lexicon, else by merging their pre-tokens, all at once."""
+        if len(self) + len(words) > REMEMBERED:
+            self.clear()
+        if self.lexicon:
+            rest = []
+            for w, ids in zip(words, self.lexicon.get_many([w.encode("utf-8", "surrogatepass") for w in words])):
+                if ids is None:
+                    rest.append(w)
+                else:
+                    self[w] = ids
+            words = rest
+        # most words are letters, or letters and a mark; those need no search for their pre-tokens
+        plain = [w for w in words if w.isalpha()]
+        ended = [w for w in words if w[-1:] in _MARKS and w[:-1].isalpha()]
+        split = [(w, PATTERN.findall(" " + w)) for w in words if not (w.isalpha() or (w[-1:] in _MARKS and w[:-1].isalpha()))]
+        raw = [f" {w}".encode() for w in plain] + [f" {w[:-1]}".encode() for w in ended] + [t.encode("utf-8", "surrogatepass") for _, ts in split for t in ts]
+        ids = self.vocabulary.merge_many(raw)
+        self.update(zip(plain, ids))
+        marks = {m: struct.pack("<I", self.vocabulary.letters[ord(m)]) for m in _MARKS}
+        self.update((w, i + marks[w[-1]]) for w, i in zip(ended, ids[len(plain) : len(plain) + len(ended)]))
+        at = len(plain) + len(ended)
+        for w, ts in split:
+            self[w] = b"".join(ids[at : at + len(ts)])
+            at += len(ts)
+
+    def merged(self, text: str) -> bytes:
+        """The ids of any text that the lexicon is not asked for."""
+        return b"".join(self.vocabulary.merge_many([t.encode("utf-8", "surrogatepass") for t in PATTERN.findall(text)]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of many texts: the words that are not known are learned together first."""
+        split, special = self.vocabulary.split, self.vocabulary.special
+        lists, need = [], set()
+        for t in texts:
+            if len(t) > PIECE or (split is not None and any(s in t for s in special)):
+                lists.append(None)
+                continue
+            words = words_of(t)
+            lists.append(words)
+            need.update(words[1:])
+        tokens = [PATTERN.findall(words[0]) if words else [] for words in lists]
+        firsts = self.vocabulary.merge_many([t.encode("utf-8", "surrogatepass") for ts in tokens for t in ts])
+        new = [w for w in need if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(need)
+        self.learn(new)
+        out, at = [], 0
+        for t, words, own in zip(texts, lists, tokens):
+            if words is None:
+                out.append(self.encode(t))
+                continue
+            head = firsts[at : at + len(own)]
+            at += len(own)
+            out.append(b"".join([*head, *map(self.__getitem__, words[1:])]))
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.pop(w, None)
+        return out
 
     def encode(self, text: str) -> bytes:
         split = self.vocabulary.split
         if split is None or not any(s in text for s in self.vocabulary.special):
-            return b"".join(map(self.__getitem__, PATTERN.findall(text)))
+            return self._plain(text)
         out = []
         for part in split.split(text):
             special = self.vocabulary.special.get(part)
-            out.append(struct.pack("<I", special) if special is not None else b"".join(map(self.__getitem__, PATTERN.findall(part))))
+            out.append(struct.pack("<I", special) if special is not None else self._plain(part))
+        return b"".join(out)
+
+    def _plain(self, text: str) -> bytes:
+        out = []
+        for part in parts_of(text):
+            words = words_of(part)
+            self.learn([w for w in {*words[1:]} if w not in self])
+            out.append(self.merged(words[0]))
+            out += map(self.__getitem__, words[1:])
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
+
+def decode_ids(vocabulary: Vocabulary, ids: bytes) -> str:
+    own, get = memoryview(ids).cast("I"), vocabulary.pieces.__getitem__
+    return b"".join(b"".join(map(get, own[k : k + PIECE].tolist())) for k in range(0, len(own), PIECE)).decode("utf-8", "replace")
 
 
 # --- on Spark --------------------------------------------------------------------------------------------------------
@@ -239,7 +462,7 @@ def _name(vocabulary: str) -> str:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) of all pre-tokens of all texts; tasks add up before they send."""
+    """(word, n) of the words of all texts that follow a space; tasks add up before they send."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -252,9 +475,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 if t.is_valid:
-                    counts.update(PATTERN.findall(t.as_py()))
-                    if len(counts) >= COUNTED:
-                        yield flush()
+                    for part in parts_of(t.as_py()):
+                        counts.update(words_of(part)[1:])
+                        if len(counts) >= COUNTED:
+                            yield flush()
         if counts:
             yield flush()
 
@@ -262,10 +486,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compiles the most frequent words of all texts and hands the file to the executors; returns its name there."""
+    """Compiles the most frequent words of all texts, `words` at most, and hands the file to the executors; returns its
+    name there."""
     spark, v = docs.sparkSession, Vocabulary(vocabulary)
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).select("word")
-    image = compile_lexicon({w: v.merge(w) for w in (r[0].encode() for r in top.collect())})
+    counts = written(word_counts(docs, text_col).where(F.col("n") >= LEAST_COUNT).withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    # the counts by eighths of powers of two: a few hundred rows say from which count on the words fit
+    fit, least = 0, None
+    for step, n in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        fit += n
+        if fit > words:
+            break
+        least = step
+    top = counts.where(F.col("step") >= least).select("word") if least is not None else counts.limit(0).select("word")
+    own = Encoder(v)
+    image = compile_lexicon({r[0].encode(): np.frombuffer(own.merged(" " + r[0]), "<u4").tolist() for r in top.collect()})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm, target = spark.sparkContext._jvm, f"{scratch(spark)}/facetry/{name}"
     path = jvm.org.apache.hadoop.fs.Path(target)
@@ -276,15 +510,22 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS,
     return name
 
 
+#: The worker's vocabulary and encoder: one of each, so what one task has met the next one knows, and nothing piles up.
+_VOCABULARIES: dict[str, Vocabulary] = {}
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(vocabulary, key: str, lexicon: str | None) -> Encoder:
-    """The worker's encoder; it lives as long as the worker, so what one task has met the next one knows."""
+def _vocabulary(own, key: str) -> Vocabulary:
+    if key not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[key] = Vocabulary(own.value)
+    return _VOCABULARIES[key]
+
+
+def _encoder(own, key: str, lexicon: str | None) -> Encoder:
     if (key, lexicon) not in _ENCODERS:
-        if len(_ENCODERS) > 2:
-            _ENCODERS.clear()
-        _ENCODERS[key, lexicon] = Encoder(Vocabulary(vocabulary.value), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        _ENCODERS.clear()
+        _ENCODERS[key, lexicon] = Encoder(_vocabulary(own, key), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
     return _ENCODERS[key, lexicon]
 
 
@@ -300,7 +541,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, id_col:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [e.encode(t.as_py()) if t.is_valid else b"" for t in part.column(1)]
+                ids = e.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -313,11 +554,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(own, key, None)
+        v = _vocabulary(own, key)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                texts = [e.decode(x.as_buffer().to_pybytes()) if x.is_valid else "" for x in part.column(at)]
+                texts = [decode_ids(v, x.as_buffer().to_pybytes()) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return encoded.mapInArrow(run, schema)
@@ -330,6 +571,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(own, key, None)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(e.encode(t.as_py())) // 4 if t.is_valid else 0 for t in b.column(0)], pa.int64())], names=["n_tokens"])
+            for at in range(0, b.num_rows, 512):
+                ids = e.encode_all([t or "" for t in b.column(0).slice(at, 512).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long")

@@ -381,6 +381,10 @@ def test_lexicon_holds_its_words_only(tmp_path):
     own = bpe.Lexicon(str(tmp_path / "x"))
     assert all(own.get(w) == np.array(ids, "<u4").tobytes() for w, ids in entries.items())
     assert all(own.get(w) is None for w in (b"abcdabcd", b"e", b"aaaaaaa") if w not in entries)
+    asked = [*entries, b"abcdabcd", b"e", b"aaaaaaa", b"ab\xff"]
+    assert own.get_many(asked) == [own.get(w) for w in asked] and own.get_many([]) == []
+    (tmp_path / "y").write_bytes(bpe.compile_lexicon({}))
+    assert bpe.Lexicon(str(tmp_path / "y")).get_many([b"a", b""]) == [None, None]
     trie = {w[:k] for w in entries for k in range(len(w) + 1)}
     assert bpe._HEAD.unpack_from(image)[1] < len(trie)
 
