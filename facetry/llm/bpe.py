@@ -38,8 +38,8 @@ _CUT = regex.compile(r"\S\s")
 _WIDE, _SPACE = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
 #: Characters of a text whose words are objects at once.
 PIECE = 1 << 20
-#: Words of the lexicon, and words whose ids a worker keeps at hand.
-LEXICON_WORDS, REMEMBERED = 1 << 15, 1 << 18
+#: Words of the lexicon, and words whose ids a task keeps at hand.
+LEXICON_WORDS, REMEMBERED = 1 << 15, 1 << 17
 #: Words longer than this are neither remembered nor compiled.
 LONG_WORD = 64
 #: Words that occur less often are never compiled.
@@ -510,11 +510,16 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS,
     return name
 
 
-#: The worker's vocabulary and encoder: one of each, so what one task has met the next one knows, and nothing piles up.
+#: The vocabulary and encoder of the running task; they end with it, as workers live on and do other work.
 _VOCABULARIES: dict[str, Vocabulary] = {}
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+    _VOCABULARIES.clear()
+
+
 def _vocabulary(own, key: str) -> Vocabulary:
     if key not in _VOCABULARIES:
         _VOCABULARIES.clear()
@@ -543,6 +548,8 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, id_col:
                 part = b.slice(at, 512)
                 ids = e.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        e.clear()
+        _forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
@@ -560,6 +567,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
                 part = b.slice(k, 512)
                 texts = [decode_ids(v, x.as_buffer().to_pybytes()) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
+        _forget()
 
     return encoded.mapInArrow(run, schema)
 
@@ -574,5 +582,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
             for at in range(0, b.num_rows, 512):
                 ids = e.encode_all([t or "" for t in b.column(0).slice(at, 512).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64())], names=["n_tokens"])
+        e.clear()
+        _forget()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long")
