@@ -18,8 +18,8 @@ class Template:
     """open + role + colon, the text, close: one turn.  `loss` names the roles whose text is trained on.
 
     `follows` maps a state (the role before, "" at the start) to the roles that may come next; `final` are the roles a
-    conversation may end with.  Marks: open, close and, in roles, colon; none may hold a backslash or begin with its
-    own end."""
+    conversation may end with.  Marks: open, close and, behind roles, colon.  The first character of a mark that isn't
+    white space is its control character; another character follows it, which isn't a backslash, nor is the first."""
 
     open: str = "### "
     colon: str = ": "
@@ -28,21 +28,29 @@ class Template:
     follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        for mark in (self.open, self.colon, self.close):
+            if len(mark.lstrip()) < 2 or "\\" in mark.lstrip()[:2]:
+                raise ValueError(f"{mark!r} has no control character with another one behind it")
+
     @property
-    def marks(self) -> tuple[str, ...]:
-        return (self.open.strip(), self.close.strip(), self.colon.strip())
+    def controls(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(mark.lstrip()[0] for mark in (self.open, self.close, self.colon)))
 
 
 def escape(text: Column, template: Template) -> Column:
-    """Doubles backslashes, then puts one inside each mark: no mark is left, and dropping escapes gives the text back."""
+    """Puts a backslash behind each backslash and each control character.  In a mark something else follows the control
+    character, so no mark is left, however often its characters are repeated."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for mark in template.marks:
-        out = F.replace(out, F.lit(mark), F.lit(mark[:1] + "\\" + mark[1:] if len(mark) > 1 else "\\" + mark))
+    for c in template.controls:
+        out = F.replace(out, F.lit(c), F.lit(c + "\\"))
     return out
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, template: Template) -> Column:
+    """Drops the backslash behind each backslash and control character."""
+    own = "".join("\\" + c for c in ("\\", *template.controls))
+    return F.regexp_replace(text, rf"([{own}])\\", "$1")
 
 
 def format_chats(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -72,19 +80,26 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
 
 
 def read_back(formatted: Column, template: Template | None = None) -> Column:
-    """The turns of a formatted conversation: array of (role, text)."""
+    """The turns of a formatted conversation: array of (role, text).  Any length of role and text is read: marks are
+    found as plain strings, and no expression goes back over what it has read."""
     t = template or Template()
     pieces = F.split(formatted, _quoted(t.close))
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    # an escaped role holds no colon that isn't escaped, so the first plain colon ends it
-    head = rf"(?s)^{_quoted(t.open)}((?:[^\\{t.colon.strip()}]|\\.)*){_quoted(t.colon)}(.*)$"
-    return F.transform(pieces, lambda p: F.struct(unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_extract(p, head, 2)).alias("text")))
+
+    def turn(p: Column) -> Column:
+        # an escaped role holds no colon mark, so the first one ends it
+        at = F.locate(t.colon, p, len(t.open) + 1)
+        role, text = p.substr(F.lit(len(t.open) + 1), at - len(t.open) - 1), p.substr(at + len(t.colon), F.length(p))
+        return F.struct(unescape(role, t).alias("role"), unescape(text, t).alias("text"))
+
+    return F.transform(pieces, turn)
 
 
 def _quoted(mark: str) -> str:
     return "".join(c if c.isalnum() or c in " \n#:" else "\\" + c for c in mark)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template | None = None) -> Column:
     """All text under the loss mask, unescaped, segment by segment."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    t = template or Template()
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")

@@ -121,6 +121,60 @@ ALNUM = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) |
 BASE, STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
 
 
+#: Fixed values of XXH64.
+_X1, _X2, _X3, _X4, _X5 = (U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U(by)) | (x >> U(64 - by))
+
+
+def xxh64(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many pieces of a buffer at once, unsigned.  The buffer has at least 8 bytes behind the last piece."""
+    lanes = np.ndarray((max(0, len(buf) - 7),), np.dtype("<u8"), buf.data, strides=(1,))
+    at, left = start.astype(np.int64), length.astype(np.int64)
+    h = np.full(len(at), U(seed) + _X5, U)
+    long = np.flatnonzero(left >= 32)
+    if len(long):
+        with np.errstate(over="ignore"):
+            v = [np.full(len(long), x, U) for x in (U(seed) + _X1 + _X2, U(seed) + _X2, U(seed), U(seed) - _X1)]
+        places, stripes = at[long], left[long] // 32
+        live = np.arange(len(long))
+        for k in range(int(stripes.max())):
+            live = live[stripes[live] > k]
+            for j in range(4):
+                v[j][live] = _turned(v[j][live] + lanes[places[live] + 32 * k + 8 * j] * _X2, 31) * _X1
+        own = _turned(v[0], 1) + _turned(v[1], 7) + _turned(v[2], 12) + _turned(v[3], 18)
+        for x in v:
+            own = (own ^ (_turned(x * _X2, 31) * _X1)) * _X1 + _X4
+        h[long] = own
+        at[long] += 32 * stripes
+        left[long] -= 32 * stripes
+    h += length.astype(U)
+    for k in range(3):
+        some = np.flatnonzero(left >= 8 * (k + 1))
+        if len(some):
+            h[some] = _turned(h[some] ^ (_turned(lanes[at[some] + 8 * k] * _X2, 31) * _X1), 27) * _X1 + _X4
+    at += left & ~7
+    left &= 7
+    tail = lanes[at] if len(at) else np.zeros(0, U)
+    some = np.flatnonzero(left >= 4)
+    if len(some):
+        h[some] = _turned(h[some] ^ ((tail[some] & U(0xFFFFFFFF)) * _X1), 23) * _X2 + _X3
+        tail[some] >>= U(32)
+    left &= 3
+    for k in range(3):
+        some = np.flatnonzero(left > k)
+        if len(some):
+            h[some] = _turned(h[some] ^ (((tail[some] >> U(8 * k)) & U(0xFF)) * _X5), 11) * _X1
+    h ^= h >> U(33)
+    h *= _X2
+    h ^= h >> U(29)
+    h *= _X3
+    h ^= h >> U(32)
+    return h
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
 

@@ -1,16 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton holds a bounded number of item words; a larger benchmark is cut into several, through which the documents
-pass one after another, with a written table in between.  Documents are streamed once per automaton without a shuffle.  Words that
-cannot be part of a match (their pair with the next word is in no item) are skipped by a vectorised test that has no
-false negatives; the rest step through the automaton as real words.
+The items' words are written as a table of parts, dealt to chunks of bounded size.  The documents are streamed past the
+automaton of one chunk at a time, without a shuffle; what is written between two chunks are the ids, spans and items of
+the documents that were hit, never a text.  Words that cannot be part of a match (their pair with the next word is in no
+item) are skipped by a vectorised test that has no false negatives; the rest step through the automaton as real words.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U, blocks, byte_table, grams, words, written
+from .common import ALNUM, U, blocks, byte_table, grams, small, words, written
 
 WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Item words that one automaton holds at most; longer items are cut into parts that overlap by a window less one.
-CHUNK_WORDS = 100_000
+#: Bytes of item words that one automaton is meant to hold, and words of a part of an item; parts overlap by a window less one.
+CHUNK_BYTES, PART_WORDS = 1 << 19, 2048
 _TABLE = byte_table(ALNUM, fold=True)
 
 
@@ -147,7 +146,7 @@ class Scanner:
         return words(buf, np.array([0, len(buf)]), _TABLE)[3]
 
     def rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple]]:
-        """Words in each row, and for rows with hits: (spans in words, spans in bytes, items)."""
+        """Words in each row, and for rows with hits: (spans as (start, end, from, to) in words and bytes, items)."""
         s, e, row, h = words(buf, offsets, _TABLE)
         n, least = np.bincount(row, minlength=len(offsets) - 1), self.automaton.least
         first = np.concatenate(([0], np.cumsum(n)))
@@ -174,113 +173,132 @@ class Scanner:
                 own[1].update(names)
         out = {}
         for r, (hits, names) in found.items():
-            merged = merge(hits)
-            out[r] = (merged, [(int(s[first[r] + x] - offsets[r]), int(e[first[r] + y - 1] - offsets[r])) for x, y in merged], names)
+            own, at = merge(hits), int(first[r])
+            out[r] = [(x, y, int(s[at + x] - offsets[r]), int(e[at + y - 1] - offsets[r])) for x, y in own], names
         return n, out
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint, ascending spans that cover the same places; spans that touch become one."""
+def merge(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Disjoint, ascending spans (start, end, more bounds) that cover the same places; spans that touch become one."""
     out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+    for x in sorted(spans):
+        if out and x[0] <= out[-1][1]:
+            out[-1][1::2] = map(max, out[-1][1::2], x[1::2])
         else:
-            out.append([a, b])
+            out.append(list(x))
     return [tuple(x) for x in out]
 
 
 _SCANNERS: dict[str, Scanner] = {}
 
 
-def _scanned(name: str, items, window: int):
-    """One automaton's pass over (doc_id, text, n_words, spans, bytes, items)."""
+_SPANS = "array<struct<start:int,end:int,from:int,to:int>>"
+_SPAN = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "from", "to")]))
+
+
+def _spans(rows: list) -> pa.Array:
+    return pa.array([None if own is None else [dict(zip(("start", "end", "from", "to"), x)) for x in own] for own in rows], _SPAN)
+
+
+def _scanned(name: str, items, window: int, every: bool):
+    """One automaton's pass over (doc_id, text_hash, text); `every`: rows without a hit come as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _SCANNERS:
             _SCANNERS.clear()
             _SCANNERS[name] = Scanner(items.value, window)
         scanner = _SCANNERS[name]
-        pair = pa.list_(pa.list_(pa.int32()))
         for b in batches:
-            n, spans, places, names = np.zeros(b.num_rows, np.int64), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
-            for row, buf, offsets in blocks(b.column(1)):
+            n, spans, names = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            for row, buf, offsets in blocks(b.column(2)):
                 count, found = scanner.rows(buf, offsets)
                 n[row : row + len(count)] = count
-                for r, (in_words, in_bytes, items_of) in found.items():
-                    spans[row + r] = [*(spans[row + r] or ()), *in_words]
-                    places[row + r] = [*(places[row + r] or ()), *in_bytes]
-                    names[row + r] = [*(names[row + r] or ()), *(x for x in items_of if x is not None)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(spans, pair), pa.array(places, pair), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "bytes", "items"])
+                for r, (own, items_of) in found.items():
+                    spans[row + r], names[row + r] = own, sorted(x for x in items_of if x is not None)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), _spans(spans), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
+            yield out if every else out.filter(out.column(3).is_valid())
 
     return run
 
 
-def _cleaned(longest: int, coverage: tuple[int, int]):
-    part, of = coverage
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans and items of a document from several automata as one list each."""
+    for b in batches:
+        spans = [merge([tuple(x.values()) for x in own]) for own in b.column(2).to_pylist()]
+        names = [sorted(set(own)) for own in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _spans(spans), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "spans", "items"])
+
+
+def item_parts(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, words) of the benchmark: normalised words joined by spaces, in parts of bounded length that hold all windows;
+    items without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, texts = b.column(2).to_pylist(), b.column(1)
-            n_hit, spans, names, clean = [], [], [], []
-            for i, (own, places, items) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())):
-                own = merge([tuple(x) for x in own or ()])
-                hit = sum(y - x for x, y in own)
-                n_hit.append(hit), spans.append(own), names.append(sorted({*(items or ())}))
-                kept = None
-                limit = of * hit >= part * n[i]
-                if own and (limit or max(y - x for x, y in own) >= longest):
-                    raw, at, parts = texts[i].as_buffer().to_pybytes(), 0, []
-                    places = merge([tuple(x) for x in places])
-                    for x, y in places:
-                        if limit or len(WORD.findall(raw[x:y].lower())) >= longest:
-                            parts.append(raw[at:x])
-                            at = y
-                    kept = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
-                clean.append(kept)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["doc_id", "n_words", "n_hit", "spans", "items", "clean_text"])
+            out = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+                item = WORD.findall(text.as_buffer().to_pybytes().lower()) if text.is_valid else []
+                if item:
+                    out += [(name, b" ".join(item[at : at + PART_WORDS + window - 1])) for at in range(0, max(1, len(item) - window + 1), PART_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([w for _, w in out], pa.binary())], names=["item", "words"])
 
-    return run
+    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "item string, words binary")
 
 
-def normalised_items(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Item words in lists of bounded size; items without words are left out."""
-    chunk, held = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        item = WORD.findall((r["t"] or "").encode().lower())
-        cuts = [*range(0, max(1, len(item) - window + 1), CHUNK_WORDS), None]
-        for a, b in pairwise(cuts):
-            part = item[a : None if b is None else b + window - 1]
-            if not part:
-                continue
-            if held and held + len(part) > CHUNK_WORDS:
-                yield chunk
-                chunk, held = [], 0
-            chunk.append((r["i"], part))
-            held += len(part)
-    if chunk:
-        yield chunk
+def row_hash(text_col: str = "text"):
+    """With the id, what names a row: equal rows have equal results."""
+    return F.xxhash64(F.col(text_col)).alias("text_hash")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 1 << 30, coverage: tuple[int, int] = (1, 20), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items, contaminated, clean_text): one row per row of `docs`, extra columns ignored.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_words, n_hit, spans, items, contaminated): one row per row of `docs`, extra columns ignored.
 
     Words are runs of letters, digits and everything beyond ASCII, A-Z lower-cased.  A window is `window` consecutive
     words of an item, or all of a shorter item.  A word inside any occurrence of a window is hit; spans are the hit
-    words as disjoint [start, end).  contaminated: some word is hit and at least the share `coverage` (a fraction) of all words.
-    clean_text is null unless spans go: all spans of a contaminated document, else spans of `longest` words or more.
+    words as disjoint [start, end), and as bytes [from, to) of the text (null if there are none).  contaminated: some
+    word is hit and at least the share `coverage` (a fraction) of all words.
 
     Null or empty texts have no words; items without words have no windows; items with a null id hit but are not listed;
-    items with the same id count once.  An empty benchmark hits nothing."""
+    items with the same id count once.  Texts of any length are read whole.  Rows that repeat an id are told apart by
+    text_hash, and repeated rows come out as often.  An empty benchmark hits nothing; no documents give no rows."""
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *(F.lit(None).cast("array<array<int>>").alias(c) for c in ("spans", "bytes")), F.lit(None).cast("array<string>").alias("items"))
-    kind = out.schema["doc_id"].dataType.simpleString()
-    chunks = list(normalised_items(benchmark, window, item_col, item_text_col)) or [[]]
-    for k, chunk in enumerate(chunks):
-        if k:  # one automaton in memory at a time
-            out = written(out, "spans")
-        if not chunk:  # still counts words: an item that no text can hold
-            chunk = [(None, [b"\x00"] * window)]
-        out = out.mapInArrow(_scanned(uuid.uuid4().hex, spark.sparkContext.broadcast(chunk), window), f"doc_id {kind}, text string, n_words long, spans array<array<int>>, bytes array<array<int>>, items array<string>")
-    out = out.mapInArrow(_cleaned(longest, coverage), f"doc_id {kind}, n_words long, n_hit long, spans array<array<int>>, items array<string>, clean_text string")
+    own = docs.select(F.col(id_col).alias("doc_id"), row_hash(text_col), F.col(text_col).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    parts = written(item_parts(benchmark, window, item_col, item_text_col), "benchmark")
+    chunks = max(1, -(-(parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // CHUNK_BYTES))
+    dealt = parts.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(chunks)).alias("chunk"))
+    out, hits = None, []
+    for k in range(chunks):
+        # the rows of one chunk, of bounded size; with none, words are still counted: an item that no text can hold
+        chunk = [(r["item"], bytes(r["words"]).split(b" ")) for r in dealt.where(F.col("chunk") == k).collect()] or [(None, [b"\x00"] * window)]
+        sent = spark.sparkContext.broadcast(chunk)
+        found = own.mapInArrow(_scanned(uuid.uuid4().hex, sent, window, k == 0), f"doc_id {kind}, text_hash long, n_words long, spans {_SPANS}, items array<string>")
+        if chunks > 1:
+            found = written(found, "hits")
+            sent.unpersist()
+            hits.append(found.where("spans is not null").select("doc_id", "text_hash", "spans", "items"))
+        out = found if out is None else out
+    if chunks > 1:
+        every = hits[0]
+        for h in hits[1:]:
+            every = every.unionByName(h)
+        met = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        met = met.mapInArrow(_together, f"doc_id {kind}, text_hash long, spans {_SPANS}, items array<string>").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+        out = out.select("doc_id", "text_hash", "n_words").join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]), F.lit(0).cast("long"))
+    out = out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage[1] >= F.col("n_words") * coverage[0]))
+
+
+def remove_spans(docs: DataFrame, found: DataFrame, longest: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, without benchmark passages: contaminated texts lose all spans that
+    `found` (the result of decontaminate over the same rows) has of them, others the spans of `longest` words or more."""
+    gone = F.when(F.col("contaminated"), F.col("spans")).otherwise(F.filter("spans", lambda x: x["end"] - x["start"] >= longest))
+    marks = found.where("spans is not null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), gone.alias("__gone")).where("size(__gone) > 0")
+    marks = written(marks.dropDuplicates(["__id", "__hash"]), "removed")
+    met = docs.join(small(marks, 40, "16 * size(__gone)"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    raw = F.encode(docs[text_col], "UTF-8")
+    begins = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda x: x["to"]))
+    ends = F.concat(F.transform("__gone", lambda x: x["from"]), F.array(F.octet_length(docs[text_col])))
+    kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")), "")
+    return met.select(*(F.when(F.col("__gone").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns))

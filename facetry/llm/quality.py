@@ -23,6 +23,8 @@ FEATURES_LOG2 = 18
 FEATURES = 1 << FEATURES_LOG2
 #: Labelled rows that are fitted at most (those with the smallest hashes of their ids), and the shards they are dealt to.
 MOST_ROWS, SHARDS = 24_000, 8
+#: Bytes of their texts that are fitted at most, about, and of one text: longer texts are not learned from.
+MOST_BYTES, LONGEST_BYTES = 64 << 20, 1 << 18
 #: What a share of all words is worth: the scale of the inputs.
 SCALE = 4.0
 _TABLE = byte_table(NOT_SPACE, fold=True)
@@ -103,19 +105,52 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     return Model(float(weights[-1]), weights[:-1].astype(np.float32))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, text, label) of at most `rows` labelled documents: a bounded set of ids, so the texts are not shuffled to find them."""
+def sample(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = MOST_ROWS, size: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, text, label) of at most `rows` labelled documents with about `size` bytes of text: a bounded set of ids, so
+    the texts are not shuffled to find them.  Documents without a label, and labels without a document, are left out; a
+    text of more than LONGEST_BYTES as well; an id that is repeated in either table is a row for each match."""
     own = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__of"), F.col(label_col).alias("label"))
     n = own.count()
     if n > rows:  # by hash, a little less than the bound, which the limit then never has to enforce but for repeated ids
         own = own.where(F.pmod(F.xxhash64("__of"), F.lit(1 << 40)) < int(0.95 * rows / n * (1 << 40)))
     ids = own.limit(rows)
     met = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("__id") == F.col("__of"))
+    met = met.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_BYTES)
+    total = met.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > size:
+        met = met.where(F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1 << 40)) < int(size / total * (1 << 40)))
     return met.select(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), "text", "label")
 
 
+#: Bytes of a text whose features are in memory at once.
+PIECE = 4 << 20
+
+
+def long_dot(text: np.ndarray, weights: np.ndarray) -> tuple[float, int]:
+    """The sum of the weights that a long text's n-grams select, and its words, piece by piece."""
+    dot, n, at, before = 0.0, 0, 0, b""
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        while end < len(text) and _TABLE[text[end]]:
+            gap = np.flatnonzero(_TABLE[text[end : end + 65536]] == 0)
+            end = end + int(gap[0]) if len(gap) else min(len(text), end + 65536)
+        piece, at = text[at:end], end
+        own = piece.tobytes().strip()
+        if not own:
+            continue
+        _, f, count = features(piece, np.array([0, len(piece)]))
+        dot, n = dot + float(weights[f].sum(dtype=np.float64)), n + int(count[0])
+        if before:  # the pair of words that meet between two pieces: what two words have beyond themselves and their shapes
+            both = np.frombuffer(before + b" " + own.split(None, 1)[0], np.uint8)
+            dot += float(weights[features(both, np.array([0, len(both)]))[1][4:]].sum(dtype=np.float64))
+        before = own.rsplit(None, 1)[-1]
+    return dot, n
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): one row per row of `docs`, extra columns ignored; a text without words (empty, null) gets the bias's score."""
+    """(doc_id, score): one row per row of `docs`, extra columns ignored; a text without words (empty, null) gets the bias's
+    score.  Whole texts of any length are scored; repeated rows come out as often, equal texts with equal scores; an
+    empty table gives no rows."""
     own = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -124,6 +159,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out = np.zeros(b.num_rows)
             for row, buf, offsets in blocks(b.column(1)):
+                if len(buf) > PIECE:
+                    for i in range(len(offsets) - 1):
+                        dot, n = long_dot(buf[offsets[i] : offsets[i + 1]], m.weights)
+                        out[row + i] = dot * SCALE / max(n, 1)
+                    continue
                 at, f, n = features(buf, offsets)
                 dot = np.bincount(at, weights=m.weights[f], minlength=len(n))
                 out[row : row + len(n)] = dot * SCALE / np.maximum(n, 1)

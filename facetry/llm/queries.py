@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, quality, simhash, substring, token_counts
 from .common import documents, ready
 
-#: Where the vocabulary files lie; a parameter, as they are not part of this library.
-TOKENIZERS = os.environ.get("FACETRY_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary that tokens are counted and encoded with; a parameter, as the file is not part of this library.
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -22,7 +21,7 @@ def held_out(doc_id="doc_id"):
 
 
 def vocabulary() -> str:
-    return bpe.read_vocabulary(f"{TOKENIZERS}/{VOCABULARY}")
+    return bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +42,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = chat.loss_text(F.col("segments"))
     return out.select(
         "conv_id", F.size(read).cast("long").alias("n_turns"), F.sha2(each, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +107,17 @@ _SQL = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
         sized AS (
-            SELECT *, length(replace(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>'), ':', '\:')) AS n,
-                length(replace(replace(replace(replace(role, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>'), ':', '\:')) AS m FROM turns)
+            SELECT *, length(replace(replace(replace(replace(text, '\', '\\'), '#', '#\'), '<', '<\'), ':', ':\')) AS n,
+                length(replace(replace(replace(replace(role, '\', '\\'), '#', '#\'), '<', '<\'), ':', ':\')) AS m,
+                lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM turns)
         SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-            CAST(sum(4 + m + 2 + n + 9) AS BIGINT) AS formatted_chars
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+            CAST(sum(4 + m + 2 + n + 9) AS BIGINT) AS formatted_chars,
+            last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AND bool_and(
+                role = CASE before WHEN 'system' THEN 'user' WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' ELSE 'user' END
+                OR (before IS NULL AND role = 'system')) AS valid
         FROM sized GROUP BY conv_id""",
     "op4_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(FOLD_TEXT, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
