@@ -388,6 +388,15 @@ class Encoder(dict):
             self[w] = b"".join(ids[at : at + len(ts)])
             at += len(ts)
 
+    def know(self, words: set[str]) -> list[str]:
+        """Has all of some words at hand together; returns those that were learned."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(words)
+        self.learn(new)
+        return new
+
     def merged(self, text: str) -> bytes:
         """The ids of any text that the lexicon is not asked for."""
         return b"".join(self.vocabulary.merge_many([t.encode("utf-8", "surrogatepass") for t in PATTERN.findall(text)]))
@@ -405,11 +414,7 @@ class Encoder(dict):
             need.update(words[1:])
         tokens = [PATTERN.findall(words[0]) if words else [] for words in lists]
         firsts = self.vocabulary.merge_many([t.encode("utf-8", "surrogatepass") for ts in tokens for t in ts])
-        new = [w for w in need if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(need)
-        self.learn(new)
+        new = self.know(need)
         out, at = [], 0
         for t, words, own in zip(texts, lists, tokens):
             if words is None:
@@ -437,7 +442,7 @@ class Encoder(dict):
         out = []
         for part in parts_of(text):
             words = words_of(part)
-            self.learn([w for w in {*words[1:]} if w not in self])
+            self.know({*words[1:]})
             out.append(self.merged(words[0]))
             out += map(self.__getitem__, words[1:])
         return b"".join(out)
