@@ -84,8 +84,7 @@ def small(df: DataFrame, row_bytes: int, more: str = "0") -> DataFrame:
 
 def by_id(left: DataFrame, right: DataFrame, on: str = "doc_id", how: str = "left") -> DataFrame:
     """Equi-join on one column where null meets null; keeps the left column only."""
-    other = right.withColumnRenamed(on, "__on")
-    return left.join(other, left[on].eqNullSafe(other["__on"]), how).drop("__on")
+    return left.join(right.withColumnRenamed(on, "__on"), F.col(on).eqNullSafe(F.col("__on")), how).drop("__on")
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

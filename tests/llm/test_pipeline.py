@@ -4,18 +4,20 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_text_operators import brute_groups, brute_hits, brute_lines, brute_print, texts
+from test_text_operators import brute_groups, brute_hits, brute_lines, brute_print, some_languages, texts
 
 import corpus_pipeline
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: With columns that bear names of the operators' own.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, of string, row_name string, component long, rest string, __hash long"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "of", "row_name", "component", "rest", "__hash"]
 
 
 @pytest.fixture(scope="module")
 def rows():
-    own = [(k, t, "en" if k % 2 else "fr", "s", None if t is None else len(t)) for k, t in enumerate(texts())]
-    return [*own, own[20], (None, texts()[12], None, None, None), (None, None, None, None, None)]
+    more = ("a", "b", 3, "c", 4)
+    own = [(k, t, "en" if k % 2 else "fr", "s", None if t is None else len(t), *more) for k, t in enumerate(texts())]
+    return [*own, own[20], own[26], (26, "another text under the same id", "en", None, 3, *more), (None, texts()[12], *[None] * 8), (None, "all alone here", *[None] * 8), (None, "all alone here", *[None] * 8), (None, *[None] * 9)]
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +41,27 @@ def stage(name, spark, docs, folder):
 def test_language(spark, docs, rows, folder):
     columns, have = stage("language ID", spark, docs, folder)
     assert columns == COLUMNS
-    assert have == Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    from facetry.llm import langid
+    from facetry.llm.queries import held_out
+
+    found = {(r["doc_id"], r["text"]): r for r in langid.detect(docs, langid.train(docs.where(~held_out())), carry=("text",)).collect()}
+    verdict = lambda r: found[r[0], r[1]]
+    want = Counter((*r[:2], verdict(r)["lang_pred"], *r[3:]) for r in rows if verdict(r)["lang_pred"] != "und" and verdict(r)["score"] >= 0.5)
+    assert have == want and sum(have.values()) < len(rows)
+    own = {r[1] for r in corpus_pipeline.identify_languages(spark, docs, folder, wanted=["fr"]).collect()}
+    assert own == {r[1] for r in want if r[2] == "fr"}
+
+
+def test_the_model_decides_on_language(spark, folder):
+    """Texts that no pattern tells apart: of languages that are not wanted, and of three languages at once."""
+    names, say = some_languages(4)
+    known = [(1000 + k, say(k % 4, 60), names[k % 4], "s", 1) for k in range(60)]
+    rows = [(k, say(k, 50), None, "s", 1) for k in range(4)] + [(10, f"{say(0, 40)} {say(1, 40)} {say(2, 40)}", None, "s", 1), (11, f"{say(0, 50)} {say(1, 20)}", None, "s", 1)]
+    docs = spark.createDataFrame([*known, *rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, docs, folder).where("doc_id < 1000").collect()}
+    assert out == {0: names[0], 1: names[1], 2: names[2], 3: names[3], 11: names[0]}
+    assert {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, folder, wanted=names[1:3]).where("doc_id < 1000").collect()} == {1, 2}
+    assert {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, folder, least=0.9).where("doc_id < 1000").collect()} == {0, 1, 2, 3}
 
 
 def test_lines(spark, docs, rows, folder):
@@ -55,20 +77,26 @@ def test_lines(spark, docs, rows, folder):
 def test_near(spark, docs, rows, folder):
     columns, have = stage("SimHash near-dedup", spark, docs, folder)
     assert columns == COLUMNS
-    groups = brute_groups([(r[0], brute_print(r[1])) for r in rows])
-    assert have == Counter(r for r, (i, _, c) in zip(rows, groups) if i == c)
-    assert len(set(have)) < len(set(rows))
+    prints = [(k, brute_print(r[1])) for k, r in enumerate(rows)]
+    groups = {}
+    for k, _, c in brute_groups(prints):
+        groups.setdefault(c, []).append(rows[k])
+    best = {c: min((r[0] is None, r[0] or 0) for r in g) for c, g in groups.items()}
+    assert sum(have.values()) == len(groups) and all(n == 1 for n in have.values())
+    for r in have:
+        own = [c for c, g in groups.items() if r in g]
+        assert len(own) == 1 and (r[0] is None, r[0] or 0) == best[own[0]]
 
 
 def test_benchmark(spark, docs, rows, folder):
     columns, have = stage("benchmark decontamination", spark, docs, folder)
     assert columns == COLUMNS
     items = [(1, texts()[11]), (2, None)]
-    want = Counter()
-    for r in rows:
-        if not next(iter(brute_hits([r], items)))[4]:
-            want[r] += 1
-    assert have == want and sum(have.values()) < len(rows)
+    hit = lambda r: next(iter(brute_hits([r], items)))
+    assert have == Counter(r for r in rows if not hit(r)[4]) and sum(have.values()) < len(rows)
+    cut = corpus_pipeline.drop_contaminated(spark, docs, folder, passages_only=True).collect()
+    assert len(cut) == len(rows) and all(not hit(r)[4] for r in cut) and cut[0].__fields__ == COLUMNS
+    assert Counter(tuple(r) for r in cut if r["text"] in {x[1] for x in rows}) >= Counter(r for r in rows if r[1] and not hit(r)[2] and r[4] == len(r[1]))
 
 
 def test_encoding(spark, docs, rows, folder):
