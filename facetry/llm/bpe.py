@@ -542,7 +542,8 @@ def _encoder(own, key: str, lexicon: str | None) -> Encoder:
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids as binary, little-endian unsigned 32-bit; extra columns are ignored.
 
-    Whole texts; null counts as empty, which has no ids.  Special strings of the vocabulary become their ids."""
+    Whole texts of any length, part by part; null counts as empty, which has no ids.  Special strings of the vocabulary
+    become their ids.  One row a row, repeated ones included; an empty table gives no rows."""
     spark: SparkSession = docs.sparkSession
     own, key, kind = spark.sparkContext.broadcast(vocabulary), _name(vocabulary), docs.schema[id_col].dataType.simpleString()
 
@@ -560,7 +561,9 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, id_col:
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of `encoded` and `decoded`, the text of its ids; special tokens are kept.  Null ids give an empty text."""
+    """All columns of `encoded` and `decoded`, the text of its ids; special tokens are kept.  Null ids give an empty text;
+    bytes that are no UTF-8 become replacement characters; one row a row, of any length.  A column that is named `decoded`
+    already has to be renamed before."""
     own, key = encoded.sparkSession.sparkContext.broadcast(vocabulary), _name(vocabulary)
     at, names = encoded.columns.index(ids_col), [*encoded.columns, "decoded"]
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])

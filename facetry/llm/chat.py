@@ -59,7 +59,7 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     segments: array of (text, role, loss) in order; formatted is their text joined.  valid tells whether the roles obey
     the template's state machine; conversations that don't are formatted all the same.  Null roles and texts are empty,
     null turns come first, equal turns are ordered by role and text, repeated rows are repeated turns, null conv_ids
-    are one conversation.  Extra columns are ignored.  A conversation is one value, so its turns meet in one row; its
+    are one conversation.  Extra columns are ignored, an empty table gives no rows.  A conversation is one value, so its turns meet in one row; its
     size is bounded by what a string can hold (2 GB)."""
     t = template or Template()
     own = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

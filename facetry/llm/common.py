@@ -34,8 +34,8 @@ WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 
 def ready(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and lets Python workers on this machine import the package when it is not installed (a
-    cluster ships it with --py-files)."""
+    """Bounds Arrow batches for the rest of the session (plans are lazy, so the bound has to outlast the call), and lets
+    Python workers on this machine import the package when it is not installed (a cluster ships it with --py-files)."""
     for name, most in BATCH.items():
         now = str(spark.conf.get(name)).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:

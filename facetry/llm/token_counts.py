@@ -9,11 +9,12 @@ from .bpe import count_tokens
 from .common import written
 
 #: Lengths of one block of the histogram; suffix sums are taken within blocks and over the blocks' totals.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length; a null text has length 0."""
+    """(n_tokens, n_docs): documents by encoded length; a null or empty text has length 0, repeated rows count as often as
+    they come, texts of any length are encoded whole, other columns are ignored.  No rows for an empty table."""
     return count_tokens(docs, vocabulary, text_col).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
@@ -23,7 +24,8 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     n_docs (documents of length L), docs_at_least and tokens_at_least (documents of length L or more, their tokens),
     tokens_kept (tokens left when each document is cut to L), tokens_cut, share_within (share of documents of length L
     or less: the quantile that L is), total_docs and total_tokens.  Between two rows the sums are linear in L.  No rows
-    for an empty table."""
+    for an empty table.  One task sums over the blocks: a row for each BLOCK lengths up to the longest, however many
+    documents there are."""
     h = written(histogram.select("n_tokens", "n_docs", F.expr("n_tokens * n_docs").alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block")), "lengths")
     sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     beyond = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
