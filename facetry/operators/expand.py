@@ -76,11 +76,10 @@ class Expander:
 
     def property(self, p: Property, access: Access, key: Column, model: dict[str, Any]) -> Column:
         if p.many and isinstance(p.range, Embedded) and isinstance(p.storage, InColumn) and self._simple(model):
-            q = parse(model)
-            if not q.template:
-                return access(p.storage.name)
-            own = p.range.shape
-            return F.transform(access(p.storage.name), lambda x: self.record(own, lambda c: x[c], x, q))
+            q, own, held = parse(model), p.range.shape, access(p.storage.name)
+            if self.scope.limit:
+                held = F.slice(held, 1, self.scope.limit)
+            return F.transform(held, lambda x: self.record(own, lambda c: x[c], x, q)) if q.template else held
         if p.many:
             return self.collection(p, access, key, model)
         match p.storage:
@@ -99,7 +98,7 @@ class Expander:
     def _simple(self, model: dict[str, Any]) -> bool:
         """Whether a nested record can be built in place: no criteria and no collections of other rows."""
         q = parse(model)
-        return not (q.criteria or q.offset or q.limit or q.bindings or q.alternatives) and all(self._simple(m) for m in q.template.values() if isinstance(m, dict))
+        return not (q.criteria or q.offset or q.limit is not None or q.bindings or q.alternatives) and all(self._simple(m) for m in q.template.values() if isinstance(m, dict))
 
     def union(self, r: Range, columns: list[Column], model: dict[str, Any]) -> Column:
         """A value in one of several variants: a struct with a field for each requested one, null where none holds.
@@ -163,15 +162,36 @@ def _items(catalog: Catalog, df: DataFrame, r: Range) -> tuple[DataFrame, Node]:
     return df, Node(r, Value(tuple(parts)), access)
 
 
-def gather(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope) -> DataFrame:
-    """(OWNER, items): each owner's collection under a model, ordered and sliced on its own."""
+def items_of(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope) -> tuple[DataFrame, Column, list[str]]:
+    """The members of all owners' collections under a model, a row each: the frame with OWNER, the item, and the names of the
+    columns whose values order the members of an owner."""
     s = Select(catalog, base, root, model, scope, owned=True, nested=True)
     result = s.compile()
-    df = window(result, s.plan.query, True)
+    df = window(result, s.plan, True)
+    by = [RANK]
+    if RANK not in df.columns:
+        by = [f"__tie{k}" for k in range(len(result.tie))]
+        df = df.withColumns(dict(zip(by, result.tie)))
     df, cells = contents(catalog, df, result, s, scope)
     item = F.struct(*(c.alias(n) for n, c in cells)) if not (len(cells) == 1 and cells[0][0] == "") else cells[0][1]
-    rows = df.select(OWNER, F.struct(F.col(RANK), item.alias("item")).alias("x"))
-    return rows.groupBy(OWNER).agg(F.transform(F.array_sort(F.collect_list("x"), lambda a, b: (a[RANK] - b[RANK]).cast("int")), lambda x: x["item"]).alias("items"))
+    return df, item, by
+
+
+def gather(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope) -> DataFrame:
+    """(OWNER, items): each owner's collection under a model as one array, ordered and sliced on its own.
+
+    A collection becomes one value, so a limit in the model, or a cap of the request, bounds its size."""
+    df, item, by = items_of(catalog, base, root, model, scope)
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for n in reversed(by):
+            x, y = a[n], b[n]
+            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull() | (x < y), -1).when(y.isNull() | (x > y), 1).otherwise(out)
+        return out
+
+    rows = df.select(OWNER, F.struct(*by, item.alias("item")).alias("x"))
+    return rows.groupBy(OWNER).agg(F.transform(F.array_sort(F.collect_list("x"), compare), lambda x: x["item"]).alias("items"))
 
 
 def contents(catalog: Catalog, df: DataFrame, result: Result, s: Select, scope: Scope) -> tuple[DataFrame, list[tuple[str, Column]]]:

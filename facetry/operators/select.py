@@ -38,6 +38,8 @@ class Result:
     df: DataFrame
     order: list[Column]
     rows: Rows
+    #: What tells rows apart, most significant first: their order where none is asked for.
+    tie: list[Column] = field(default_factory=list)
     #: alias, column with the cell's key or value, node, model
     cells: list[tuple[str, Column, Node | None, Any]] = field(default_factory=list)
 
@@ -97,7 +99,8 @@ class Select:
 
     def __init__(self, catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope, owned: bool = False, nested: bool = False):
         self.catalog, self.base, self.root, self.scope, self.owned = catalog, base, root, scope, owned
-        self.plan: Plan = plan(root.range, parse(model), scope.plain, scope.depth, None if nested else scope.limit)
+        # depth is checked once, for the whole request
+        self.plan: Plan = plan(root.range, parse(model), scope.plain, None if nested else scope.depth, scope.limit)
         self.rows = self._rows(self.plan.required)
 
     def _rows(self, required: set) -> Rows:
@@ -259,14 +262,15 @@ class Select:
             else:
                 rows.df = rows.df.where(F.lit(None in options(c.value)) if c.op in "?!" else F.lit(False))
         values = {str(c.expression): reductions[str(c.expression)] if str(c.expression) in reductions else self.value(rows, c.expression) for c in (*p.ordering, *p.focusing) if not aggregates(c.expression) or str(c.expression) in reductions}
+        tie = self.root.value.order
         if not p.projection:
-            return Result(rows.df, self._ordered(values, self.root.value.order), rows)
+            return Result(rows.df, self._ordered(values, tie), rows, tie)
         cells = [self._cell(rows, b) for b in p.query.bindings]
-        order = self._ordered(values, self.root.value.order)
+        order = self._ordered(values, tie)
         alone = not rows.fanned and self.root.access and self.root.access[0][0].key and any(not b.expression.pipe and b.expression.path in ((), ("id",)) for b in p.query.bindings)
         if alone:
-            return Result(rows.df, order, rows, cells)
-        if p.ordering or p.focusing or p.query.limit or p.query.offset or self.owned:
+            return Result(rows.df, order, rows, tie, cells)
+        if p.sorted or p.sliced or self.owned:
             rows.df = self._first(rows.df, [*self.keys, *(k for _, k, _, _ in cells)], order)
         elif any(n is not None and m and isinstance(n.range, Dictionary | Union) for _, _, n, m in cells):
             rows.df = self._first(rows.df, [k for _, k, _, _ in cells], None)
@@ -274,7 +278,7 @@ class Select:
             names = [f"__c{k}" for k in range(len(cells))]
             rows.df = rows.df.select(*(key.alias(n) for n, (_, key, _, _) in zip(names, cells))).distinct()
             cells = [(alias, F.col(n), node, model) for n, (alias, _, node, model) in zip(names, cells)]
-        return Result(rows.df, order, rows, cells)
+        return Result(rows.df, order, rows, tie, cells)
 
     def _matched(self, rows: Rows) -> Rows:
         """The members that some row of a fan-out speaks for: their keys are made distinct on their own, which combines
@@ -372,24 +376,25 @@ class Select:
                 else:
                     out.append((alias, F.col(names[k]), node, model))
         rows.df = df
-        return Result(df, order, rows, out)
+        return Result(df, order, rows, [F.col(n) for n in names], out)
 
 
-def window(result: Result, query, owned: bool) -> DataFrame:
-    """Order and slice: of the whole frame, or of each owner's part, whose rows get their RANK."""
+def window(result: Result, p: Plan, owned: bool) -> DataFrame:
+    """Order and slice: of the whole frame, or of each owner's part, whose rows get their RANK.  Where a model asks for
+    neither, rows of an owner are not numbered."""
     df, order = result.df, result.order
     if owned:
-        # without an order an owner has one row: an aggregate without groupings
-        df = df.withColumn(RANK, F.row_number().over(Window.partitionBy(OWNER).orderBy(*order)) if order else F.lit(1))
-        if query.offset:
-            df = df.where(F.col(RANK) > query.offset)
-        return df.where(F.col(RANK) <= query.offset + query.limit) if query.limit else df
-    asked = any(c.op in "^+" for c in query.criteria)
-    if asked or query.limit or query.offset:
+        if not order or not (p.sorted or p.sliced):
+            return df
+        df = df.withColumn(RANK, F.row_number().over(Window.partitionBy(OWNER).orderBy(*order)))
+        if p.offset:
+            df = df.where(F.col(RANK) > p.offset)
+        return df.where(F.col(RANK) <= p.offset + p.limit) if p.limit else df
+    if any(c.op in "^+" for c in p.query.criteria) or p.sliced:
         df = df.orderBy(*order)
-    if query.offset:
-        df = df.offset(query.offset)
-    return df.limit(query.limit) if query.limit else df
+    if p.offset:
+        df = df.offset(p.offset)
+    return df.limit(p.limit) if p.limit else df
 
 
 def pick(r: Union, alternatives: dict[int, Any]) -> dict[int, Any]:
