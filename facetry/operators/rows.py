@@ -111,7 +111,8 @@ class Rows:
                 p = self._name()
                 self.df = self.df.join(prefixed(self.catalog.table(table).select(own, item), p), owner == F.col(p + own), how)
                 self.fanned = True
-                return self._held(prop.range, [F.col(p + item)], True, owner)
+                own = F.col(p + item)
+                return self._held(prop.range, [own[f"v{i}"] for i in range(len(prop.range.variants))] if isinstance(prop.range, Union) else [own], True, owner)
             case InVariants(names):
                 return self._held(prop.range, [access(n) for n in names], False, owner)
             case InColumn(column):

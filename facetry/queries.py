@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import detect, lookup_many, members, select
-from .sources.tables import Customer, Document, Event, LineItem, Nation, Order, Part, Party, Region, Supplier, catalog
+from .engine import detect, lookup_many, members, select, virtual
+from .shapes import Linked, Reference, Shape, ShapeError, multiple
+from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
+from .store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -223,6 +225,271 @@ for _name, _shape, _key, _column, _expr, _table in (
     _model("fn_" + (_name if ":" not in _name else "pipe_" + _name.replace(":", "_")), _shape, {"id=": {}, f"v={_name}:{_column}": {}}, f"SELECT {_key} AS id, {_expr} AS v FROM {_table}")
 
 
+# --- embedded records
+_OPENINGS = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations)"
+_model("embedded_filter", Conversation, {"id": {}, "?opening.role": "user", ">=length:opening.text": 60}, f"SELECT conv_id AS id FROM {_OPENINGS} WHERE k = 1 AND role = 'user' AND length(text) >= 60")
+_model("embedded_path", Conversation, {"conversation=": {}, "role=turns.role": {}}, "SELECT DISTINCT conv_id AS conversation, role FROM conversations")
+_model("embedded_aggregate", Conversation, {"id": {}, ">=count:turns": 4}, "SELECT conv_id AS id FROM conversations GROUP BY 1 HAVING count(*) >= 4")
+
+
+@_query("embedded_record", f"SELECT conv_id AS id, role, text FROM {_OPENINGS} WHERE k = 1")
+def _(spark, d):
+    return select(catalog(spark, d), Conversation, {"id": {}, "opening": {"role": {}, "text": {}}}).select("id", "opening.role", "opening.text")
+
+
+@_query("embedded_collection", "SELECT conv_id AS id, role FROM conversations")
+def _(spark, d):
+    out = select(catalog(spark, d), Conversation, {"id": {}, "turns": {"role": {}}})
+    return out.select("id", F.explode("turns").alias("t")).select("id", "t.role")
+
+
+# --- unions of references and of texts, their variants and cells
+_ABOUT = "FROM events LEFT JOIN customer ON event_type = 'purchase' AND c_custkey = user_id LEFT JOIN part ON event_type = 'view' AND p_partkey = event_id % 100 + 1"
+_model("union_join", Event, {"id=": {}, "name=about.name": {}}, f"SELECT event_id AS id, coalesce(c_name, p_name) AS name {_ABOUT}")
+_model("union_join_filter", Event, {"id": {}, ">about.acctbal": 5000}, f"SELECT event_id AS id {_ABOUT} WHERE c_acctbal > 5000")
+_model("union_reference_filter", Event, {"n=count:id": {}, "?about.brand": ["Brand#1", "Brand#2"]}, f"SELECT count(*) AS n {_ABOUT} WHERE p_brand IN ('Brand#1', 'Brand#2')")
+_CAPTION = "CASE WHEN doc_id % 2 = 0 OR lang = 'en' THEN source END"
+_model("mixed_text_filter", Document, {"id": {}, "~caption": "SRC1"}, f"SELECT doc_id AS id FROM documents WHERE contains({_CAPTION}, 'src1')", locale=["en"])
+_model("mixed_text_sort", Document, {"id": {}, "^caption": -1, "#": 15}, f"SELECT doc_id AS id FROM documents ORDER BY {_CAPTION} DESC NULLS LAST, doc_id LIMIT 15", locale=["en"])
+_model("mixed_text_any", Document, {"id": {}, "?caption": ["src3", {"de": "src4"}]}, "SELECT doc_id AS id FROM documents WHERE (doc_id % 2 = 0 AND source = 'src3') OR (doc_id % 2 = 1 AND lang = 'de' AND source = 'src4')")
+
+
+@_query("union_retrieval", f"SELECT event_id AS id, c_name AS customer, p_brand AS brand {_ABOUT}")
+def _(spark, d):
+    out = select(catalog(spark, d), Event, {"id": {}, "about": {"0": {"acctbal": {}, "name": {}}, "1": {"brand": {}}}})
+    return out.select("id", F.col("about.v0.name").alias("customer"), F.col("about.v1.brand").alias("brand"))
+
+
+@_query("union_retrieval_one", "SELECT event_id AS id, CASE WHEN event_type IN ('error', 'click') THEN event_type END AS word FROM events")
+def _(spark, d):
+    out = select(catalog(spark, d), Event, {"id": {}, "result": {"1": {}}})
+    return out.select("id", F.col("result.v1").alias("word"))
+
+
+@_query("union_binding", "SELECT event_id AS id, CASE WHEN event_type IN ('purchase', 'view') THEN value END AS number, CASE WHEN event_type IN ('error', 'click') THEN event_type END AS word FROM events")
+def _(spark, d):
+    out = select(catalog(spark, d), Event, {"id=": {}, "r=result": {"0": {}, "1": {}}})
+    return out.select("id", F.col("r.v0").alias("number"), F.col("r.v1").alias("word"))
+
+
+@_query("admitted_variants", "SELECT c_nationkey AS owner, c_name AS name, c_mktsegment AS segment FROM customer")
+def _(spark, d):
+    out = members(catalog(spark, d), Nation, "traders", {"0": {"name": {}, "segment": {}}}, flat=True)
+    return out.select("owner", "item.v0.name", "item.v0.segment")
+
+
+@_query("admitted_variants_topk", "SELECT owner, id FROM (SELECT c_nationkey AS owner, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k <= 2")
+def _(spark, d):
+    out = members(catalog(spark, d), Nation, "traders", {"0": {"segment": {}, "id": {}}, "#": 2}, flat=True)
+    return out.select("owner", F.col("item.v0.id").alias("id"))
+
+
+@_query("text_arrays", "SELECT doc_id AS id, unnest(CASE WHEN lang IN ('de', 'fr') THEN [source, lang] WHEN doc_id % 2 = 0 THEN ['even'] ELSE ['odd'] END) AS tag FROM documents")
+def _(spark, d):
+    out = select(catalog(spark, d), Document, {"id": {}, "tags": {}}, ["de", "fr", "und"])
+    return out.select("id", F.explode("tags").alias("tag"))
+
+
+@_query("locale_cell", "SELECT doc_id AS id, lang AS tag, source AS title FROM documents WHERE lang IN ('de', 'es')")
+def _(spark, d):
+    out = select(catalog(spark, d), Document, {"id=": {}, "t=titles": {"de": {}, "es": {}}})
+    return out.select("id", F.explode("t").alias("tag", "title"))
+
+
+# --- booleans, joins with the class itself and through link tables
+_model("filter_boolean_lt", Label, {"id": {}, "<harmful": True}, "SELECT doc_id AS id FROM labels WHERE toxic = 0")
+_model("filter_boolean_gte", Label, {"id": {}, ">=harmful": True, "?quality": 1}, "SELECT doc_id AS id FROM labels WHERE toxic = 1 AND quality = 1")
+_model("group_boolean", Label, {"harmful=harmful": {}, "n=count:id": {}, "low=min:harmful": {}}, "SELECT toxic = 1 AS harmful, count(*) AS n, min(toxic = 1) AS low FROM labels GROUP BY 1")
+_model("join_self", Document, {"id=": {}, "source=lead.source": {}, "?lead.lang": "en"}, "SELECT d.doc_id AS id, l.source AS source FROM documents d JOIN documents l ON l.doc_id = d.doc_id - d.doc_id % 10 WHERE l.lang = 'en'")
+_LINKS = "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
+_model("join_link", Part, {"part=": {}, "supplier=suppliers.name": {}, "?suppliers.nation": [3, 4]}, f"SELECT l_partkey AS part, s_name AS supplier FROM {_LINKS} JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey IN (3, 4)")
+_model("join_link_count", Part, {"brand=brand": {}, "n=count:suppliers": {}}, f"SELECT p_brand AS brand, count(l_suppkey) AS n FROM part LEFT JOIN {_LINKS} ON l_partkey = p_partkey GROUP BY 1")
+_model("join_link_all", Part, {"id": {}, "!suppliers": [1, 2]}, "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 2)")
+
+
+@_query("link_topk", f"SELECT part, id FROM (SELECT l_partkey AS part, s_suppkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM {_LINKS} JOIN supplier ON s_suppkey = l_suppkey) WHERE k <= 2")
+def _(spark, d):
+    out = members(catalog(spark, d), Part, "suppliers", {"id": {}, "^acctbal": -1, "#": 2}, flat=True)
+    return out.select(F.col("owner").alias("part"), "item.id")
+
+
+# --- virtual resources, bare templates, caps, flat members
+@_query("lookup_virtual", "SELECT '/world' AS world, 'World' AS kind, r_regionkey AS id, r_name AS name FROM region")
+def _(spark, d):
+    world = Shape("World", {"regions": multiple(Reference(lambda: Region), Linked("world_regions", "world", "region"))})
+    out = virtual(catalog(spark, d), "/world", world, {"id": {}, "type": {}, "regions": {"id": {}, "name": {}}})
+    return out["regions"].select(F.lit(out["id"]).alias("world"), F.lit(out["type"]).alias("kind"), "id", "name")
+
+
+@_query("lookup_empty_template", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity >= 49 AND l_orderkey IN (SELECT o_orderkey FROM orders)")
+def _(spark, d):
+    c = catalog(spark, d)
+    return lookup_many(c, Order, c.frame(LineItem).where("l_quantity >= 49").select(F.col("l_orderkey").alias("id")), {})
+
+
+@_query("limit_nested", "SELECT id, customer FROM (SELECT n_nationkey AS id, c_custkey AS customer, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey IN (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 3)) WHERE k <= 3")
+def _(spark, d):
+    out = select(catalog(spark, d), Nation, {"id": {}, "customers": {"id": {}}}, limit=3)
+    return out.select("id", F.explode("customers").alias("c")).select("id", F.col("c.id").alias("customer"))
+
+
+@_query("limit_lookup", "SELECT id, part FROM (SELECT l_suppkey AS id, l_partkey AS part, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey IN (1, 2, 3))) WHERE k <= 2")
+def _(spark, d):
+    c = catalog(spark, d)
+    own = Shape("Source", {"parts": multiple(Reference(lambda: Part), Linked("part_suppliers", "supplier", "part"))}, "s_suppkey", Supplier.key_type)
+    c.bind(own, lambda: c.frame(Supplier))
+    out = lookup_many(c, own, [1, 2, 3], {"parts": {"id": {}}}, limit=2)
+    return out.select("id", F.explode("parts").alias("p")).select("id", F.col("p.id").alias("part"))
+
+
+@_query("owner_flat", "SELECT o_custkey AS owner, o_orderkey AS id, o_totalprice AS total FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, d):
+    out = members(catalog(spark, d), Customer, "orders", {"id": {}, "total": {}, "?status": "P"}, flat=True)
+    return out.select("owner", "item.id", "item.total")
+
+
+_REJECTED = {
+    "limit waived under a cap": (Order, {"#": 0}, {"limit": 8}), "limit over a cap": (Order, {"#": 9}, {"limit": 8}), "nested limit waived under a cap": (Nation, {"customers": {"#": 0}}, {"limit": 8}), "nested limit over a cap": (Nation, {"customers": {"#": 9}}, {"limit": 8}),
+    "aggregate in a plain request": (Order, {"n=count:id": {}}, {"plain": True}), "nested aggregate in a plain request": (Nation, {"customers": {"n=count:": {}}}, {"plain": True}), "path too deep": (Order, {"n=customer.nation": {}}, {"depth": 1}), "template too deep": (Nation, {"region": {"name": {}}}, {"depth": 0}),
+    "cell bound twice": (Order, {"a=status": {}, "a=total": {}}, {}), "key in the middle of a path": (Order, {"a=id.status": {}}, {}), "order by many values": (Customer, {"^orders.total": 1}, {}), "order by what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "^total": 1}, {}),
+    "focus on what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "+priority": ["1-URGENT"]}, {}), "order of references": (Order, {">customer": 1}, {}), "text sought in numbers": (Order, {"~total": "x"}, {}), "transform of another type": (Order, {"a=year:total": {}}, {}), "unknown transform": (Order, {"a=odd:total": {}}, {}),
+    "aggregate of an aggregate": (Order, {"a=sum:max:total": {}}, {}), "unknown property": (Order, {"odd": {}}, {}), "no variant fits": (Event, {"about": {"0": {"odd": {}}}}, {}), "negative offset": (Order, {"@": -1}, {}),
+}
+
+
+@_query("rejections", "SELECT request, true AS rejected FROM (VALUES " + ", ".join(f"('{k}')" for k in _REJECTED) + ") v(request)")
+def _(spark, d):
+    c, out = catalog(spark, d), []
+    for name, (shape, model, caps) in _REJECTED.items():
+        try:
+            select(c, shape, model, **caps)
+            out.append((name, False))
+        except ShapeError:
+            out.append((name, True))
+    return spark.createDataFrame(out, "request string, rejected boolean")
+
+
+@_query("admissions", "SELECT request, true AS admitted FROM (VALUES ('limit within a cap'), ('reference at depth 0'), ('localised text at depth 0'), ('path within the depth'), ('template within the depth')) v(request)")
+def _(spark, d):
+    c, out = catalog(spark, d), []
+    for name, shape, model, caps in (("limit within a cap", Order, {"#": 8}, {"limit": 8}), ("reference at depth 0", Customer, {"nation": {}, "orders": {}}, {"depth": 0}), ("localised text at depth 0", Document, {"titles": {"de": {}}}, {"depth": 0}), ("path within the depth", Order, {"n=customer.nation": {}}, {"depth": 2}), ("template within the depth", Nation, {"region": {"name": {}}, "customers": {"orders": {"total": {}}}}, {"depth": 2})):
+        out.append((name, bool(select(c, shape, model, **caps).columns)))
+    return spark.createDataFrame(out, "request string, admitted boolean")
+
+
+# --- writes: batches of resources, cascades, links, transactions
+_NEW = "(SELECT s_suppkey + 1450 AS id, s_name AS name FROM supplier)"
+
+
+def _people(store: Store) -> DataFrame:
+    return store.catalog.frame(Person).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+def _new_people(store: Store) -> DataFrame:
+    """Suppliers as people; some of the keys are taken."""
+    return store.catalog.frame(Dealer).select((F.col("s_suppkey") + 1450).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit(0.0).alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey"))
+
+
+@_query("write_create", f"SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT id, name FROM {_NEW} WHERE id NOT IN (SELECT c_custkey FROM customer)")
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.create_all(Person, _new_people(store))
+    return _people(store)
+
+
+@_query("write_update", f"SELECT c_custkey AS id, coalesce(n.name, c_name) AS name FROM customer LEFT JOIN {_NEW} n ON n.id = c_custkey")
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.update_all(Person, _new_people(store))
+    return _people(store)
+
+
+@_query("write_insert", f"SELECT id, name FROM {_NEW} UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM {_NEW})")
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.insert_all(Person, _new_people(store))
+    return _people(store)
+
+
+def _state(store: Store) -> DataFrame:
+    """All that a store holds, a row each: class, key, and the reference that it bears."""
+    c = store.catalog
+    own = lambda s, ref: c.frame(s).select(F.lit(s.name).alias("class"), F.col(s.key).cast("long").alias("id"), ref.cast("long").alias("ref"))
+    out = own(Land, F.lit(None)).unionByName(own(Person, F.col("c_nationkey"))).unionByName(own(Bill, F.col("o_custkey"))).unionByName(own(Dealer, F.col("s_nationkey")))
+    return out.unionByName(c.table("dealings").select(F.lit("dealing").alias("class"), F.col("person").cast("long").alias("id"), F.col("dealer").cast("long").alias("ref")))
+
+
+def _state_sql(lands: str = "true", people: str = "true", dealers: str = "true", emptied: str = "false") -> str:
+    """The same, of what is left: conditions on n_nationkey, on c_custkey and c_nationkey, on s_suppkey; which dealers lose their land."""
+    return f"""WITH p AS (SELECT * FROM customer WHERE {people}), s AS (SELECT * FROM supplier WHERE {dealers})
+        SELECT 'Land' AS class, CAST(n_nationkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS ref FROM nation WHERE {lands}
+        UNION ALL SELECT 'Person', c_custkey, c_nationkey FROM p UNION ALL SELECT 'Bill', o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM p)
+        UNION ALL SELECT 'Dealer', s_suppkey, CASE WHEN {emptied} THEN NULL ELSE s_nationkey END FROM s
+        UNION ALL SELECT 'dealing', c_custkey, s_suppkey FROM p JOIN s ON c_nationkey = s_nationkey"""
+
+
+_GONE = "(SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"
+
+
+@_query("write_cascade", _state_sql(f"n_nationkey NOT IN {_GONE}", f"c_nationkey NOT IN {_GONE}", "true", f"s_nationkey IN {_GONE}"))
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.remove_all(Land, store.catalog.frame(Land).where("n_regionkey = 2").select(F.col("n_nationkey").alias("id")))
+    return _state(store)
+
+
+@_query("write_delete", _state_sql(people="c_custkey <> 7"))
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.remove_all(Person, spark.createDataFrame([(7,), (-5,)], "id long"))
+    return _state(store)
+
+
+@_query("write_clear_references", _state_sql(dealers="s_suppkey % 3 <> 0"))
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.remove_all(Dealer, store.catalog.frame(Dealer).where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id")))
+    return _state(store)
+
+
+@_query("write_links", "SELECT c_custkey AS person, s_suppkey AS dealer FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey <> 2 UNION SELECT c_custkey, 1 FROM customer")
+def _(spark, d):
+    store = Store(ledger(spark, d))
+    store.link_all(DEALINGS, store.catalog.frame(Person).select(F.col("c_custkey").alias("person"), F.lit(1).cast("long").alias("dealer")))
+    store.link_all(DEALINGS, store.catalog.table("dealings").where("dealer = 2"), gone=True)
+    return store.catalog.table("dealings")
+
+
+@_query("write_transaction", f"SELECT id, name FROM {_NEW} WHERE id <> 1451 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM {_NEW}) AND c_nationkey <> 4")
+def _(spark, d):
+    store = Store(ledger(spark, d))
+
+    def task(s: Store) -> None:
+        s.remove_all(Land, spark.createDataFrame([(4,)], "id int"))
+        s.insert_all(Person, _new_people(s))
+        s.remove_all(Person, spark.createDataFrame([(1451,)], "id long"))
+
+    store.execute(task)
+    return _people(store)
+
+
+@_query("write_rejected", "SELECT request, true AS rejected FROM (VALUES ('repeated key'), ('missing member'), ('limit broken'), ('value out of a list'), ('column missing')) v(request)")
+def _(spark, d):
+    store, out = Store(ledger(spark, d)), []
+    person, bill = "c_custkey long, c_name string, c_acctbal double, c_nationkey int", "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long"
+    cases = {
+        "repeated key": (Person, [(1, "a", 0.0, 1), (1, "b", 0.0, 1)], person), "missing member": (Person, [(1, None, 0.0, 1)], person), "limit broken": (Person, [(1, "a", -1e9, 1)], person),
+        "value out of a list": (Bill, [(1, 5.0, "X", 1)], bill), "column missing": (Bill, [(1, 5.0)], "o_orderkey long, o_totalprice double"),
+    }
+    for name, (shape, rows, kind) in cases.items():
+        try:
+            store.insert_all(shape, spark.createDataFrame(rows, kind))
+            out.append((name, False))
+        except ShapeError:
+            out.append((name, True))
+    return spark.createDataFrame(out, "request string, rejected boolean")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["facet"](spark, sf_dir)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def columns(p: Property) -> tuple[str, ...]:
     return ()
 
 
+class Source(Protocol):
+    """Where classes come from: any store of tables that Spark reads."""
+
+    def frame(self, shape: Shape) -> DataFrame:
+        """The rows of a class, in the columns that its properties name."""
+
+    def table(self, link: str) -> DataFrame:
+        """The rows of a link table."""
+
+
 class Catalog:
     """Frames by class and link tables by name; frames are made when they are first read and never cached here."""
 
@@ -39,6 +50,14 @@ class Catalog:
         self._links[name] = frame if callable(frame) else lambda: frame
         return self
 
+    def serve(self, source: Source, *shapes: Shape, links: tuple[str, ...] = ()) -> Catalog:
+        """Binds classes and link tables to a source, which is asked for them when they are read."""
+        for shape in shapes:
+            self.bind(shape, lambda s=shape: source.frame(s))
+        for name in links:
+            self.link(name, lambda n=name: source.table(n))
+        return self
+
     def parquet(self, folder: str, tables: Mapping[str, Shape]) -> Catalog:
         """Binds each class to `folder`/<table>.parquet; columns and filters reach the scan through the plans made of it."""
         for table, shape in tables.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shapes import Dictionary, InVariants, Property, Reference, Reversed, Shape, Union, decimal, integer, local, multiple, optional, required, string
+from ..shapes import Dictionary, Embedded, InVariants, Linked, Property, Reference, Reversed, Shape, Union, boolean, decimal, integer, local, multiple, optional, required, string
 from .catalog import Catalog
 
 _LONG, _INT = T.LongType(), T.IntegerType()
@@ -22,12 +22,14 @@ Nation = Shape(
     {
         "name": required(string, "n_name"), "region": required(_to("Region"), "n_regionkey"),
         "customers": multiple(_to("Customer"), Reversed("c_nationkey"), foreign=True), "suppliers": multiple(_to("Supplier"), Reversed("s_nationkey"), foreign=True),
+        # whoever trades there: a link table whose items are of two classes
+        "traders": multiple(Union((_to("Customer"), _to("Supplier"))), Linked("nation_traders", "nation", "trader")),
     },
     "n_nationkey", _INT,
 )
 Customer = Shape("Customer", {"name": required(string, "c_name"), "acctbal": required(decimal, "c_acctbal"), "segment": required(string, "c_mktsegment"), "nation": required(_to("Nation"), "c_nationkey"), "orders": multiple(_to("Order"), Reversed("o_custkey"), foreign=True)}, "c_custkey", _LONG)
 Supplier = Shape("Supplier", {"name": required(string, "s_name"), "acctbal": required(decimal, "s_acctbal"), "nation": required(_to("Nation"), "s_nationkey"), "items": multiple(_to("LineItem"), Reversed("l_suppkey"), foreign=True)}, "s_suppkey", _LONG)
-Part = Shape("Part", {"name": required(string, "p_name"), "brand": required(string, "p_brand"), "ptype": required(string, "p_type"), "size": required(integer, "p_size"), "price": required(decimal, "p_retailprice"), "items": multiple(_to("LineItem"), Reversed("l_partkey"), foreign=True)}, "p_partkey", _LONG)
+Part = Shape("Part", {"name": required(string, "p_name"), "brand": required(string, "p_brand"), "ptype": required(string, "p_type"), "size": required(integer, "p_size"), "price": required(decimal, "p_retailprice"), "suppliers": multiple(_to("Supplier"), Linked("part_suppliers", "part", "supplier")), "items": multiple(_to("LineItem"), Reversed("l_partkey"), foreign=True)}, "p_partkey", _LONG)
 Order = Shape(
     "Order",
     {
@@ -52,34 +54,93 @@ Event = Shape(
         "ts": required(local, "ts"), "user": required(integer, "user_id"), "etype": required(string, "event_type"), "value": required(decimal, "value"), "props": required(string, "props"),
         # a number for purchases and views, a word for errors and clicks, nothing for the rest
         "result": Property(Union((decimal, string)), InVariants(("result_number", "result_word")), 0, 1),
+        # a customer for purchases, a part for views
+        "about": Property(Union((_to("Customer"), _to("Part"))), InVariants(("about_customer", "about_part")), 0, 1),
     },
     "event_id", _LONG,
 )
-Document = Shape("Document", {"text": required(string, "text"), "lang": required(string, "lang"), "source": required(string, "source"), "chars": required(integer, "n_chars"), "label": Property(_to("Label"), Reversed("doc_id"), 0, 1, foreign=True), "titles": optional(Dictionary(), "titles")}, "doc_id", _LONG)
-Label = Shape("Label", {"quality": required(integer, "quality"), "toxic": required(integer, "toxic")}, "doc_id", _LONG)
+Document = Shape(
+    "Document",
+    {
+        "text": required(string, "text"), "lang": required(string, "lang"), "source": required(string, "source"), "chars": required(integer, "n_chars"),
+        "label": Property(_to("Label"), Reversed("doc_id"), 0, 1, foreign=True), "titles": optional(Dictionary(), "titles"), "tags": optional(Dictionary(many=True), "tags"),
+        # plain text for even ids, localised text for odd ones; and the first document of each ten
+        "caption": Property(Union((string, Dictionary())), InVariants(("caption_plain", "caption_tagged")), 0, 1), "lead": optional(_to("Document"), "lead"),
+    },
+    "doc_id", _LONG,
+)
+Label = Shape("Label", {"quality": required(integer, "quality"), "toxic": required(integer, "toxic"), "harmful": required(boolean, "harmful")}, "doc_id", _LONG)
+Turn = Shape("Turn", {"role": required(string, "role"), "text": required(string, "text")}, None)
+Conversation = Shape("Conversation", {"turns": multiple(Embedded(Turn), "turns"), "opening": optional(Embedded(Turn), "opening")}, "conv_id", _LONG)
 #: Whoever trades: what customers and suppliers have in common.
 Party = Shape("Party", {"name": required(string, "name"), "acctbal": required(decimal, "acctbal"), "nation": required(_to("Nation"), "nation")}, "id", T.StringType())
 Buyer = Shape("Buyer", {"segment": required(string, "segment")}, "id", T.StringType(), (Party,))
 Seller = Shape("Seller", {}, "id", T.StringType(), (Party,))
 
-SHAPES = {s.name: s for s in (Region, Nation, Customer, Supplier, Part, Order, LineItem, Event, Document, Label, Party, Buyer, Seller)}
+SHAPES = {s.name: s for s in (Region, Nation, Customer, Supplier, Part, Order, LineItem, Event, Document, Label, Conversation, Party, Buyer, Seller)}
 
 
 def _events(df: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return df.withColumns({"result_number": F.when(kind.isin("purchase", "view"), F.col("value")), "result_word": F.when(kind.isin("error", "click"), kind)})
+    result = {"result_number": F.when(kind.isin("purchase", "view"), F.col("value")), "result_word": F.when(kind.isin("error", "click"), kind)}
+    return df.withColumns({**result, "about_customer": F.when(kind == "purchase", F.col("user_id")), "about_part": F.when(kind == "view", F.col("event_id") % 100 + 1)})
 
 
 def _documents(df: DataFrame) -> DataFrame:
     """Titles by language: the source under the document's own, and the id's parity under `und`."""
-    return df.withColumn("titles", F.create_map(F.col("lang"), F.col("source"), F.lit("und"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")))
+    even, lang, source = F.col("doc_id") % 2 == 0, F.col("lang"), F.col("source")
+    parity = F.when(even, "even").otherwise("odd")
+    return df.withColumns({
+        "titles": F.create_map(lang, source, F.lit("und"), parity), "tags": F.create_map(lang, F.array(source, lang), F.lit("und"), F.array(parity)),
+        "caption_plain": F.when(even, source), "caption_tagged": F.when(~even, F.create_map(lang, source)), "lead": F.col("doc_id") - F.col("doc_id") % 10,
+    })
+
+
+def _conversations(df: DataFrame) -> DataFrame:
+    """A row for each conversation, with its turns as nested records in order."""
+    turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    own = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    return turns.select("conv_id", own.alias("turns"), F.get(own, 0).alias("opening"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """All classes over a folder of driver tables."""
-    own = Catalog(spark).parquet(sf_dir, {"region": Region, "nation": Nation, "customer": Customer, "supplier": Supplier, "part": Part, "orders": Order, "lineitem": LineItem, "labels": Label})
+    own = Catalog(spark).parquet(sf_dir, {"region": Region, "nation": Nation, "customer": Customer, "supplier": Supplier, "part": Part, "orders": Order, "lineitem": LineItem})
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    own.bind(Event, lambda: _events(read("events"))).bind(Document, lambda: _documents(read("documents")))
+    own.bind(Event, lambda: _events(read("events"))).bind(Document, lambda: _documents(read("documents"))).bind(Conversation, lambda: _conversations(read("conversations")))
+    own.bind(Label, lambda: read("labels").withColumn("harmful", F.col("toxic") == 1))
+    own.link("part_suppliers", lambda: read("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct())
+    trader = lambda df, nation, v0, v1: df.select(F.col(nation).alias("nation"), F.struct(v0.cast("long").alias("v0"), v1.cast("long").alias("v1")).alias("trader"))
+    own.link("nation_traders", lambda: trader(read("customer"), "c_nationkey", F.col("c_custkey"), F.lit(None)).unionByName(trader(read("supplier"), "s_nationkey", F.lit(None), F.col("s_suppkey"))))
     party = lambda df, p, *more: df.select(F.concat(F.lit(f"/{p}/"), F.col(f"{p}_{'custkey' if p == 'c' else 'suppkey'}")).alias("id"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_acctbal").alias("acctbal"), F.col(f"{p}_nationkey").alias("nation"), *more)
     own.bind(Buyer, lambda: party(read("customer"), "c", F.col("c_mktsegment").alias("segment"))).bind(Seller, lambda: party(read("supplier"), "s"))
     return own
+
+
+# --- the same tables to write to: what lands hold captive goes with them
+
+
+def _land():
+    return Reference(lambda: Land)
+
+
+Bill = Shape("Bill", {"total": required(decimal, "o_totalprice"), "status": required(string.limited(one_of=("O", "F", "P")), "o_orderstatus"), "person": optional(Reference(lambda: Person), "o_custkey")}, "o_orderkey", _LONG)
+Person = Shape(
+    "Person",
+    {
+        "name": required(string.limited(min_length=1), "c_name"), "acctbal": required(decimal.limited(min_inclusive=-100_000), "c_acctbal"), "land": optional(_land(), "c_nationkey"),
+        "bills": multiple(Reference(lambda: Bill, captive=True), Reversed("o_custkey"), foreign=True), "dealers": multiple(Reference(lambda: Dealer), Linked("dealings", "person", "dealer")),
+    },
+    "c_custkey", _LONG,
+)
+Land = Shape("Land", {"name": required(string, "n_name"), "people": multiple(Reference(lambda: Person, captive=True), Reversed("c_nationkey"), foreign=True)}, "n_nationkey", _INT)
+Dealer = Shape("Dealer", {"name": required(string, "s_name"), "land": optional(_land(), "s_nationkey")}, "s_suppkey", _LONG)
+DEALINGS = Person.properties["dealers"].storage
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Lands, people, their bills, dealers, and who deals with whom (each person with the dealers of a land)."""
+    own = Catalog(spark).parquet(sf_dir, {"nation": Land, "customer": Person, "orders": Bill, "supplier": Dealer})
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    pairs = lambda: read("customer").join(read("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("person"), F.col("s_suppkey").alias("dealer"))
+    return own.link("dealings", pairs)

@@ -9,9 +9,12 @@ from collections.abc import Mapping
 from decimal import Decimal
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shapes import BOOLEAN, NUMERIC, TEMPORAL, Dictionary, Embedded, Property, Range, Reference, Scalar, Shape, ShapeError, Union, duration, time, year
+from .plans.grammar import parse, tag_ranges
+from .shapes import BOOLEAN, NUMERIC, TEMPORAL, Dictionary, Embedded, InColumn, Property, Range, Reference, Scalar, Shape, ShapeError, Union, duration, time, year
 
 
 class EntryError(ValueError):
@@ -169,3 +172,97 @@ def _many(p: Property, value: Any, at: str) -> list[Any]:
         raise ShapeError(f"{at} takes {p.least} to {p.most or 'any number of'} values")
     return own
 
+
+
+# --- many states at once
+
+
+def _breaks(limits: tuple[tuple[str, Any], ...], value: Column) -> Column:
+    out = F.lit(False)
+    for name, bound in limits:
+        out = out | {
+            "min_length": lambda: F.length(value) < bound, "max_length": lambda: F.length(value) > bound, "pattern": lambda: ~value.rlike(bound), "one_of": lambda: ~value.isin(*bound),
+            "min_inclusive": lambda: value < bound, "max_inclusive": lambda: value > bound, "min_exclusive": lambda: value <= bound, "max_exclusive": lambda: value >= bound,
+        }[name]()
+    return out
+
+
+def violation(shape: Shape, rows: DataFrame) -> str | None:
+    """What a frame of states breaks of a class's columns, required members, numbers of values and limits of scalars; None
+    if nothing.  One pass over the frame."""
+    wanted = {shape.key, *(p.storage.name for p in shape.properties.values() if isinstance(p.storage, InColumn) and not p.foreign)}
+    if missing := sorted(wanted - set(rows.columns)):
+        return f"{shape.name}: no column {missing[0]!r}"
+    checks = {f"{shape.key} is missing or repeated": F.count(F.lit(1)) != F.count_distinct(shape.key)}
+    for name, p in shape.properties.items():
+        if not isinstance(p.storage, InColumn) or p.foreign:
+            continue
+        value = F.col(p.storage.name)
+        n = F.coalesce(F.size(value), F.lit(0)) if p.many else value.isNotNull().cast("int")
+        if p.least:
+            checks[f"{name} takes at least {p.least}"] = F.bool_or(n < p.least)
+        if p.many and p.most is not None:
+            checks[f"{name} takes at most {p.most}"] = F.bool_or(n > p.most)
+        limits = p.range.limits if isinstance(p.range, Scalar) else ()
+        if limits:
+            checks[f"{name} breaks {dict(limits)}"] = F.bool_or(F.coalesce(F.exists(value, lambda x, own=limits: _breaks(own, x)) if p.many else _breaks(limits, value), F.lit(False)))
+    found = rows.agg(*(c.alias(f"c{k}") for k, c in enumerate(checks.values()))).first()
+    return next((f"{shape.name}: {text}" for text, bad in zip(checks, found) if bad), None)
+
+
+# --- answers
+
+
+def conforms(shape: Shape, model: Mapping[str, Any], answer: Any, where: str = "") -> None:
+    """Raises unless an answer holds only what a template asks for, in values that the shape admits; members may be absent."""
+    if not isinstance(answer, Mapping):
+        raise ShapeError(f"{where or shape.name}: {answer!r} is no record")
+    for name, value in answer.items():
+        at = f"{where}.{name}" if where else name
+        if name in ("id", "type") and name not in shape.properties:
+            if not isinstance(value, str):
+                raise ShapeError(f"{at}: {value!r} is not a text")
+        elif name not in model or name not in shape.properties:
+            raise ShapeError(f"{at} was not asked for")
+        else:
+            _conforms(shape.property(name), model[name] or {}, value, at)
+
+
+def _conforms(p: Property, model: Mapping[str, Any], value: Any, at: str) -> None:
+    q = parse(model) if not isinstance(p.range, Dictionary) else None
+    if q is not None and q.bindings:  # a projection: rows with its cells
+        cells = {b.alias for b in q.bindings}
+        for row in value if isinstance(value, list | tuple) else [value]:
+            if not isinstance(row, Mapping) or not set(row) <= cells:
+                raise ShapeError(f"{at}: {row!r} is no row of {sorted(cells)}")
+        return
+    if p.many != isinstance(value, list | tuple):
+        raise ShapeError(f"{at}: {value!r} is {'no' if p.many else 'a'} list")
+    for item in value if p.many else [value]:
+        errors = []
+        for r in p.range.variants if isinstance(p.range, Union) else (p.range,):
+            for own in q.alternatives.values() if q is not None and q.alternatives else [model]:
+                try:
+                    _fits(r, own, item, at)
+                    break
+                except ShapeError as e:
+                    errors.append(str(e))
+            else:
+                continue
+            break
+        else:
+            raise ShapeError(errors[0])
+
+
+def _fits(r: Range, model: Mapping[str, Any], value: Any, at: str) -> None:
+    if isinstance(r, Dictionary):
+        if tag_ranges(model):
+            value_of(r, value, at)
+        elif not (isinstance(value, list | tuple) and all(isinstance(t, str) for t in value) if r.many else isinstance(value, str)):
+            raise ShapeError(f"{at}: {value!r} is no text")
+    elif isinstance(r, Scalar):
+        value_of(Scalar(r.name, r.tier, r.spark), value, at)  # limits are those of writes
+    elif isinstance(value, Mapping):
+        conforms(r.shape, parse(model).template, value, at)
+    elif isinstance(r, Embedded) or parse(model).template or not isinstance(value, str):
+        raise ShapeError(f"{at}: {value!r} is no record")
