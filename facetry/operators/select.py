@@ -390,7 +390,7 @@ def window(result: Result, p: Plan, owned: bool) -> DataFrame:
         if p.offset:
             df = df.where(F.col(RANK) > p.offset)
         return df.where(F.col(RANK) <= p.offset + p.limit) if p.limit else df
-    if any(c.op in "^+" for c in p.query.criteria) or p.sliced:
+    if order and (any(c.op in "^+" for c in p.query.criteria) or p.sliced):  # a whole aggregate is one row
         df = df.orderBy(*order)
     if p.offset:
         df = df.offset(p.offset)

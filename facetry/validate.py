@@ -111,7 +111,7 @@ def value_of(r: Range, value: Any, where: str) -> Any:
                 raise ShapeError(f"{where}: each tag has {'a list of texts' if r.many else 'one text'}")
             for tag, texts in value.items():
                 for t in texts if r.many else [texts]:
-                    if not isinstance(t, str):
+                    if not isinstance(t, str) or not t:
                         raise ShapeError(f"{where}: {t!r} under {tag} is not a text")
                     _limits(r.limits, t, where)
             return {k: list(dict.fromkeys(v)) if r.many else v for k, v in value.items()}

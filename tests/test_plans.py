@@ -1,23 +1,23 @@
 """Models taken apart and typed, without Spark plans."""
 
 import pytest
-from toys import Product, Vendor
+from voyages import Port, Ship, Voyage
 
 from facetry.plans.analyze import plan
 from facetry.plans.grammar import Expression, expression, parse, tag_ranges
 from facetry.shapes import IRI, Dictionary, Reference, ShapeError, Union, date, integer, schema, time
 
 
-def typed(model, shape=Product, **caps):
+def typed(model, shape=Voyage, **caps):
     return plan(Reference(lambda: shape), parse(model), **caps)
 
 
 def test_keys():
-    assert expression("round:avg:vendor.score") == Expression(("round", "avg"), ("vendor", "score"))
+    assert expression("round:avg:ship.insured") == Expression(("round", "avg"), ("ship", "insured"))
     assert expression("count:") == Expression(("count",), ()) and expression("") == Expression((), ())
     q = parse({"a=b.c": {}, ">=x": 1, "?y": [None], "^z": "desc", "@": 3, "#": 4, "gone": None})
     assert [b.alias for b in q.bindings] == ["a"] and [(c.op, str(c.expression), c.value) for c in q.criteria] == [(">=", "x", 1), ("?", "y", [None]), ("^", "z", -1)]
-    assert (q.offset, q.limit, q.template) == (3, 4, {})
+    assert (q.offset, q.limit, q.template) == (3, 4, {}) and parse({}).limit is None and parse({"#": 0}).limit == 0
     assert parse({"0": {}, "1": {"x": {}}}).alternatives == {0: {}, 1: {"x": {}}}
     assert tag_ranges({"en": {}, "*": {}, "~": "x"}) == ["en", "*"]
     for bad in ("a b", "a..b", ":a", "a:1", "1a"):
@@ -26,28 +26,37 @@ def test_keys():
 
 
 def test_forms():
-    assert typed({"v=vendor": {}, "n=count:id": {}}).grouped and typed({">count:reviews": 1}).itemised
-    assert not typed({"v=vendor": {}, ">count:reviews": 1}).grouped
-    own = typed({"^price": 2, "^stock": -1, "^sku": 0, "+condition": ["new"], "+stock": []})
-    assert [str(c.expression) for c in own.ordering] == ["stock", "price"] and [str(c.expression) for c in own.focusing] == ["condition"]
+    assert typed({"s=ship": {}, "n=count:id": {}}).grouped and typed({">count:papers": 1}).itemised
+    assert not typed({"s=ship": {}, ">count:papers": 1}).grouped
+    own = typed({"^tide": 2, "^number": -1, "^kind": 0, "+kind": ["liner"], "+number": []})
+    assert [str(c.expression) for c in own.ordering] == ["number", "tide"] and [str(c.expression) for c in own.focusing] == ["kind"]
+
+
+def test_limits():
+    assert [typed(m, most=9).limit for m in ({}, {"#": 4}, {"#": 9})] == [9, 4, 9] and [typed(m).limit for m in ({}, {"#": 0}, {"#": 4})] == [0, 0, 4]
+    q = parse({})
+    assert plan(Reference(lambda: Voyage), q, most=5).limit == 5 and q.limit is None
+    for bad in (0, 10):
+        with pytest.raises(ShapeError):
+            typed({"#": bad}, most=9)
 
 
 def test_branches():
-    own = typed({"c=categories": {}, "y=year:launched": {}, "m=max:price": {}, "?vendor.founded": ["1990", None], "~name": "x", "?summary": {"en": "a"}, "!documents": []})
+    own = typed({"c=calls": {}, "m=month:sails": {}, "t=max:tide": {}, "?ship.built": ["1990", None], "~remark": "x", "?notes": {"en": "a"}, "!papers": []})
     at = lambda *p: own.root.at(p)
-    assert at("categories").many and at("categories").grouping and at("launched").computed and at("price").aggregate and not at("price").grouping
-    assert at("vendor").constrained and not at("vendor").filtered and at("vendor", "founded").filtered and at("vendor", "founded").admits_absent
-    assert at("summary").tagged and isinstance(at("summary").range, Union) and isinstance(at("name").range, Dictionary) and not at("documents").constrained
-    assert own.required == {("name",), ("summary",)} and own.transforms == {"year", "max"} and own.projections["c"] is at("categories")
+    assert at("calls").many and at("calls").grouping and at("sails").computed and at("tide").aggregate and not at("tide").grouping
+    assert at("ship").constrained and not at("ship").filtered and at("ship", "built").filtered and at("ship", "built").admits_absent
+    assert at("notes").tagged and isinstance(at("remark").range, Union) and isinstance(at("notes").range, Dictionary) and not at("papers").constrained
+    assert own.required == {("remark",), ("notes",)} and own.transforms == {"month", "max"} and own.projections["c"] is at("calls")
 
 
 def test_cardinality_composes():
-    own = typed({"a=categories.code": {}, "b=reviews.rating": {}, "c=vendor.name": {}, "d=vendor.aliases": {}})
+    own = typed({"a=calls.code": {}, "b=ship.log.knots": {}, "c=ship.sign": {}, "d=ship.home.spokes": {}})
     assert [own.projections[k].many for k in "abcd"] == [True, True, False, True]
 
 
 def test_schema_carries_what_properties_are():
-    kinds = {f.name: f.metadata["kind"] for f in schema(Product).fields}
-    assert kinds["name"] == "dictionary" and kinds["vendor"] == "reference" and kinds["reviews"] == "embedded" and kinds["summary"] == "union"
+    kinds = {f.name: f.metadata["kind"] for f in schema(Voyage).fields}
+    assert kinds["notes"] == "dictionary" and kinds["ship"] == "reference" and kinds["fare"] == "union" and {f.name: f.metadata["kind"] for f in schema(Ship).fields}["log"] == "embedded"
     assert (time.tier, date.tier, integer.tier) == (2, 2, 1) and IRI == 4
-    assert [f.name for f in schema(Vendor)["contacts"].dataType.elementType.fields] == ["v0", "v1", "v2"]
+    assert [f.name for f in schema(Voyage)["cargo"].dataType.elementType.fields] == ["v0", "v1"] and "spokes" not in schema(Port).fieldNames()

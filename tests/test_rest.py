@@ -4,55 +4,87 @@ import base64
 import json
 
 import pytest
-from toys import Vendor
+from voyages import Crate, Ship
 
 from facetry.shapes import ShapeError
 from facetry.sources.rest import Problem, Response, RestStore, accept_language
-from facetry.validate import EntryError
+from facetry.validate import EntryError, conforms
 
-STATE = {"code": "1", "name": "a"}
+STATE = {"tons": 4}
 
 
-def stub(*responses):
+def stub(*responses, **more):
     calls, left = [], list(responses)
 
     def send(method, url, headers, body):
         calls.append((method, url, dict(headers), body))
         return left.pop(0)
 
-    return RestStore(send), calls
+    return RestStore(send, **more), calls
 
 
 def test_lookup():
-    store, calls = stub(Response(200, {}, '{"name": "a"}'), Response(404), Response(500), Response(200, {}, "{"), Response(200, {}, '{"odd": 1}'))
-    assert store.lookup("http://x/v/1", Vendor, {"name": {}}, ["it", "en"]) == {"name": "a"}
+    store, calls = stub(Response(200, {}, '{"tons": 4}'), Response(404), Response(500), Response(200, {}, "{"), Response(200, {}, '{"odd": 1}'), Response(200, {}, '{"tons": "four"}'))
+    assert store.lookup("http://x/c/1", Crate, {"tons": {}}, ["no", "en"]) == {"tons": 4}
     method, url, headers, body = calls[0]
-    assert method == "GET" and json.loads(base64.b64decode(url.split("?")[1])) == {"name": {}} and body is None
-    assert headers["Accept-Language"] == "it;q=1, en;q=0.667, *;q=0.333"
-    assert store.lookup("http://x/v/2", Vendor, {}) is None and calls[1][1] == "http://x/v/2"
-    for _ in range(3):
+    assert method == "GET" and json.loads(base64.urlsafe_b64decode(url.split("?")[1])) == {"tons": {}} and body is None
+    assert headers["Accept-Language"] == "no;q=1.000, en;q=0.500, *;q=0.001"
+    assert store.lookup("http://x/c/2", Crate, {}) is None and calls[1][1] == "http://x/c/2"
+    for _ in range(4):
         with pytest.raises(Problem):
-            store.lookup("http://x/v/1", Vendor, {"name": {}})
+            store.lookup("http://x/c/1", Crate, {"tons": {}})
     with pytest.raises(EntryError):
-        store.lookup("http://x/v/1", Vendor, {}, virtual=True)
+        store.lookup("http://x/c/1", Crate, {}, virtual=True)
     with pytest.raises(ShapeError):
-        store.lookup("http://x/v/1", Vendor, {"odd": {}})
+        store.lookup("http://x/c/1", Crate, {"odd": {}})
+
+
+def test_models_survive_the_query_string():
+    model = {"sign": {}, "voyages": {"?kind": "?~ÿ>>>ÿ???~~", "number": {}}}
+    store, calls = stub(Response(200, {}, "{}"))
+    assert set("+/") & set(base64.b64encode(json.dumps(model, ensure_ascii=False).encode()).decode())
+    store.lookup("http://x/s/1", Ship, model)
+    sent = calls[0][1].split("?", 1)[1]
+    assert not set("+/ ") & set(sent) and json.loads(base64.urlsafe_b64decode(sent)) == model
+
+
+@pytest.mark.parametrize(
+    "answer,good",
+    [
+        ({"id": "/ships/S1", "sign": "S1", "home": {"code": "P02", "names": "x"}, "log": [{"knots": 7}], "owner": {"family": "Berg"}, "voyages": ["/voyages/1"]}, True), ({}, True), ({"owner": "State", "log": []}, True), ({"sign": 5}, False), ({"home": "/ports/P1"}, False), ({"home": {"ice": True}}, False),
+        ({"home": {"code": 5}}, False), ({"log": {"knots": 7}}, False), ({"log": [{"knots": "x"}]}, False), ({"voyages": [{"number": 1}]}, False), ({"owner": {"shares": 5}}, False), ({"built": "1990"}, False), ([], False), ({"type": 5}, False),
+    ],
+)
+def test_answers_hold_what_was_asked_for(answer, good):
+    model = {"id": {}, "type": {}, "sign": {}, "home": {"code": {}, "names": {}}, "log": {"knots": {}}, "owner": {"0": {"family": {}}, "1": {}}, "voyages": {}}
+    try:
+        conforms(Ship, model, answer)
+        assert good
+    except ShapeError:
+        assert not good
+
+
+def test_trusted_answers_are_taken_as_they_are():
+    store, _ = stub(Response(200, {}, '{"odd": 1}'), trusted=True)
+    assert store.lookup("http://x/c/1", Crate, {"tons": {}}) == {"odd": 1}
 
 
 def test_writes():
     store, calls = stub(Response(201, {"Location": "1"}), Response(409), Response(201), Response(201, {"location": "http://y/1"}), Response(204), Response(404), Response(204), Response(404), Response(404), Response(404))
-    assert store.create("http://x/v/", Vendor, STATE) == "http://x/v/1" and store.create("http://x/v/", Vendor, STATE) is None
+    assert store.create("http://x/c/", Crate, STATE) == "http://x/c/1" and store.create("http://x/c/", Crate, STATE) is None
     for _ in range(2):
         with pytest.raises(Problem):
-            store.create("http://x/v/", Vendor, STATE)
-    one = "http://x/v/1"
-    assert store.update(one, Vendor, STATE) == one and store.update(one, Vendor, STATE) is None
-    assert store.insert(one, Vendor, STATE) == one and calls[-1][2]["Prefer"] == "handling=lenient"
+            store.create("http://x/c/", Crate, STATE)
+    one = "http://x/c/1"
+    assert store.update(one, Crate, STATE) == one and store.update(one, Crate, STATE) is None
+    assert store.insert(one, Crate, STATE) == one and calls[-1][2]["Prefer"] == "handling=lenient"
     with pytest.raises(Problem):
-        store.insert(one, Vendor, STATE)
-    assert store.delete(one, Vendor) is None and "Prefer" not in calls[-1][2]
-    assert store.remove(one, Vendor) == one and calls[-1][2]["Prefer"] == "handling=lenient"
+        store.insert(one, Crate, STATE)
+    assert store.delete(one, Crate) is None and "Prefer" not in calls[-1][2]
+    assert store.remove(one, Crate) == one and calls[-1][2]["Prefer"] == "handling=lenient"
 
 
-def test_weights():
-    assert accept_language(["en"]) == "en;q=1, *;q=0.5"
+def test_weights_fall():
+    own = accept_language([f"l{k}" for k in range(30)]).split(", ")
+    weights = [float(x.split("q=")[1]) for x in own]
+    assert weights == sorted(weights, reverse=True) and weights[-1] > 0 and own[-1].startswith("*")

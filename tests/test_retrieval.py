@@ -1,216 +1,260 @@
-"""Retrieval over the toy catalogue against a plain reading of its rows."""
+"""Retrieval over the shipping line against a plain reading of its rows."""
 
-import datetime as dt
 import math
 from collections import Counter
 
 import pytest
-import toys
-from toys import PRODUCTS, VENDORS, Category, Product, Resource, Vendor
+import voyages
+from pyspark.sql import functions as F
+from voyages import PORTS, SHIPS, VOYAGES, Asset, Guest, Port, Ship, Voyage
 
-from facetry.engine import decode, lookup_many, members, select
-from facetry.shapes import ShapeError
+from facetry.engine import decode, lookup_many, members, select, virtual
+from facetry.shapes import Linked, Reference, Shape, ShapeError, multiple
 
 
 @pytest.fixture(scope="module")
 def catalog(spark):
-    return toys.catalog(spark)
+    return voyages.catalog(spark)
 
 
 @pytest.fixture(scope="module")
 def ask(catalog):
-    def run(shape, model, locale=None, **more):
-        return [decode(r) for r in select(catalog, shape, model, locale, **more).collect()]
+    return lambda shape, model, locale=None, **more: [decode(r) for r in select(catalog, shape, model, locale, **more).collect()]
 
-    return run
 
+SHIP, PORT = {s["id"]: s for s in SHIPS}, {p["id"]: p for p in PORTS}
 
-def ids(rows):
-    return sorted(r["id"] for r in rows)
 
+def numbers(rows):
+    return sorted(r["number"] for r in rows)
 
-def where(test):
-    return sorted(p["id"] for p in PRODUCTS if test(p))
 
+def log(v):
+    return SHIP[v["ship"]]["log"]
 
-VENDOR = {v["id"]: v for v in VENDORS}
 
+def number(v, key="fare"):
+    x = v.get(key)
+    return x if isinstance(x, int | float) and not isinstance(x, bool) else None
 
-# --- criteria
 
+CRITERIA = {
+    # comparisons: numbers, text, dates, times, booleans, unions by the operand's tier
+    "<tide": (0, lambda v: v.get("tide", 1) < 0), ">=number": (110, lambda v: v["number"] >= 110), ">kind": ("liner", lambda v: v["kind"] > "liner"), ">=sails": ("2031-06-01", lambda v: v.get("sails", "") >= "2031-06-01"),
+    "<ship.built": ("2000", lambda v: SHIP[v["ship"]].get("built", "9") < "2000"), ">fare": (10, lambda v: (number(v) or 0) > 10), "<=fare": ("z", lambda v: v.get("fare") == "on request"), "<calls.ice": (True, lambda v: any(not PORT[p]["ice"] for p in v["calls"])),
+    # several values: one of them is enough
+    ">papers": ("doc-1", lambda v: len(v["papers"]) == 3), ">=ship.log.knots": (15, lambda v: any(w["knots"] >= 15 for w in log(v))), ">calls.draught": (14, lambda v: any(PORT[p].get("draught", 0) > 14 for p in v["calls"])),
+    # words
+    "~ship.owner": ("hands PRIV", lambda v: v["ship"] == "/ships/S0"), "~kind": ("E", lambda v: "e" in v["kind"]),
+    # any of
+    "?tide": ([None, -2.5], lambda v: v.get("tide") in (None, -2.5)), "?kind": (["ferry", 5, True], lambda v: v["kind"] == "ferry"), "?sails": (["2031-02-02", "x"], lambda v: v.get("sails") == "2031-02-02"), "?id": (["/voyages/103", "/none"], lambda v: v["number"] == 103),
+    "?calls.hub.hub.code": ("P00", lambda v: any(PORT[PORT.get(PORT[p].get("hub"), {}).get("hub")]["code"] == "P00" for p in v["calls"] if PORT.get(PORT[p].get("hub"), {}).get("hub"))), "?notes": ({"no": "rolig"}, lambda v: "no" in v["notes"]),
+    "?cargo.berth": ("B1", lambda v: v["number"] == 101), "?cargo.bound.code": ("P02", lambda v: v["number"] == 102), "?papers": ([], lambda v: True), "?ship.log.at": (["2031-03-01T07:00:00+02:00"], lambda v: v["ship"] == "/ships/S1"), "?cargo": (["/guests/0"], lambda v: v["number"] == 100),
+    # all of
+    "!kind": (["liner", "ferry"], lambda v: False), "!papers": (["doc-0", "doc-2"], lambda v: len(v["papers"]) == 3), "!ship.log.officer": ([None], lambda v: not log(v)), "!calls": (["/ports/P01", "/ports/P04"], lambda v: {"/ports/P01", "/ports/P04"} <= set(v["calls"])),
+    # through transforms and aggregates
+    ">=month:sails": (7, lambda v: int(v.get("sails", "0000-00")[5:7]) >= 7), "?round:fare": ([3, 19], lambda v: number(v) is not None and math.floor(number(v) + 0.5) in (3, 19)), ">=hours:ship.bell": (9, lambda v: v["ship"] == "/ships/S1"), "!abs:tide": (2.5, lambda v: v.get("tide") in (2.5, -2.5)),
+    ">=sum:ship.log.knots": (20, lambda v: sum(w["knots"] for w in log(v)) >= 20), "<count:papers": (1, lambda v: not v["papers"]), ">=count:calls": (2, lambda v: len(v["calls"]) > 1), "!max:ship.log.knots": ([7], lambda v: max((w["knots"] for w in log(v)), default=0) == 7),
+}
 
-@pytest.mark.parametrize(
-    "key,value,test",
-    [
-        (">=price", 50, lambda p: p["price"] >= 50), ("<change", 0, lambda p: p.get("change", 1) < 0), (">condition", "new", lambda p: p["condition"] > "new"),
-        (">=launched", "2020-01-01", lambda p: p.get("launched", "") >= "2020-01-01"), ("?change", [None, -2.5], lambda p: p.get("change") in (None, -2.5)), ("?condition", ["new", 5, True], lambda p: p["condition"] == "new"),
-        ("?launched", ["2016-02-15", "x"], lambda p: p.get("launched") == "2016-02-15"), ("!condition", ["new", "used"], lambda p: False), ("!documents", ["http://d/0", "http://d/2"], lambda p: len(p["documents"]) == 3),
-        ("!reviews.rating", [None], lambda p: not p["reviews"]), ("!categories", ["/categories/1100", "/categories/1110"], lambda p: len(p["categories"]) == 2 and "/categories/1110" in p["categories"]),
-        ("?categories.code", "1110", lambda p: "/categories/1110" in p["categories"]), ("?categories.broader.broader.code", "1000", lambda p: "/categories/1110" in p["categories"]), (">documents", "http://d/1", lambda p: len(p["documents"]) == 3),
-        ("<vendor.founded", "2000", lambda p: VENDOR[p["vendor"]].get("founded", "9") < "2000"), (">vendor.score", 3, lambda p: isinstance(s := VENDOR[p["vendor"]].get("score"), float | int) and s > 3), ("<=vendor.score", "B", lambda p: VENDOR[p["vendor"]].get("score") == "A"),
-        ("~vendor.address", "TOKYO some", lambda p: p["vendor"] == "/vendors/0002"), (">=year:launched", 2020, lambda p: int(p.get("launched", "0")[:4]) >= 2020), ("?round:price", [11, 58], lambda p: math.floor(p["price"] + 0.5) in (11, 58)),
-        (">=sum:reviews.rating", 8, lambda p: sum(r["rating"] for r in p["reviews"]) >= 8), ("<count:reviews", 1, lambda p: not p["reviews"]), (">=count:categories", 2, lambda p: len(p["categories"]) > 1), ("!max:reviews.rating", [5], lambda p: max((r["rating"] for r in p["reviews"]), default=0) == 5),
-        ("!abs:reviews.rating", [4, 5], lambda p: {4, 5} <= {r["rating"] for r in p["reviews"]}), ("?id", ["/products/P03", "/none"], lambda p: p["sku"] == "P03"), ("?name", {"it": ["Gioco 1", "Gioco 3"], "en-US": "US 0"}, lambda p: p["name"].get("it") in ("Gioco 1", "Gioco 3") or p["name"].get("en-US") == "US 0"),
-        ("?keywords", {"it": "rosso"}, lambda p: "it" in p["keywords"]), ("?media.url", "http://x/v1", lambda p: p["sku"] == "P01"), ("?media.subject.code", "1000", lambda p: "media" in p), ("?condition", [], lambda p: True),
-        (">=hours:vendor.opens", 9, lambda p: p["vendor"] == "/vendors/0004"), ("?reviews.posted", ["2024-01-01T09:00:00+02:00"], lambda p: p["sku"] == "P01"),
-    ],
-)
-def test_criteria(ask, key, value, test):
-    assert ids(ask(Product, {"id": {}, key: value})) == where(test)
+
+@pytest.mark.parametrize("key", CRITERIA)
+def test_criteria(ask, key):
+    value, test = CRITERIA[key]
+    want = [v["number"] for v in VOYAGES if test(v)]
+    assert numbers(ask(Voyage, {"number": {}, key: value})) == want
 
 
-def test_criteria_on_one_path_hold_for_one_value(ask):
-    test = lambda p: any(r["rating"] >= 4 and r["author"] == "A2" for r in p["reviews"])
-    loose = lambda p: any(r["rating"] >= 4 for r in p["reviews"]) and any(r["author"] == "A2" for r in p["reviews"])
-    assert where(test) != where(loose)
-    assert ids(ask(Product, {"id": {}, ">=reviews.rating": 4, "?reviews.author": "A2"})) == where(test)
+def test_criteria_under_one_path_speak_of_one_value(ask):
+    one = lambda s: any(w["knots"] >= 7 and w["officer"] == "O1" for w in s["log"])
+    some = lambda s: any(w["knots"] >= 7 for w in s["log"]) and any(w["officer"] == "O1" for w in s["log"])
+    assert [s["id"] for s in SHIPS if one(s)] != [s["id"] for s in SHIPS if some(s)]
+    assert sorted(r["id"] for r in ask(Ship, {"id": {}, ">=log.knots": 7, "?log.officer": "O1"})) == [s["id"] for s in SHIPS if one(s)]
 
 
-def test_criteria_on_localised_text_read_the_label(ask):
-    first = lambda p: p["name"].get("it", p["name"]["en"])
-    assert ids(ask(Product, {"id": {}, "~name": "gioco"}, ["it", "en"])) == where(lambda p: "gioco" in first(p).lower())
-    assert ask(Product, {"id": {}, "~name": "toy"}) == [] and ask(Product, {"id": {}, "~name": "toy"}, []) == []
-    assert ids(ask(Product, {"id": {}, "~summary": "words"}, ["en"])) == where(lambda p: "summary" in p)
+def test_criteria_on_localised_text_read_one_label(ask):
+    label = lambda p: p["names"].get("no", p["names"]["en"])
+    assert sorted(r["code"] for r in ask(Port, {"code": {}, "~names": "HAVN"}, ["no", "en"])) == [p["code"] for p in PORTS if "havn" in label(p).lower()]
+    assert not ask(Port, {"code": {}, "~names": "harbour"}) and not ask(Port, {"code": {}, "~names": "harbour"}, [])
+    assert numbers(ask(Voyage, {"number": {}, "~remark": "seas"}, ["en"])) == [v["number"] for v in VOYAGES if "remark" in v]
+    own = ask(Port, {"code": {}, "?names": {"no": ["Havn 1", "Havn 3"], "en-GB": "Dock 10"}})
+    assert sorted(r["code"] for r in own) == [p["code"] for p in PORTS if p["names"].get("no") in ("Havn 1", "Havn 3") or p["names"].get("en-GB") == "Dock 10"]
 
 
-# --- projections and groups
+# --- cells and groups
 
 
-def rows_of(rows):
+def bag(rows):
     return Counter(tuple(sorted((k, str(v)) for k, v in r.items())) for r in rows)
 
 
-def test_fan_out_is_a_product_of_sets(ask):
-    want = [{"sku": p["sku"], "c": c, "d": d} for p in PRODUCTS for c in p["categories"] for d in p["documents"]]
-    assert rows_of(ask(Product, {"sku=sku": {}, "c=categories": {}, "d=documents": {}})) == rows_of(want)
-    cells = ask(Product, {"sku=sku": {}, "r=reviews.rating": {}})
-    assert {r["sku"] for r in cells} == {p["sku"] for p in PRODUCTS} and any("r" not in r for r in cells)
+def test_several_valued_cells_multiply(ask):
+    want = [{"n": v["number"], "c": c, "p": p} for v in VOYAGES if v["papers"] for c in v["calls"] for p in v["papers"]]
+    have = ask(Voyage, {"n=number": {}, "c=calls": {}, "p=papers": {}})
+    assert bag(r for r in have if "p" in r) == bag(want) and bag(r for r in have if "p" not in r) == bag({"n": v["number"], "c": c} for v in VOYAGES if not v["papers"] for c in v["calls"])
 
 
 def test_groups(ask):
-    have = ask(Product, {"condition=condition": {}, "n=count:sku": {}, "total=sum:change": {}, "mean=avg:change": {}, "low=min:launched": {}, "words=sum:length:documents": {}, "top=round:max:price": {}})
-    for r in have:
-        own = [p for p in PRODUCTS if p["condition"] == r["condition"]]
-        changes = [p["change"] for p in own if "change" in p for _ in p["documents"]]
-        assert r["n"] == sum(len(p["documents"]) for p in own) and r["total"] == pytest.approx(sum(changes))
-        assert r.get("mean") == (pytest.approx(sum(changes) / len(changes)) if changes else None)
-        assert str(r["low"]) == min(p["launched"] for p in own if "launched" in p) and r["words"] == sum(len(d) for p in own for d in p["documents"])
-        assert r["top"] == math.floor(max(p["price"] for p in own) + 0.5)
+    have = ask(Voyage, {"kind=kind": {}, "n=count:number": {}, "sum=sum:tide": {}, "mean=avg:tide": {}, "first=min:sails": {}, "chars=sum:length:papers": {}, "top=round:max:tide": {}})
     assert len(have) == 3
+    for r in have:
+        own = [v for v in VOYAGES if v["kind"] == r["kind"]]
+        rows = [v for v in own for _ in v["papers"] or [None]]
+        tides = [v["tide"] for v in rows if "tide" in v]
+        assert r["n"] == len(rows) and r["sum"] == pytest.approx(sum(tides)) and r.get("mean") == (pytest.approx(sum(tides) / len(tides)) if tides else None)
+        assert str(r["first"]) == min(v["sails"] for v in own if "sails" in v) and r["chars"] == sum(len(p) for v in own for p in v["papers"])
+        assert r.get("top") == (math.floor(max(tides) + 0.5) if tides else None)
 
 
-def test_absent_and_mixed_keys_are_groups(ask):
-    years = ask(Product, {"y=year:launched": {}, "n=count:sku": {}})
-    assert {r.get("y"): r["n"] for r in years} == Counter(int(p["launched"][:4]) if "launched" in p else None for p in PRODUCTS)
-    scores = ask(Vendor, {"s=score": {}, "n=count:": {}})
-    assert len(scores) == 5 and sum("s" not in r for r in scores) == 1
-    kinds = ask(Product, {"c=categories": {}, "n=count:id": {}, ">=count:id": 7, "^count:id": -1})
-    want = Counter(c for p in PRODUCTS for c in p["categories"])
-    assert [(r["c"], r["n"]) for r in kinds] == sorted(((c, n) for c, n in want.items() if n >= 7), key=lambda x: (-x[1], x[0]))
-
-
-def test_whole_and_empty_aggregates(ask):
-    assert ask(Product, {"n=count:": {}, "s=sum:price": {}, "a=avg:price": {}, ">price": 10**6}) == [{"n": 0, "s": 0.0}]
-    assert ask(Vendor, {"n=count:score": {}, "low=min:id": {}}) == [{"n": 4}]
-    assert ask(Product, {"n=count:categories": {}, "?id": ["/products/P00"]}) == [{"n": 2}]
-    assert ask(Vendor, {"m=count:length:score": {}, "s=sum:abs:score": {}}) == [{"m": 2, "s": 6.5}]
+def test_what_is_absent_is_a_group(ask):
+    months = ask(Voyage, {"m=month:sails": {}, "n=count:number": {}})
+    assert {r.get("m"): r["n"] for r in months} == Counter(int(v["sails"][5:7]) if "sails" in v else None for v in VOYAGES)
+    fares = ask(Voyage, {"f=fare": {}, "n=count:": {}})
+    assert sum(r["n"] for r in fares if "f" not in r) == sum("fare" not in v for v in VOYAGES) and sum(r["n"] for r in fares) == len(VOYAGES)
+    ports = Counter(p for v in VOYAGES for p in v["calls"])
+    kept = ask(Voyage, {"p=calls": {}, "n=count:id": {}, ">=count:id": 4, "^count:id": -1})
+    assert [(r["p"], r["n"]) for r in kept] == sorted(((p, n) for p, n in ports.items() if n >= 4), key=lambda x: (-x[1], x[0]))
 
 
-def test_parts_of_dates_and_times(ask):
-    own = ask(Vendor, {"h=hours:opens": {}, "m=minutes:opens": {}, "s=seconds:opens": {}, "y=year:opens": {}, "?id": "/vendors/0001"})
-    assert own == [{"h": 8, "m": 30, "s": 15.5}]
-    assert ask(Product, {"h=hours:launched": {}, "d=day:launched": {}, "?id": "/products/P01"}) == [{"d": 15}]
+def test_aggregates_of_everything_and_of_nothing(ask):
+    assert ask(Voyage, {"n=count:": {}, "s=sum:tide": {}, "a=avg:tide": {}, ">number": 10**6}) == [{"n": 0, "s": 0.0}]
+    assert ask(Ship, {"n=count:owner": {}, "low=min:id": {}, "c=count:length:owner": {}}) == [{"n": 3, "c": 2}]
+    assert ask(Ship, {"h=hours:bell": {}, "m=minutes:bell": {}, "s=seconds:bell": {}, "y=year:bell": {}, "?id": "/ships/S0"}) == [{"h": 8, "m": 30, "s": 15.5}]
 
 
-def test_cells_of_resources_and_locale_maps(ask):
-    have = ask(Product, {"v=vendor": {"name": {}, "aliases": {}}, "t=name": {"*": {}}, "sku=sku": {}, "?id": ["/products/P00", "/products/P01"]})
-    own = {r["sku"]: r for r in have}
-    assert own["P00"]["v"] == {"name": "Toy Master", "aliases": ["TM", "ToyMaster Group"]} or sorted(own["P00"]["v"]["aliases"]) == ["TM", "ToyMaster Group"]
-    assert own["P00"]["t"] == PRODUCTS[0]["name"] and own["P01"]["v"] == {"name": "Blocks"}
-    per = ask(Vendor, {"vendor=": {"name": {}}, "n=count:products": {}})
-    assert {r["vendor"]["name"]: r["n"] for r in per} == {v["name"]: sum(p["vendor"] == v["id"] for p in PRODUCTS) for v in VENDORS}
+def test_cells_with_templates_and_locale_maps(ask):
+    have = {r["n"]: r for r in ask(Voyage, {"n=number": {}, "s=ship": {"sign": {}, "home": {"code": {}}}, "t=notes": {"*": {}}, "?number": [100, 101]})}
+    assert have[100] == {"n": 100, "s": {"sign": "S0", "home": {"code": "P00"}}, "t": VOYAGES[0]["notes"]} and have[101]["s"]["home"] == {"code": "P02"}
+    per = ask(Ship, {"ship=": {"sign": {}}, "n=count:voyages": {}})
+    assert {r["ship"]["sign"]: r["n"] for r in per} == {s["sign"]: sum(v["ship"] == s["id"] for v in VOYAGES) for s in SHIPS}
 
 
 # --- templates
 
 
 def test_templates_nest(catalog):
-    row = lookup_many(catalog, Product, ["/products/P01", "/nowhere"], {"type": {}, "vendor": {"name": {}, "contacts": {}}, "categories": {"code": {}, "broader": {"code": {}}}, "reviews": {"rating": {}}, "name": {"en": {}}, "media": {"0": {"width": {}}, "1": {"runs": {}}}, "launched": {}}).collect()
-    assert len(row) == 1
-    own = decode(row[0])
-    assert own["type"] == "Product" and own["categories"] == [{"code": "1100", "broader": {"code": "1000"}}] and own["launched"] == dt.date(2016, 2, 15)
-    assert own["reviews"] == [{"rating": r["rating"]} for r in PRODUCTS[1]["reviews"]] and own["name"] == {"en": "Toy 1"}
-    assert sorted(map(str, own["media"])) == sorted(map(str, [{"width": 100}, {"runs": "PT1M"}])) and len(own["vendor"]["contacts"]) == 2
-    assert decode(lookup_many(catalog, Product, ["/products/P00"], {"name": {"EN": {}}}).first())["name"] == {"en": "Toy 0", "en-US": "US 0"}
-    assert decode(lookup_many(catalog, Vendor, ["/vendors/0003"], {"address": {"0": {}, "1": {"street": {}}, "2": {"latitude": {}}}}).first())["address"] == {"latitude": 45.5}
-    assert "address" not in decode(lookup_many(catalog, Vendor, ["/vendors/0003"], {"address": {"0": {}}}).first())
+    model = {"type": {}, "ship": {"sign": {}, "log": {"knots": {}}, "owner": {"0": {"family": {}}, "1": {}}}, "calls": {"code": {}, "hub": {"code": {}}}, "cargo": {"0": {"tons": {}}, "1": {"berth": {}}}, "sails": {}}
+    found = lookup_many(catalog, Voyage, ["/voyages/101", "/nowhere"], model).collect()
+    assert len(found) == 1
+    own = decode(found[0])
+    assert own["type"] == "Voyage" and own["ship"] == {"sign": "S1", "log": [{"knots": 7}], "owner": {"family": "Berg"}} and str(own["sails"]) == "2031-02-02"
+    assert sorted(map(str, own["calls"])) == sorted(map(str, [{"code": "P01"}, {"code": "P04", "hub": {"code": "P01"}}])) and sorted(map(str, own["cargo"])) == sorted(map(str, [{"tons": 10}, {"berth": "B1"}]))
+    place = lambda k, m: decode(lookup_many(catalog, Port, [f"/ports/P{k:02}"], m).first())
+    assert place(5, {"fix": {"north": {}}, "names": {"EN": {}}}) == {"id": "/ports/P05", "fix": {"north": 55.0}, "names": {"en": "Harbour 5", "en-GB": "Dock 5"}} and "fix" not in place(4, {"fix": {"north": {}}})
 
 
 def test_labels(catalog):
-    name = lambda k, locale: decode(lookup_many(catalog, Product, [f"/products/P0{k}"], {"name": {}, "keywords": {}}, locale).first())
-    assert name(1, ["it", "en"])["name"] == "Gioco 1" and name(2, ["it", "en"])["name"] == "Toy 2"
-    assert "name" not in name(1, None) and "name" not in name(1, []) and name(3, ["it", "en"])["keywords"] == ["rosso"]
+    own = lambda k, locale: decode(lookup_many(catalog, Port, [f"/ports/P{k:02}"], {"names": {}}, locale).first()).get("names")
+    assert [own(1, ["no", "en"]), own(2, ["no", "en"]), own(1, None), own(1, [])] == ["Havn 1", "Harbour 2", None, None]
+    notes = decode(lookup_many(catalog, Voyage, ["/voyages/102"], {"notes": {}}, ["no", "en"]).first())
+    assert notes["notes"] == ["rolig"]
 
 
-def test_each_owner_has_its_own_window(catalog):
-    have = members(catalog, Vendor, "products", {"sku": {}, "^price": -1, "@": 1, "#": 2}).collect()
-    for r in have:
-        own = sorted((p for p in PRODUCTS if p["vendor"] == r["owner"]), key=lambda p: (-p["price"], p["id"]))
-        assert [x["sku"] for x in r["items"]] == [p["sku"] for p in own[1:3]]
-    docs = members(catalog, Product, "documents", {"^": 1, "@": 1, "#": 1}).collect()
-    assert {r["owner"]: r["items"] for r in docs} == {p["id"]: [sorted(p["documents"])[1]] for p in PRODUCTS if len(p["documents"]) > 1}
-    counts = members(catalog, Vendor, "products", {"n=count:": {}, "s=sum:stock": {}}).collect()
-    assert {r["owner"]: (r["items"][0]["n"], r["items"][0]["s"]) for r in counts} == {v["id"]: (len(own := [p["stock"] for p in PRODUCTS if p["vendor"] == v["id"]]), sum(own)) for v in VENDORS}
+def test_each_owner_has_its_own_slice(catalog):
+    order = lambda s: sorted((v for v in VOYAGES if v["ship"] == s), key=lambda v: (-v.get("tide", -99), v["id"]))
+    model = {"number": {}, "^tide": -1, "@": 1, "#": 2}
+    for r in members(catalog, Ship, "voyages", model).collect():
+        assert [x["number"] for x in r["items"]] == [v["number"] for v in order(r["owner"])[1:3]]
+    flat = members(catalog, Ship, "voyages", model, flat=True).collect()
+    assert sorted((r["owner"], r["rank"], r["item"]["number"]) for r in flat) == sorted((s["id"], k, v["number"]) for s in SHIPS for k, v in list(enumerate(order(s["id"]), 1))[1:3])
+    papers = members(catalog, Voyage, "papers", {"^": -1, "#": 1}).collect()
+    assert {r["owner"]: r["items"] for r in papers} == {v["id"]: [max(v["papers"])] for v in VOYAGES if v["papers"]}
+    sums = members(catalog, Ship, "voyages", {"n=count:": {}, "s=sum:number": {}}).collect()
+    assert {r["owner"]: (r["items"][0]["n"], r["items"][0]["s"]) for r in sums} == {s["id"]: (len(own := [v["number"] for v in VOYAGES if v["ship"] == s["id"]]), sum(own)) for s in SHIPS}
 
 
-def test_union_collections_keep_requested_variants(catalog):
-    have = members(catalog, Vendor, "contacts", {"2": {"latitude": {}}}).collect()
-    assert [(r["owner"], decode(r["items"])) for r in have] == [("/vendors/0001", [{"latitude": 1.0}])]
+def test_owners_rows_are_numbered_only_for_an_order_or_a_slice(catalog, capsys):
+    for model, numbered in (({"number": {}}, False), ({"number": {}, ">number": 3}, False), ({"number": {}, "^tide": 1}, True), ({"number": {}, "#": 2}, True)):
+        members(catalog, Ship, "voyages", model, flat=True).explain()
+        assert ("row_number" in capsys.readouterr().out) == numbered
+    flat = members(catalog, Ship, "voyages", {"number": {}}, flat=True)
+    assert flat.where("rank is not null").count() == 0 and flat.count() == len(VOYAGES)
+    plain = {r["owner"]: [x["number"] for x in r["items"]] for r in members(catalog, Ship, "voyages", {"number": {}}).collect()}
+    assert plain == {s["id"]: [v["number"] for v in VOYAGES if v["ship"] == s["id"]] for s in SHIPS[:4]}
+
+
+def test_a_union_collection_keeps_the_variants_asked_for(catalog):
+    have = members(catalog, Voyage, "cargo", {"1": {"berth": {}}}).collect()
+    assert {r["owner"]: decode(r["items"]) for r in have} == {f"/voyages/{100 + k}": [{"berth": f"B{k}"}] for k in range(3)}
+
+
+def test_virtual_collections_are_frames(catalog):
+    line = Shape("Line", {"ships": multiple(Reference(lambda: Ship), Linked("x", "a", "b")), "all": multiple(Reference(lambda: Port), Linked("x", "a", "b"))})
+    out = virtual(catalog, "/line", line, {"id": {}, "type": {}, "ships": {"sign": {}, "^sign": -1}, "all": {"n=count:": {}}}, limit=2)
+    assert (out["id"], out["type"]) == ("/line", "Line") and [r["sign"] for r in out["ships"].collect()] == ["S4", "S3"] and out["all"].first()["n"] == len(PORTS)
 
 
 # --- order
 
 
 def test_order(ask):
-    have = [r["id"] for r in ask(Product, {"id": {}, "^condition": 1, "^price": -2})]
-    assert have == [p["id"] for p in sorted(PRODUCTS, key=lambda p: (p["condition"], -p["price"], p["id"]))]
-    have = [r["id"] for r in ask(Product, {"id": {}, "^change": "desc", "@": 2, "#": 18})]
-    assert have == [p["id"] for p in sorted(PRODUCTS, key=lambda p: (-p.get("change", -99), p["id"]))][2:20]
-    have = [r["id"] for r in ask(Product, {"id": {}, "+condition": ["used"], "^count:reviews": -1, "#": 0})]
-    assert have == [p["id"] for p in sorted(PRODUCTS, key=lambda p: (p["condition"] != "used", -len(p["reviews"]), p["id"]))]
+    of = lambda model: [r["number"] for r in ask(Voyage, {"number": {}, **model})]
+    by = lambda key: [v["number"] for v in sorted(VOYAGES, key=lambda v: (*key(v), v["id"]))]
+    assert of({"^kind": 1, "^tide": -2}) == by(lambda v: (v["kind"], -v.get("tide", -99)))
+    assert of({"^tide": "desc", "@": 2, "#": 15}) == by(lambda v: (-v.get("tide", -99),))[2:17]
+    assert of({"+kind": ["tramp"], "^count:papers": -1, "#": 0}) == by(lambda v: (v["kind"] != "tramp", -len(v["papers"])))
 
 
 def test_mixed_values_are_ordered_by_tier(ask):
-    assert [r["id"][-4:] for r in ask(Vendor, {"id": {}, "^certified": 1})] == ["0005", "0001", "0002", "0003", "0004"]
-    assert [r["id"][-4:] for r in ask(Vendor, {"id": {}, "^score": -1})] == ["0004", "0002", "0001", "0003", "0005"]
-    assert [r["id"][-4:] for r in ask(Category, {"id": {}, "^featured": 1, "#": 4})] == ["1100", "1110", "2100", "3000"]
+    tier = lambda v: 0 if "fare" not in v else 1 if isinstance(v["fare"], bool) else 2 if number(v) is not None else 3 if v["fare"][0] == "2" else 4
+    want = sorted(VOYAGES, key=lambda v: (tier(v), number(v) or 0, v["id"]))
+    assert [r["number"] for r in ask(Voyage, {"number": {}, "^fare": 1})] == [v["number"] for v in want]
+    assert [r["id"] for r in ask(Port, {"id": {}, "^ice": 1, "#": 3})] == [p["id"] for p in PORTS if not p["ice"]][:3]
 
 
 def test_supertypes(ask):
-    assert len(ask(Resource, {"id": {}})) == len(PRODUCTS) + len(VENDORS) + len(toys.CATEGORIES) + len(toys.IMAGES) + len(toys.VIDEOS)
-    assert ids(ask(Resource, {"id": {}, "?type": ["Vendor"]})) == sorted(VENDOR)
+    assert len(ask(Asset, {"id": {}})) == len(SHIPS) + len(voyages.CRATES)
+    assert sorted(r["id"] for r in ask(Asset, {"id": {}, "?type": ["Crate"], ">=insured": 5})) == [c["id"] for c in voyages.CRATES]
 
 
-# --- rejections
+# --- what is turned away
 
 
 @pytest.mark.parametrize(
     "model",
     [
-        {"~price": "x"}, {"<vendor": 1}, {"^categories": 1}, {"+reviews.rating": [1]}, {">price": "much"}, {">launched": "soon"}, {"nothing": {}}, {"?nothing": 1}, {"?odd:price": 1}, {"?sum:max:price": 1}, {"@": -1}, {"#": 1.5},
-        {"a=year:price": {}}, {"a=length:price": {}}, {"a=abs:sku": {}}, {"a=sku": {}, "sku": {}}, {"a=id.name": {}}, {"a=min:vendor": {}}, {"a=sum:sku": {}}, {"a=sku": {}, "n=count:id": {}, "^price": 1}, {"name": {"de-*-x": {}}}, {"?name": {"en": 5}}, {"media": {"0": {"nope": {}}}}, {"0": {}, "x=sku": {}}, {"?": {}, "a b": {}},
+        {"~number": "x"}, {"<ship": 1}, {"^calls": 1}, {"+ship.log.knots": [1]}, {">tide": "high"}, {">sails": "soon"}, {"odd": {}}, {"?odd": 1}, {"?odd:tide": 1}, {"?sum:max:tide": 1}, {"@": -1}, {"#": 1.5}, {"a=year:tide": {}}, {"a=length:tide": {}}, {"a=abs:kind": {}},
+        {"a=kind": {}, "kind": {}}, {"a=id.kind": {}}, {"a=min:ship": {}}, {"a=sum:kind": {}}, {"a=kind": {}, "n=count:id": {}, "^tide": 1}, {"notes": {"no-*-x": {}}}, {"?notes": {"en": 5}}, {"cargo": {"0": {"odd": {}}}}, {"0": {}, "x=kind": {}}, {"a b": {}},
     ],
 )
 def test_rejections(ask, model):
     with pytest.raises(ShapeError):
-        ask(Product, model)
+        ask(Voyage, model)
 
 
-def test_caps(ask):
-    with pytest.raises(ShapeError):
-        ask(Product, {"n=count:id": {}}, plain=True)
-    with pytest.raises(ShapeError):
-        ask(Product, {"a=vendor.name": {}}, depth=1)
+@pytest.mark.parametrize(
+    "model,caps",
+    [
+        ({"n=count:id": {}}, {"plain": True}), ({"calls": {"n=count:": {}}}, {"plain": True}), ({"a=ship.sign": {}}, {"depth": 1}), ({"ship": {"sign": {}}}, {"depth": 0}), ({"ship": {"home": {"code": {}}}}, {"depth": 1}), ({"calls": {"?hub.code": "x"}}, {"depth": 1}),
+        ({"#": 50}, {"limit": 10}), ({"#": 0}, {"limit": 10}), ({"calls": {"#": 0}}, {"limit": 10}), ({"calls": {"code": {}, "#": 11}}, {"limit": 10}), ({"ship": {"voyages": {"#": 11}}}, {"limit": 10}),
+    ],
+)
+def test_caps_reject(ask, catalog, model, caps):
     with pytest.raises(ShapeError):
-        ask(Product, {"id": {}, "#": 50}, limit=10)
-    assert len(ask(Product, {"id": {}}, limit=10)) == 10
+        ask(Voyage, model, **caps)
+    if not any(k[0] in "@#?" or "=" in k for k in model):
+        with pytest.raises(ShapeError):
+            lookup_many(catalog, Voyage, ["/voyages/100"], model, **caps)
+
+
+def test_caps_hold_where_a_model_has_no_limit(ask, catalog):
+    assert len(ask(Voyage, {"id": {}}, limit=7)) == 7 and len(ask(Voyage, {"id": {}, "#": 0})) == 20
+    nested = ask(Ship, {"id": {}, "voyages": {"number": {}}, "log": {"knots": {}}}, limit=3)
+    assert [[x["number"] for x in r["voyages"]] for r in nested] == [[100 + k, 104 + k, 108 + k] for k in range(3)] and [len(r.get("log", [])) for r in nested] == [0, 1, 2]
+    one = decode(lookup_many(catalog, Ship, ["/ships/S4"], {"log": {}}, limit=2).first())
+    assert len(one["log"]) == 2
+    assert ask(Voyage, {"ship": {}, "calls": {}, "notes": {"en": {}}, "#": 1}, depth=0)[0]["ship"] == "/ships/S0"
+    assert "home" in ask(Voyage, {"ship": {"home": {}}, "#": 1}, depth=1)[0]["ship"]
+
+
+def test_link_tables_join_unions(spark, catalog):
+    """A link table whose items are of two classes, along a path and as a collection."""
+    own = Shape("Line", {"parts": multiple(voyages.Union((Reference(lambda: Ship), Reference(lambda: Guest))), Linked("parts", "line", "item"))})
+    c = catalog.copy()
+    c.bind(own, spark.createDataFrame([("/lines/1",)], "id string"))
+    c.link("parts", spark.createDataFrame([("/lines/1", ("/ships/S1", None)), ("/lines/1", (None, "/guests/2"))], "line string, item struct<v0:string,v1:string>"))
+    rows = select(c, own, {"sign=parts.sign": {}, "berth=parts.berth": {}}).collect()
+    assert {(r["sign"], r["berth"]) for r in rows} == {("S1", None), (None, "B2")}
+    assert [r["id"] for r in select(c, own, {"id": {}, "?parts.berth": "B2"}).collect()] == ["/lines/1"]
+    flat = members(c, own, "parts", {"0": {"sign": {}}, "1": {"berth": {}}}, flat=True).select(F.col("item.v0.sign").alias("s"), F.col("item.v1.berth").alias("b")).collect()
+    assert {tuple(r) for r in flat} == {("S1", None), (None, "B2")}
