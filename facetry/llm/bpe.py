@@ -503,8 +503,9 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS,
             break
         least = step
     top = counts.where(F.col("step") >= least).select("word") if least is not None else counts.limit(0).select("word")
-    own = Encoder(v)
-    image = compile_lexicon({r[0].encode(): np.frombuffer(own.merged(" " + r[0]), "<u4").tolist() for r in top.collect()})
+    own, chosen = Encoder(v), {r[0] for r in top.collect()}
+    own.know(chosen)
+    image = compile_lexicon({w.encode(): np.frombuffer(own[w], "<u4").tolist() for w in chosen})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm, target = spark.sparkContext._jvm, f"{scratch(spark)}/facetry/{name}"
     path = jvm.org.apache.hadoop.fs.Path(target)
