@@ -47,6 +47,8 @@ def test_branches():
     assert at("calls").many and at("calls").grouping and at("sails").computed and at("tide").aggregate and not at("tide").grouping
     assert at("ship").constrained and not at("ship").filtered and at("ship", "built").filtered and at("ship", "built").admits_absent
     assert at("notes").tagged and isinstance(at("remark").range, Union) and isinstance(at("notes").range, Dictionary) and not at("papers").constrained
+    assert at("ship", "built").valued and not typed({"?tide": [None]}).root.at(("tide",)).valued and not at("papers").valued
+    assert typed({"ship": {"sign": {}}, "id": {}}).templates["ship"][1] == {"sign": {}} and typed({"0": {}, "1": {"tons": {}}}).variants == {0: {}, 1: {"tons": {}}}
     assert own.required == {("remark",), ("notes",)} and own.transforms == {"month", "max"} and own.projections["c"] is at("calls")
 
 
