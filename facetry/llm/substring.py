@@ -220,7 +220,7 @@ def _indexed(window: int):
         flags = repeated(list(rows["content"]), rows["times"].to_numpy(np.int64), window)
         found = [_runs(f) for f in flags]
         some = [bool(f) for f in found]
-        return pd.DataFrame({"anchor": rows["anchor"][some], "seg": rows["seg"][some], "runs": [f for f in found if f]})
+        return rows.loc[some, ["anchor", "seg", "crowded"]].assign(runs=[f for f in found if f])
 
     return run
 
@@ -280,17 +280,16 @@ def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFr
     texts = by_id(docs.select("doc_id", "text"), chosen, how="inner").select("text", "chosen").mapInArrow(_texts(window), "anchor long, seg long, times long, crowded boolean, place int, content binary")
     texts = written(texts, "contents")
     shards = max(1, -(-total // SHARD))
-    plain = texts.where("not crowded").select("anchor", "seg", "times", "content", F.pmod("anchor", F.lit(shards)).alias("shard"))
-    # a crowded anchor's windows: equal ones are summed on the way
+    plain = texts.where("not crowded").select("anchor", "seg", "crowded", "times", "content", F.pmod("anchor", F.lit(shards)).alias("shard"))
+    # a crowded anchor's windows: equal ones, which share the anchor and 64 bits more, are summed on the way
     apart = texts.where("crowded").select("anchor", "seg", "place", F.xxhash64("content").alias("unit"), "times", "content")
-    units = apart.groupBy("unit").agg(F.sum("times").alias("times"), F.first("content").alias("content"))
-    dealt = units.select(F.lit(0).cast("long").alias("anchor"), F.col("unit").alias("seg"), "times", "content", F.pmod("unit", F.lit(shards)).alias("shard"))
-    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, runs array<bigint>"), "found")
-    # a unit's key is its own hash and anchor 0; no segment's anchor is looked up with it
-    hit = found.where("anchor = 0").select(F.col("seg").alias("u"))
-    back = apart.select("anchor", "seg", "place", "unit").join(small(hit, 24), F.col("unit") == F.col("u")).groupBy("anchor", "seg").agg(F.collect_set("place").alias("p"))
+    units = apart.groupBy("anchor", "unit").agg(F.sum("times").alias("times"), F.first("content").alias("content"))
+    dealt = units.select("anchor", F.col("unit").alias("seg"), F.lit(True).alias("crowded"), "times", "content", F.pmod("unit", F.lit(shards)).alias("shard"))
+    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, crowded boolean, runs array<bigint>"), "found")
+    hit = found.where("crowded").select(F.col("anchor").alias("of"), F.col("seg").alias("u"))
+    back = apart.select("anchor", "seg", "place", "unit").join(small(hit, 32), (F.col("anchor") == F.col("of")) & (F.col("unit") == F.col("u"))).groupBy("anchor", "seg").agg(F.collect_set("place").alias("p"))
     back = back.select("anchor", "seg", F.transform("p", lambda p: F.shiftleft(p.cast("long"), 32) + p + 1).alias("runs"))
-    runs = written(found.where("anchor <> 0").unionByName(back), "runs").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "runs")
+    runs = written(found.where("not crowded").drop("crowded").unionByName(back), "runs").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "runs")
     hits = met.join(runs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
     start = F.col("start").cast("long")
     return hits.select("doc_id", F.explode("runs").alias("r"), "start").select("doc_id", (F.col("r") + F.shiftleft(start, 32) + start).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
