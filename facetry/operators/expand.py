@@ -183,15 +183,11 @@ def gather(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any],
     A collection becomes one value, so a limit in the model, or a cap of the request, bounds its size."""
     df, item, by = items_of(catalog, base, root, model, scope)
 
-    def compare(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for n in reversed(by):
-            x, y = a[n], b[n]
-            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull() | (x < y), -1).when(y.isNull() | (x > y), 1).otherwise(out)
-        return out
-
+    order = "0"
+    for n in reversed(by):
+        order = f"CASE WHEN a.{n} IS NULL AND b.{n} IS NULL THEN {order} WHEN a.{n} IS NULL OR a.{n} < b.{n} THEN -1 WHEN b.{n} IS NULL OR a.{n} > b.{n} THEN 1 ELSE {order} END"
     rows = df.select(OWNER, F.struct(*by, item.alias("item")).alias("x"))
-    return rows.groupBy(OWNER).agg(F.transform(F.array_sort(F.collect_list("x"), compare), lambda x: x["item"]).alias("items"))
+    return rows.groupBy(OWNER).agg(F.expr(f"transform(array_sort(collect_list(x), (a, b) -> {order}), x -> x.item)").alias("items"))
 
 
 def contents(catalog: Catalog, df: DataFrame, result: Result, s: Select, scope: Scope) -> tuple[DataFrame, list[tuple[str, Column]]]:

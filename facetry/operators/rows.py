@@ -34,7 +34,7 @@ class Node:
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns))
+    return df.toDF(*(prefix + c for c in df.columns))
 
 
 class Rows:

@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shapes import InColumn, InVariants, Property, Shape
 
@@ -35,10 +36,14 @@ class Source(Protocol):
 
 
 class Catalog:
-    """Frames by class and link tables by name; frames are made when they are first read and never cached here."""
+    """Frames by class and link tables by name; frames are made when they are first read and never cached here.
 
-    def __init__(self, spark: SparkSession):
+    Schemas of parquet tables are, as finding one costs a job: `schemas` holds them by path, and catalogs may share it.
+    A table whose columns change needs a new one."""
+
+    def __init__(self, spark: SparkSession, schemas: dict[str, StructType] | None = None):
         self.spark = spark
+        self.schemas = {} if schemas is None else schemas
         self._classes: dict[str, tuple[Shape, Callable[[], DataFrame]]] = {}
         self._links: dict[str, Callable[[], DataFrame]] = {}
 
@@ -61,11 +66,19 @@ class Catalog:
     def parquet(self, folder: str, tables: Mapping[str, Shape]) -> Catalog:
         """Binds each class to `folder`/<table>.parquet; columns and filters reach the scan through the plans made of it."""
         for table, shape in tables.items():
-            self.bind(shape, lambda t=table: self.spark.read.parquet(f"{folder}/{t}.parquet"))
+            self.bind(shape, lambda t=table: self.read(f"{folder}/{t}.parquet"))
         return self
 
+    def read(self, path: str) -> DataFrame:
+        """A parquet table; its files are listed anew each time."""
+        if path in self.schemas:
+            return self.spark.read.schema(self.schemas[path]).parquet(path)
+        found = self.spark.read.parquet(path)
+        self.schemas[path] = found.schema
+        return found
+
     def copy(self) -> Catalog:
-        own = Catalog(self.spark)
+        own = Catalog(self.spark, self.schemas)
         own._classes, own._links = dict(self._classes), dict(self._links)
         return own
 
@@ -91,7 +104,7 @@ class Catalog:
     def extent(self, shape: Shape) -> DataFrame:
         """All rows of a class, those of its subclasses included, with their lineage."""
         concrete = self.concrete(shape)
-        frames = [self.frame(s).withColumn(LINEAGE, F.array(*map(F.lit, s.lineage))) for s in concrete]
+        frames = [self.frame(s).withColumn(LINEAGE, F.lit(list(s.lineage))) for s in concrete]
         if not frames:
             raise KeyError(f"no frame is bound to {shape.name} or a subclass")
         if concrete != [shape]:  # of subclasses, what they share

@@ -103,10 +103,18 @@ def _conversations(df: DataFrame) -> DataFrame:
     return turns.select("conv_id", own.alias("turns"), F.get(own, 0).alias("opening"))
 
 
+#: The schemas of a folder's tables, which are fixed, by application and folder.
+_SCHEMAS: dict[tuple[str, str], dict[str, T.StructType]] = {}
+
+
+def _over(spark: SparkSession, sf_dir: str) -> Catalog:
+    return Catalog(spark, _SCHEMAS.setdefault((spark.sparkContext.applicationId, sf_dir), {}))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """All classes over a folder of driver tables."""
-    own = Catalog(spark).parquet(sf_dir, {"region": Region, "nation": Nation, "customer": Customer, "supplier": Supplier, "part": Part, "orders": Order, "lineitem": LineItem})
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    own = _over(spark, sf_dir).parquet(sf_dir, {"region": Region, "nation": Nation, "customer": Customer, "supplier": Supplier, "part": Part, "orders": Order, "lineitem": LineItem})
+    read = lambda name: own.read(f"{sf_dir}/{name}.parquet")
     own.bind(Event, lambda: _events(read("events"))).bind(Document, lambda: _documents(read("documents"))).bind(Conversation, lambda: _conversations(read("conversations")))
     own.bind(Label, lambda: read("labels").withColumn("harmful", F.col("toxic") == 1))
     own.link("part_suppliers", lambda: read("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct())
@@ -140,7 +148,7 @@ DEALINGS = Person.properties["dealers"].storage
 
 def ledger(spark: SparkSession, sf_dir: str) -> Catalog:
     """Lands, people, their bills, dealers, and who deals with whom (each person with the dealers of a land)."""
-    own = Catalog(spark).parquet(sf_dir, {"nation": Land, "customer": Person, "orders": Bill, "supplier": Dealer})
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    own = _over(spark, sf_dir).parquet(sf_dir, {"nation": Land, "customer": Person, "orders": Bill, "supplier": Dealer})
+    read = lambda name: own.read(f"{sf_dir}/{name}.parquet")
     pairs = lambda: read("customer").join(read("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("person"), F.col("s_suppkey").alias("dealer"))
     return own.link("dealings", pairs)
