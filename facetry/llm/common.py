@@ -82,6 +82,11 @@ def small(df: DataFrame, row_bytes: int, more: str = "0") -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def fold(text):
+    """A string column with A-Z lower-cased and nothing else changed.  `lower` does that, fast, for ASCII strings only."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def by_id(left: DataFrame, right: DataFrame, on: str = "doc_id", how: str = "left") -> DataFrame:
     """Equi-join on one column where null meets null; keeps the left column only."""
     return left.join(right.withColumnRenamed(on, "__on"), F.col(on).eqNullSafe(F.col("__on")), how).drop("__on")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, by_id, small, written
+from .common import SPACES, by_id, fold, small, written
 
 #: More than the ranges that a third of all lines would fill on a large cluster; parts cost nothing, as ranges sum them.
 SALTS = 4096
@@ -19,7 +19,7 @@ SALTS = 4096
 
 def line_key(line):
     """A line without white space at both ends and with A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+    return fold(F.btrim(line, F.lit(SPACES)))
 
 
 def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +29,9 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id
     are left out, which is the compression.  Null texts are one empty line.  Rows with the same id count as one document.
     Rows with a null id hold lines like one document that comes before all others."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    keys = lines.where(F.length("line") >= least_chars).select("doc_id", "of", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
+    # folding keeps the length, so lines that are too short once stripped are never folded
+    long = lines.where((F.length("line") >= least_chars) & (F.length(F.btrim("line", F.lit(SPACES))) >= least_chars))
+    keys = long.select("doc_id", "of", "pos", line_key(F.col("line")).alias("key"))
     # 96 bits stand for a line: two hashes of other families
     hashed = written(keys.select("doc_id", "of", "pos", F.xxhash64("key").alias("h"), F.hash("key", F.length("key")).alias("g")), "lines")
     salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
