@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, quality, simhash, substring, token_counts
+from . import bpe, chat, decontaminate, exact_dedup, fim, langid, line_dedup, quality, simhash, substring, token_counts
 from .common import documents, ready
 
 #: The vocabulary that tokens are counted and encoded with; a parameter, as the file is not part of this library.
@@ -85,7 +85,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(documents(spark, sf_dir)).drop("output")
+
+
+_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup, op12_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -160,6 +164,16 @@ _SQL = {
         marked AS (SELECT doc_id, line, p, common.k IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN common USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""".replace("FOLD_LINE", _FOLD.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")),
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        seeded AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS p, CAST('0x' || h[25:32] AS BIGINT) % 100 AS q FROM d),
+        formed AS (
+            SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+                CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM seeded),
+        parts AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM formed)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+            sha256(t) AS restored_sha256 FROM parts""",
 }
 
 
