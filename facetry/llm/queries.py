@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, fim, langid, line_dedup, quality, simhash, spelling, substring, token_counts
+from . import bpe, chat, decontaminate, exact_dedup, fim, jaccard, langid, line_dedup, quality, simhash, spelling, substring, token_counts
 from .common import documents, ready
 
 #: The vocabulary that tokens are counted and encoded with; a parameter, as the file is not part of this library.
@@ -85,6 +85,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(documents(spark, sf_dir))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(documents(spark, sf_dir)).drop("output")
 
@@ -93,7 +97,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
-_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup, op12_fill_in_middle, op13_spelling_variants)
+_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup, op11_jaccard_join, op12_fill_in_middle, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
