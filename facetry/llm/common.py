@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,11 +218,10 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.n
         row = end
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, hash) of each word of a block; start and end are byte positions in the block.
+def _cut(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(begin of a piece, values of its bytes, starts and ends of its words).
 
     A very long row is worked on in pieces that end at separators, so memory follows the piece and not the row."""
-    parts = []
     a, n = 0, len(buf)
     first = np.zeros(0, np.int64) if n == 0 else offsets[:-1][offsets[:-1] < n]
     while a < n:
@@ -229,27 +229,56 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
         while b < n and table[buf[b]] != 0 and not (b in first):
             gap = np.flatnonzero(table[buf[b : b + 65536]] == 0)
             b = b + int(gap[0]) if len(gap) else min(n, b + 65536)
-        piece = buf[a:b]
-        values = table[piece]
+        values = table[buf[a:b]]
         member = values != 0
-        edge = np.zeros(len(piece) + 1, bool)
+        edge = np.zeros(b - a + 1, bool)
         edge[first[(first >= a) & (first < b)] - a] = True
         begins = member.copy()
         begins[1:] &= ~member[:-1] | edge[1:-1]
         ends = member.copy()
         ends[:-1] &= ~member[1:] | edge[1:-1]
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _BYTE_POWERS.of(len(piece) + 1)
-        total = np.zeros(len(piece) + 1, U)
+        yield a, values, np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        a = b
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash) of each word of a block; start and end are byte positions in the block.
+
+    The hash is a polynomial: good for features and for tests without false negatives, but long words made to collide do."""
+    parts = []
+    for a, values, s, e in _cut(buf, offsets, table):
+        up, down = _BYTE_POWERS.of(len(values) + 1)
+        total = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[:-1], out=total[1:])
         parts.append((s + a, e + a, mix((total[e] - total[s]) * down[s])))
-        a = b
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     s, e, h = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts))
     return s, e, np.searchsorted(offsets, s, side="right") - 1, h
 
 
+def bounds(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each word of a block."""
+    parts = [(s + a, e + a) for a, _, s, e in _cut(buf, offsets, table)]
+    s, e = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+    return s, e, np.searchsorted(offsets, s, side="right") - 1
+
+
+#: Bytes of a word from which it is hashed on its own.
+ALONE = 256
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each word of a block, of any length."""
+    length = end - start
+    out, short = np.empty(len(start), U), length < ALONE
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    out[short] = xxh64(padded, start[short], length[short], seed)
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = xxhash.xxh64_intdigest(buf[start[k] : end[k]].tobytes(), seed)
+    return out
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive values (len(h) - k + 1 of them); callers mask those that cross rows."""
     n = len(h) - k + 1
@@ -261,9 +290,9 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[:n])
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs h[start:end], each of any length."""
-    up, down = _WORD_POWERS.of(len(h) + 1)
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers | None = None) -> np.ndarray:
+    """Hashes of the runs h[start:end], each of any length; other powers, other hashes."""
+    up, down = (powers or _WORD_POWERS).of(len(h) + 1)
     total = np.zeros(len(h) + 1, U)
     np.cumsum(h * up[:-1], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))

@@ -6,13 +6,17 @@ segment.  Equal windows have equal anchors, so they lie in segments that share o
 anchors that occur once in the corpus are out, and a shard that gets all segments of its anchors can count windows
 exactly.  Equal segments are one entry with a weight.
 
-Each shard builds an FM-index of its segments (Burrows-Wheeler transform in a wavelet matrix with rank counts) and
-streams the segments backwards through it.  The matching statistics, how far a match with a second occurrence reaches
+Hashes only bring together what may be equal: words are hashed by XXH64, classes of segments named by 192 bits, and a
+shard numbers its words by their bytes (a long word's SHA-256 stands for them), so different words never count as one.
+
+Each shard builds an FM-index of its segments (Burrows-Wheeler transform in a wavelet matrix whose bit vectors are coded
+block by block, with rank counts) and streams the segments backwards through it.  The matching statistics, how far a match with a second occurrence reaches
 to the left of each word, are followed up to the window's length; intervals above the threshold are reported.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U, blocks, by_id, byte_table, grams, small, spans, words, written
+from .common import NOT_SPACE, Powers, U, blocks, bounds, by_id, byte_table, grams, mix, small, spans, word_hashes, written
 
 GRAM = 12
 #: Distinct segments that a shard is meant to hold; an anchor with more than CROWDED is dealt out window by window.
 SHARD, CROWDED = 12_000, 4_096
 _TABLE = byte_table(NOT_SPACE, fold=False)
+#: A second family of hashes for runs of words.
+_MORE, _OTHER = U(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
+#: Bytes of a word from which its digest is sent in its place; what is sent is longer, so it is never mistaken for a word.
+LONG_WORD = 64
 
 
 def segments(h: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,32 +63,39 @@ def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row0, buf, offsets in blocks(b.column(1)):
-                _, _, row, h = words(buf, offsets, _TABLE)
+                s, e, row = bounds(buf, offsets, _TABLE)
+                h = word_hashes(buf, s, e)
                 anchor, first, n = segments(h, row, window, gram)
-                seg = spans(h, first, first + n + window - 1)
+                last = first + n + window - 1
+                seg, more = spans(h, first, last), spans(mix(h ^ _MORE), first, last, _OTHER)
                 begin = np.searchsorted(row, row[first]) if len(first) else first
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row0 + row[first])), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array((first - begin).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "seg", "start", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row0 + row[first])), *(pa.array(x.view(np.int64)) for x in (anchor, seg, more)), pa.array((first - begin).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "seg", "more", "start", "n"])
 
     return run
 
 
+def _sent(word: bytes) -> bytes:
+    return word if len(word) <= LONG_WORD else b"\x00" + hashlib.sha256(word).hexdigest().encode()
+
+
 def _texts(window: int):
-    """The words of chosen segments: a row (anchor, seg, times, shard, place, content) for each; crowded ones window by window."""
+    """The words of chosen segments: a row (anchor, seg, more, times, crowded, place, content) for each; crowded ones window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, chosen in zip(b.column(0), b.column(1).to_pylist()):
                 raw = t.as_buffer().to_pybytes()
-                begin, end, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
+                begin, end, _ = bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
                 for x in chosen:
-                    a, n = 0, x["n"]
+                    n = x["n"]
                     own = slice(x["start"], x["start"] + n + window - 1)
-                    parts = [raw[i:j] for i, j in zip(begin[own].tolist(), end[own].tolist())]
+                    parts = [_sent(raw[i:j]) for i, j in zip(begin[own].tolist(), end[own].tolist())]
+                    name = x["anchor"], x["seg"], x["more"], x["times"]
                     if x["crowded"]:
-                        out += [(x["anchor"], x["seg"], x["times"], True, k, b" ".join(parts[a + k : a + k + window])) for k in range(n)]
+                        out += [(*name, True, k, b" ".join(parts[k : k + window])) for k in range(n)]
                     else:
-                        out.append((x["anchor"], x["seg"], x["times"], False, 0, b" ".join(parts[a : a + n + window - 1])))
+                        out.append((*name, False, 0, b" ".join(parts)))
                     if len(out) >= 8192:
                         yield _batch(out)
                         out = []
@@ -91,35 +106,48 @@ def _texts(window: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "seg", "times", "crowded", "place", "content"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "seg", "more", "times", "crowded", "place", "content"])
 
 
 # --- the index ---------------------------------------------------------------------------------------------------------
 
 
+class BitVector:
+    """Bits with rank counts, coded in blocks of 64: each distinct block is stored once, and blocks hold its number.  The
+    bits of a transform whose texts repeat are mostly blocks of equal bits, so there are few distinct ones."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        packed = np.packbits(padded, bitorder="little").view("<u8")
+        self.blocks, code = np.unique(packed, return_inverse=True)
+        self.code = code.astype(np.uint16 if len(self.blocks) <= 1 << 16 else np.uint32)
+        self.ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1])).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        block = at >> 6
+        return self.ranks[block] + np.bitwise_count(self.blocks[self.code[block]] & ((U(1) << (at & 63).astype(U)) - U(1)))
+
+
 class WaveletMatrix:
-    """Bits of a sequence, level by level from the highest, with rank counts for each 64 bits."""
+    """Bits of a sequence, level by level from the highest."""
 
     def __init__(self, values: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
-        self.n, self.bits, self.ranks, self.zeros = len(values), [], [], []
+        self.n, self.bits, self.zeros = len(values), [], []
         v = values
         for level in range(self.levels - 1, -1, -1):
             bit = (v >> level) & 1
-            padded = np.zeros(-(-(len(v) + 1) // 64) * 64, np.uint8)
-            padded[: len(v)] = bit
-            packed = np.packbits(padded, bitorder="little").view("<u8")
-            self.bits.append(packed)
-            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1])).astype(np.int32))
+            self.bits.append(BitVector(bit))
             self.zeros.append(int(len(v) - bit.sum()))
             v = np.concatenate((v[bit == 0], v[bit == 1]))
 
     def down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where each position ends up after the levels of a symbol's bits: start of the symbol plus its rank there."""
         for k in range(self.levels):
-            word = at >> 6
-            ones = self.ranks[k][word] + np.bitwise_count(self.bits[k][word] & ((U(1) << (at & 63).astype(U)) - U(1)))
+            ones = self.bits[k].ones(at)
             at = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -179,15 +207,13 @@ class FMIndex:
 
 def repeated(contents: list[bytes], times: np.ndarray, window: int) -> list[np.ndarray]:
     """For each segment, which of its windows occur twice among all (a segment counts `times`)."""
-    buf = np.frombuffer(b" ".join(contents), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(c) + 1 for c in contents])))
-    offsets[-1] -= 1
-    _, _, row, h = words(buf, offsets, _TABLE)
-    known, symbol = np.unique(h, return_inverse=True)
-    n = np.bincount(row, minlength=len(contents))
+    n = np.array([c.count(b" ") + 1 for c in contents])
+    row = np.repeat(np.arange(len(contents)), n)
+    numbered = pa.array(b" ".join(contents).split(b" "), pa.binary()).dictionary_encode()  # words by their bytes
+    known, symbol = numbered.dictionary, np.asarray(numbered.indices).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(n + 1)))
     texts = np.zeros(int(begin[-1]), np.int64)
-    place = np.arange(len(h)) + row  # one separator behind each segment
+    place = np.arange(len(symbol)) + row  # one separator behind each segment
     texts[place] = symbol + 1
     weights = np.zeros(len(texts), np.int64)
     weights[place] = times[row]
@@ -220,7 +246,7 @@ def _indexed(window: int):
         flags = repeated(list(rows["content"]), rows["times"].to_numpy(np.int64), window)
         found = [_runs(f) for f in flags]
         some = [bool(f) for f in found]
-        return rows.loc[some, ["anchor", "seg", "crowded"]].assign(runs=[f for f in found if f])
+        return rows.loc[some, ["anchor", "seg", "more", "crowded"]].assign(runs=[f for f in found if f])
 
     return run
 
@@ -231,7 +257,7 @@ LONG = 1 << 20
 
 def _kept(raw: bytes, runs: list[int], window: int) -> tuple[bytes, int, int]:
     """The words outside the runs of windows joined by spaces, how many words there are and how many stay."""
-    begin, end, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
+    begin, end, _ = bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _TABLE)
     keep = np.ones(len(begin), bool)
     for r in runs:
         keep[r >> 32 : (r & 0xFFFFFFFF) + window - 1] = False
@@ -261,36 +287,37 @@ def _removed(window: int):
     return run
 
 
-#: What names a row: its id and a hash of its text, so rows that repeat an id are told apart unless they are equal.
-_KEY = "struct<id:bigint,text:bigint>"
-
-
 def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """(doc_id, runs) of `docs` (doc_id a _KEY, text): runs of the windows of each document that occur elsewhere (see _runs)."""
-    marks = written(docs.mapInArrow(_anchors(window, gram), f"doc_id {_KEY}, anchor long, seg long, start int, n int"), "segments")
+    """(doc_id, runs) of `docs` (doc_id names a row, text): runs of the windows of each document that occur elsewhere (see _runs)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marks = written(docs.mapInArrow(_anchors(window, gram), f"doc_id {kind}, anchor long, seg long, more long, start int, n int"), "segments")
     twice = written(marks.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("of")), "anchors")
     met = written(marks.join(twice, F.col("anchor") == F.col("of"), "left_semi"), "met")
-    classes = met.groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "n")).alias("at"))
-    classes = written(classes.select("anchor", "seg", "times", "at.doc_id", "at.start", "at.n"), "classes")
+    classes = met.groupBy("anchor", "seg", "more").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "n")).alias("at"))
+    classes = written(classes.select("anchor", "seg", "more", "times", "at.doc_id", "at.start", "at.n"), "classes")
     # anchors before very many different words: their segments are dealt out by window
     crowded = written(classes.groupBy("anchor").count().where(F.col("count") > CROWDED).select(F.col("anchor").alias("of"), F.lit(True).alias("crowded")), "crowded")
     named = classes.join(small(crowded, 24), F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    chosen = written(named.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "times", "start", "n", "crowded")).alias("chosen")), "chosen")
+    chosen = written(named.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "more", "times", "start", "n", "crowded")).alias("chosen")), "chosen")
     total = classes.count()
-    texts = by_id(docs.select("doc_id", "text"), chosen, how="inner").select("text", "chosen").mapInArrow(_texts(window), "anchor long, seg long, times long, crowded boolean, place int, content binary")
+    texts = by_id(docs.select("doc_id", "text"), chosen, how="inner").select("text", "chosen").mapInArrow(_texts(window), "anchor long, seg long, more long, times long, crowded boolean, place int, content binary")
     texts = written(texts, "contents")
     shards = max(1, -(-total // SHARD))
-    plain = texts.where("not crowded").select("anchor", "seg", "crowded", "times", "content", F.pmod("anchor", F.lit(shards)).alias("shard"))
-    # a crowded anchor's windows: equal ones, which share the anchor and 64 bits more, are summed on the way
-    apart = texts.where("crowded").select("anchor", "seg", "place", F.xxhash64("content").alias("unit"), "times", "content")
-    units = apart.groupBy("anchor", "unit").agg(F.sum("times").alias("times"), F.first("content").alias("content"))
-    dealt = units.select("anchor", F.col("unit").alias("seg"), F.lit(True).alias("crowded"), "times", "content", F.pmod("unit", F.lit(shards)).alias("shard"))
-    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, crowded boolean, runs array<bigint>"), "found")
-    hit = found.where("crowded").select(F.col("anchor").alias("of"), F.col("seg").alias("u"))
-    back = apart.select("anchor", "seg", "place", "unit").join(small(hit, 32), (F.col("anchor") == F.col("of")) & (F.col("unit") == F.col("u"))).groupBy("anchor", "seg").agg(F.collect_set("place").alias("p"))
-    back = back.select("anchor", "seg", F.transform("p", lambda p: F.shiftleft(p.cast("long"), 32) + p + 1).alias("runs"))
-    runs = written(found.where("not crowded").drop("crowded").unionByName(back), "runs").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "runs")
-    hits = met.join(runs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
+    names = ("anchor", "seg", "more")
+    plain = texts.where("not crowded").select(*names, "crowded", "times", "content", F.pmod("anchor", F.lit(shards)).alias("shard"))
+    # a crowded anchor's windows: equal ones, which share the anchor and 128 bits more, are summed on the way
+    units = (F.xxhash64("content").alias("seg"), F.xxhash64(F.lit(1), "content").alias("more"))
+    apart = texts.where("crowded").select("anchor", F.struct("seg", "more").alias("of"), "place", *units, "times", "content")
+    dealt = apart.groupBy(*names).agg(F.sum("times").alias("times"), F.first("content").alias("content"))
+    dealt = dealt.select(*names, F.lit(True).alias("crowded"), "times", "content", F.pmod("seg", F.lit(shards)).alias("shard"))
+    found = written(plain.unionByName(dealt).groupBy("shard").applyInPandas(_indexed(window), "anchor long, seg long, more long, crowded boolean, runs array<bigint>"), "found")
+    other = lambda df: df.withColumnsRenamed({n: f"{n}_2" for n in names})
+    same = lambda: (F.col("anchor") == F.col("anchor_2")) & (F.col("seg") == F.col("seg_2")) & (F.col("more") == F.col("more_2"))
+    hit = other(found.where("crowded").select(*names))
+    back = apart.select(*names, "of", "place").join(small(hit, 32), same()).groupBy("anchor", "of").agg(F.collect_set("place").alias("p"))
+    back = back.select("anchor", "of.seg", "of.more", F.transform("p", lambda p: F.shiftleft(p.cast("long"), 32) + p + 1).alias("runs"))
+    runs = other(written(found.where("not crowded").drop("crowded").unionByName(back), "runs"))
+    hits = met.join(runs, same())
     start = F.col("start").cast("long")
     return hits.select("doc_id", F.explode("runs").alias("r"), "start").select("doc_id", (F.col("r") + F.shiftleft(start, 32) + start).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
 
@@ -298,12 +325,15 @@ def repeated_runs(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFr
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed): each row of `docs` without the words that a repeated window covers.
 
-    Words are runs of anything but ASCII white space, unchanged.  A window is repeated if its words in order also start
-    anywhere else, in the same document or another; all occurrences go.  The words that stay are joined by one space.
-    Null and empty texts have no words; texts of fewer words than a window lose none.  Words are compared by 64-bit
-    hashes.  Rows that repeat an id, or have none, are documents of their own; the occurrences in equal rows count each."""
-    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
+    Words are runs of anything but ASCII white space, unchanged and of any length.  A window is repeated if its words in
+    order also start anywhere else, in the same document or another; all occurrences go.  The words that stay are joined
+    by one space.  Null and empty texts have no words; texts of fewer words than a window lose none; texts of any length
+    are read whole, of which long ones a piece at a time.  Rows that repeat an id, or have none, are documents of their
+    own; the occurrences in equal rows count each.  Ids keep their type.  An empty table gives no rows."""
+    # the id and a hash of the text, so rows that repeat an id are told apart unless they are equal
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     base = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    kind = base.schema["doc_id"].dataType.simpleString()
     runs = written(repeated_runs(base, window), "document-runs")
-    out = by_id(base, runs).mapInArrow(_removed(window), f"doc_id {_KEY}, text string, n_words long, n_removed long")
+    out = by_id(base, runs).mapInArrow(_removed(window), f"doc_id {kind}, text string, n_words long, n_removed long")
     return out.select(F.col("doc_id.id").alias("doc_id"), "text", "n_words", "n_removed")
