@@ -140,5 +140,20 @@ def reduced(v: Value, name: str) -> tuple[Scalar, Column]:
     return _same(v.parts[0][0]), t.apply(v.parts[0][0], v.column)
 
 
+def partial(v: Value, name: str) -> tuple[Scalar, list[Column], Callable[[list[Column], Column], Column]]:
+    """The range of an aggregate over a value, the aggregates that stand for a part of its rows, and what they come to
+    when each row of a part counts as often as a weight says (a function of their columns and the weight)."""
+    r, whole = reduced(v, name)
+    if name == "count":
+        return r, [whole], lambda p, w: F.coalesce(F.sum(p[0] * w), F.lit(0).cast("long"))
+    if name in ("min", "max"):
+        return r, [whole], lambda p, _: (F.min if name == "min" else F.max)(p[0])
+    own = v.parts[0][1] if len(v.parts) == 1 else F.coalesce(*(c.cast("double") for _, c in v.parts))
+    if name == "sum":
+        zero = F.lit(0).cast("long" if r.spark.simpleString() in ("bigint", "tinyint", "int") else "double")
+        return r, [F.sum(own)], lambda p, w: F.coalesce(F.sum(p[0] * w), zero)
+    return r, [F.sum(own.cast("double")), F.count(own)], lambda p, w: F.sum(p[0] * w) / F.sum(p[1] * w)
+
+
 def identifies(r: Range) -> bool:
     return tier(r) == IRI

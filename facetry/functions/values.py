@@ -108,6 +108,16 @@ def tier_of(operand: Any) -> set[int]:
     return set()
 
 
+def moment(r: Range, operand: Any) -> Any:
+    """An operand as a date or date-time of a temporal range; None if it is none."""
+    if isinstance(operand, str):
+        try:
+            return dt.date.fromisoformat(operand) if r == date else dt.datetime.fromisoformat(operand)
+        except ValueError:
+            return None
+    return None if r == date and isinstance(operand, dt.datetime) else operand
+
+
 def literal(r: Range, operand: Any) -> Column | None:
     """An operand as a literal of a range; None if it is of another type."""
     k = tier(r)
@@ -118,14 +128,8 @@ def literal(r: Range, operand: Any) -> Column | None:
     if k == TEMPORAL:
         if r == time:
             return F.lit(operand) if isinstance(operand, str) else None
-        if isinstance(operand, str):
-            try:
-                operand = dt.date.fromisoformat(operand) if r == date else dt.datetime.fromisoformat(operand)
-            except ValueError:
-                return None
-        elif r == date and isinstance(operand, dt.datetime):
-            return None
-        return F.lit(operand.isoformat()).cast(r.spark)
+        own = moment(r, operand)
+        return None if own is None else F.lit(own.isoformat()).cast(r.spark)
     return F.lit(float(operand) if isinstance(operand, Decimal) else operand)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_tokens, in_ranges
-from ..functions.transforms import domain, reduced, scalar, split_pipe
+from ..functions.transforms import domain, partial, reduced, scalar, split_pipe
 from ..functions.values import Value, literal, matches, tier
 from ..plans.analyze import Plan, aggregates, options, plan
 from ..plans.grammar import Binding, Criterion, Expression, parse, tag_ranges
 from ..shapes import TEMPORAL, TEXT, Dictionary, Range, Reference, Shape, ShapeError, Union
 from ..sources.catalog import Catalog
+from .optionsets import INLINE, LISTED, OptionSet
 from .rows import Node, Rows
 
 OWNER, RANK = "__owner", "__rank"
@@ -76,6 +77,11 @@ def condition(v: Value, c: Criterion, lineage: bool = False) -> Column:
             return compare(v, c.op, c.value)
 
 
+def long(c: Criterion) -> bool:
+    """Whether a criterion has more options than a condition is made of."""
+    return c.op in "?!+" and len(options(c.value)) > INLINE
+
+
 def _any(v: Value, own: list[Any]) -> Column:
     if len(own) > 1 and len(v.parts) == 1 and not any(isinstance(o, dict) or o is None for o in own) and not v.maps:
         r, column = v.parts[0]
@@ -88,9 +94,12 @@ def _any(v: Value, own: list[Any]) -> Column:
 
 
 def _all(v: Value, own: list[Any], lineage: bool) -> Column:
+    if lineage:
+        held = F.coalesce(v.parts[0][1], F.array().cast("array<string>"))
+        return F.lit(None not in own) & (F.size(F.array_except(F.array(*(F.lit(o) for o in own if o is not None)), held)) == 0)
     found = F.lit(True)
     for o in own:
-        found = found & (F.coalesce(F.array_contains(v.parts[0][1], o), F.lit(False)) if lineage else matches(v, o))
+        found = found & matches(v, o)
     return found
 
 
@@ -102,6 +111,9 @@ class Select:
         # depth is checked once, for the whole request
         self.plan: Plan = plan(root.range, parse(model), scope.plain, None if nested else scope.depth, scope.limit)
         self.rows = self._rows(self.plan.required)
+        self._sets = 0
+        #: Marks of long focuses, by expression.
+        self._marks: dict[str, Column] = {}
 
     def _rows(self, required: set) -> Rows:
         fresh = Node(self.root.range, self.root.value, list(self.root.access), self.root.owner)
@@ -125,19 +137,40 @@ class Select:
         """The value that an expression's aggregate (or the expression, without one) reads."""
         return scalar(rows.node(e.path).value, split_pipe(e.pipe)[0])
 
+    def _options(self, c: Criterion) -> OptionSet:
+        self._sets += 1
+        return OptionSet(self.catalog.spark, options(c.value), f"__s{self._sets}")
+
+    def _where(self, df: DataFrame, v: Value, c: Criterion, lineage: bool = False) -> DataFrame:
+        """The rows whose value meets a criterion: a condition, or a join with the options if there are many."""
+        if not long(c) or lineage:
+            return df.where(condition(v, c, lineage))
+        own = options(c.value)
+        if c.op == "!":
+            return self._options(c).all_of(df, v)
+        if len(own) <= LISTED and len(v.parts) == 1 and not v.maps and None not in own:
+            return df.where(_any(v, own))
+        return self._options(c).any_of(df, v)
+
+    def _focused(self, df: DataFrame, values: dict[str, Value]) -> DataFrame:
+        """Marks the rows that long focuses put first."""
+        for c in self.plan.focusing:
+            if long(c) and str(c.expression) in values and not self._lineage(c.expression):
+                df, self._marks[str(c.expression)] = self._options(c).marked(df, values[str(c.expression)])
+        return df
+
     def _filtered(self, rows: Rows, under: tuple[str, ...] | None = None) -> Rows:
         """Applies the criteria on rows; `under`: only those that share a multi-valued step with that path."""
-        conditions = []
+        values = []
         for c in self.plan.of("<", ">", "<=", ">=", "~", "?", aggregate=False):
             if c.op == "?" and not options(c.value):
                 continue
             path = c.expression.path
             if under is not None and self._fan(path) and not self._shares(path, under):
                 continue
-            v = self.value(rows, c.expression)
-            conditions.append(condition(v, c, self._lineage(c.expression)))
-        for cond in conditions:
-            rows.df = rows.df.where(cond)
+            values.append((self.value(rows, c.expression), c))
+        for v, c in sorted(values, key=lambda x: long(x[1])):  # conditions that scans take come first
+            rows.df = self._where(rows.df, v, c, self._lineage(c.expression))
         return rows
 
     def _lineage(self, e: Expression) -> bool:
@@ -159,8 +192,9 @@ class Select:
             own = options(c.value)
             if not own:
                 continue
-            if not self._fan(c.expression.path):
-                rows.df = rows.df.where(condition(self.value(rows, c.expression), c, self._lineage(c.expression)))
+            tagged = long(c) and any(isinstance(o, dict) for o in own)
+            if not self._fan(c.expression.path) and not tagged:
+                rows.df = self._where(rows.df, self.value(rows, c.expression), c, self._lineage(c.expression))
                 continue
             names = [n for n, k in (("__k", True), (OWNER, self.owned)) if k]
 
@@ -176,7 +210,11 @@ class Select:
                 some = held(walk, v.present).distinct()
                 some = some.withColumnRenamed(OWNER, "__o") if self.owned else some
                 rows.df = rows.df.join(some, on(some), "left_anti")
-            if given:
+            if given and long(c):
+                some = self._options(c).met(walk.df, v, [self.item.alias("__k"), *self.keys], names)
+                some = some.withColumnRenamed(OWNER, "__o") if self.owned else some
+                rows.df = rows.df.join(some, on(some), "left_semi")
+            elif given:
                 found = [matches(v, o) for o in given]
                 hit = found[0]
                 for m in found[1:]:
@@ -237,7 +275,8 @@ class Select:
         return self._grouped() if self.plan.grouped else self._ungrouped()
 
     def _ordered(self, values: dict[str, Value], tie: list[Column]) -> list[Column]:
-        keys = [F.when(condition(values[str(c.expression)], c, self._lineage(c.expression)), 0).otherwise(1) for c in self.plan.focusing]
+        first = lambda c: self._marks[str(c.expression)] if str(c.expression) in self._marks else condition(values[str(c.expression)], c, self._lineage(c.expression))
+        keys = [F.when(first(c), 0).otherwise(1) for c in self.plan.focusing]
         for c in self.plan.ordering:
             if str(c.expression) in values:
                 keys += [k.asc_nulls_first() if c.value > 0 else k.desc_nulls_last() for k in values[str(c.expression)].order]
@@ -258,10 +297,11 @@ class Select:
         for c in p.of("<", ">", "<=", ">=", "~", "?", "!", aggregate=True):
             if str(c.expression) in reductions:
                 if options(c.value) if c.op in "?!" else True:
-                    rows.df = rows.df.where(condition(reductions[str(c.expression)], c))
+                    rows.df = self._where(rows.df, reductions[str(c.expression)], c)
             else:
                 rows.df = rows.df.where(F.lit(None in options(c.value)) if c.op in "?!" else F.lit(False))
         values = {str(c.expression): reductions[str(c.expression)] if str(c.expression) in reductions else self.value(rows, c.expression) for c in (*p.ordering, *p.focusing) if not aggregates(c.expression) or str(c.expression) in reductions}
+        rows.df = self._focused(rows.df, values)
         tie = self.root.value.order
         if not p.projection:
             return Result(rows.df, self._ordered(values, tie), rows, tie)
@@ -320,16 +360,90 @@ class Select:
             return (b.alias, node.owner, node, b.model)
         return (b.alias, node.value.column, node, b.model)
 
+    # --- groups
+
+    def _branch(self, path: tuple[str, ...]) -> tuple[str, ...] | None:
+        """The first multi-valued step of a path; None if there is none."""
+        return next((path[:k] for k in range(1, len(path) + 1) if self._fan(path[:k])), None)
+
+    def _branches(self) -> list[tuple[str, ...]]:
+        """The independent multi-valued steps that a grouped query goes through, if its rows can be reduced along each of
+        them on its own; else none.  Members must be told apart by their keys, and cells that tags narrow need rows."""
+        p = self.plan
+        keyed = self.root.access and self.root.access[0][0].key and len(self.root.value.parts) == 1 and not self.owned
+        maps = any(isinstance(self.plan.root.at(b.expression.path).range, Dictionary) and tag_ranges(b.model) for b in p.grouping)
+        if not keyed or maps:
+            return []
+        used = [x.expression for x in (*p.query.bindings, *p.query.criteria) if not (isinstance(x, Criterion) and x.op == "!" and not aggregates(x.expression))]
+        found = list(dict.fromkeys(b for b in (self._branch(e.path) for e in used) if b is not None))
+        return found if len(found) > 1 else []
+
+    def _walk(self, branch: tuple[str, ...] | None, used: list[Expression]) -> Rows:
+        """Rows of the members along one branch (None: none of them), narrowed by the criteria that hold there."""
+        rows = self._rows(self.plan.required)
+        for e in used:
+            if self._branch(e.path) == branch:
+                rows.node(e.path)
+        values = []
+        for c in self.plan.of("<", ">", "<=", ">=", "~", "?", aggregate=False):
+            if self._branch(c.expression.path) in (None, branch) and not (c.op == "?" and not options(c.value)):
+                values.append((self.value(rows, c.expression), c))
+        for v, c in sorted(values, key=lambda x: long(x[1])):
+            rows.df = self._where(rows.df, v, c, self._lineage(c.expression))
+        return rows
+
+    def _factorised(self, branches: list[tuple[str, ...]], cells: list, wanted: dict[tuple, tuple[Expression, list[str]]]) -> tuple[DataFrame, dict[tuple, Range]]:
+        """Groups without the product of independent branches: each is reduced to partial results by member (and by the
+        group keys that lie in it) and to how many rows it has; a branch's part then counts as often as the others have rows.
+
+        cells: the group keys, as (name, binding); wanted: aggregates by key.  Returns the groups and the aggregates' ranges."""
+        p, item = self.plan, "__k"
+        used = [x.expression for x in (*p.query.bindings, *p.query.criteria) if not (isinstance(x, Criterion) and x.op == "!")]
+        base = self._walk(None, used)
+        self._divided(base)
+        key_of = lambda rows, b: self._cell(rows, b)[1]
+        parts: dict[tuple, tuple[list[str], Callable, int | None]] = {}
+        ranges: dict[tuple, Range] = {}
+        frames, own_names = [], []
+        for at, branch in enumerate([None, *branches]):
+            rows = base if branch is None else self._walk(branch, used)
+            keys = [(n, b) for n, b in cells if self._branch(b.expression.path) == branch]
+            columns = []
+            for key, (e, before) in wanted.items():
+                if self._branch(e.path) != branch:
+                    continue
+                v = domain(scalar(rows.node(e.path).value, before), key[2], self._marker(e.path))
+                ranges[key], own, total = partial(v, key[2])
+                names = [f"p{at}_{len(columns) + k}" for k in range(len(own))]
+                columns += [c.alias(n) for n, c in zip(names, own)]
+                parts[key] = (names, total, at)
+            by = [self.item.alias(f"{item}{at}"), *(key_of(rows, b).alias(n) for n, b in keys)]
+            frames.append(rows.df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"m{at}"), *columns))
+            own_names.append(f"{item}{at}")
+        df = frames[0]
+        for frame, name in zip(frames[1:], own_names[1:]):
+            df = df.join(frame, F.col(own_names[0]) == F.col(name))
+        weights = {at: F.col(f"m{at}") for at in range(len(frames))}
+
+        def others(at: int) -> Column:
+            out = F.lit(1).cast("long")
+            for k, m in weights.items():
+                out = out if k == at else out * m
+            return out
+
+        aggs = [total([F.col(n) for n in names], others(at)).alias(f"a{k}") for k, (names, total, at) in enumerate(parts[key] for key in wanted)]
+        return df.groupBy(*(n for n, _ in cells)).agg(*aggs), ranges
+
     def _grouped(self) -> Result:
         rows, p = self.rows, self.plan
+        branches = self._branches()
         for x in (*p.query.bindings, *p.query.criteria):
             if not (isinstance(x, Criterion) and x.op == "!"):
                 rows.node(x.expression.path)
-        self._divided(self._filtered(rows))
         cells = [self._cell(rows, b) for b in p.grouping]
         names = [f"g{k}" for k in range(len(cells))]
-        rows.df = rows.df.withColumns({n: key for n, (_, key, _, _) in zip(names, cells)})
         aggs: dict[tuple, Column] = {}
+        wanted: dict[tuple, tuple[Expression, list[str]]] = {}
         after_of: dict[str, tuple[Range, str, list[str]] | None] = {}
         for e in (x.expression for x in (*p.query.bindings, *p.query.criteria) if aggregates(x.expression)):
             before, name, after = split_pipe(e.pipe)
@@ -340,12 +454,17 @@ class Select:
             r, column = reduced(v, name)
             key = (e.path, tuple(before), name)
             if key not in aggs:
-                aggs[key] = column.alias(f"a{len(aggs)}")
+                aggs[key], wanted[key] = column.alias(f"a{len(aggs)}"), (e, before)
             after_of[str(e)] = (r, f"a{list(aggs).index(key)}", after)
         # cells that are attached to a group's key after grouping need their maps
         carried = [F.first(n.value.maps[0]).alias(f"m{k}") for k, (_, _, n, m) in enumerate(cells) if n is not None and isinstance(n.range, Dictionary) and tag_ranges(m)]
         # group keys may be tagged structs or references, and null is a key
-        df = rows.df.groupBy(*self.keys, *names).agg(*(list(aggs.values()) or [F.count(F.lit(1)).alias("a0")]), *carried)
+        if branches and wanted:
+            df, _ = self._factorised(branches, list(zip(names, p.grouping)), wanted)
+        else:
+            self._divided(self._filtered(rows))
+            rows.df = rows.df.withColumns({n: key for n, (_, key, _, _) in zip(names, cells)})
+            df = rows.df.groupBy(*self.keys, *names).agg(*(list(aggs.values()) or [F.count(F.lit(1)).alias("a0")]), *carried)
         values: dict[str, Value] = {}
         for text, own in after_of.items():
             if own is not None:
@@ -361,7 +480,8 @@ class Select:
         for c in p.of("<", ">", "<=", ">=", "~", "?", "!", aggregate=True):
             if c.op in "?!" and not options(c.value):
                 continue
-            df = df.where(condition(values[str(c.expression)], c) if str(c.expression) in values else F.lit(c.op in "?!" and None in options(c.value)))
+            df = self._where(df, values[str(c.expression)], c) if str(c.expression) in values else df.where(F.lit(c.op in "?!" and None in options(c.value)))
+        df = self._focused(df, values)
         order = self._ordered({k: v for k, v in values.items()}, [F.col(n) for n in names])
         out = []
         for b in p.query.bindings:

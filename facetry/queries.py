@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import detect, lookup_many, members, select, virtual
-from .shapes import Linked, Reference, Shape, ShapeError, multiple
+from .shapes import Linked, Reference, Shape, multiple
 from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
 from .store import Store
 
@@ -109,6 +109,29 @@ _model("join_reverse", Nation, {"nation=name": {}, "customer=customers": {}}, "S
 _model("fanout_one", Customer, {"customer=": {}, "priority=orders.priority": {}}, "SELECT DISTINCT c_custkey AS customer, o_orderpriority AS priority FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 _model("fanout_cross", Nation, {"nation=": {}, "segment=customers.segment": {}, "supplier=suppliers": {}}, "SELECT DISTINCT n_nationkey AS nation, c_mktsegment AS segment, s_suppkey AS supplier FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 
+# --- long option sets, which are relations
+_KEYS = [*range(0, 700_000, 7), "none", 0.5, True]
+_model("any_of_many", Order, {"id": {}, "total": {}, "?id": _KEYS}, "SELECT o_orderkey AS id, o_totalprice AS total FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 700000")
+_model("any_of_many_null", Document, {"id": {}, "?label.quality": [None, *range(1, 3000)]}, "SELECT doc_id AS id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality BETWEEN 1 AND 2999")
+_model("any_of_many_union", Event, {"n=count:id": {}, "?result": [*(k / 100 for k in range(0, 100_000, 3)), *(f"word {k}" for k in range(100)), "click"]}, "SELECT count(*) AS n FROM events WHERE event_type = 'click' OR (event_type IN ('purchase', 'view') AND value IN (SELECT CAST(i AS DOUBLE) / 100 FROM range(0, 100000, 3) t(i)))")
+_model("any_of_many_tagged", Document, {"id": {}, "?titles": [*({"de": f"src{k}", "en": [f"src{k + 1}", "x"]} for k in range(0, 40, 2)), "odd"]}, "SELECT doc_id AS id FROM documents WHERE (lang = 'de' AND source IN (SELECT 'src' || i FROM range(0, 40, 2) t(i))) OR (lang = 'en' AND source IN (SELECT 'src' || (i + 1) FROM range(0, 40, 2) t(i))) OR doc_id % 2 = 1")
+_model("all_of_many", Supplier, {"id": {}, "!items.quantity": list(range(1, 46))}, "SELECT l_suppkey AS id FROM lineitem WHERE l_quantity IN (SELECT i FROM range(1, 46) t(i)) GROUP BY 1 HAVING count(DISTINCT l_quantity) = 45")
+_model("having_many", Customer, {"customer=": {}, "n=count:orders": {}, "?count:orders": list(range(0, 3000, 2))}, "SELECT c_custkey AS customer, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) % 2 = 0")
+_model("focus_many", Order, {"id": {}, "+id": list(range(5, 60_000, 5)), "#": 40}, "SELECT o_orderkey AS id FROM orders ORDER BY CASE WHEN o_orderkey % 5 = 0 AND o_orderkey BETWEEN 5 AND 59995 THEN 0 ELSE 1 END, o_orderkey LIMIT 40")
+
+# --- aggregates along independent paths: as over their product, but reduced along each
+_PRODUCT = "nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey"
+_model("agg_two_paths", Nation, {"n=count:customers": {}, "m=count:suppliers": {}}, f"SELECT count(c_custkey) AS n, count(s_suppkey) AS m FROM {_PRODUCT}")
+_model(
+    "agg_three_paths", Nation, {"region=region.name": {}, "n=count:customers": {}, "s=sum:suppliers.acctbal": {}, "t=count:traders": {}, "high=max:customers.acctbal": {}, "low=min:suppliers.name": {}, "mean=avg:customers.acctbal": {}, ">customers.acctbal": 0, ">=count:suppliers": 1},
+    f"""WITH traders AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier)
+    SELECT r_name AS region, count(c_custkey) AS n, round(coalesce(sum(s_acctbal), 0), 2) AS s, count(k) AS t, max(c_acctbal) AS high, min(s_name) AS low, round(avg(c_acctbal), 2) AS mean
+    FROM {_PRODUCT} JOIN region ON n_regionkey = r_regionkey LEFT JOIN traders ON k = n_nationkey WHERE c_acctbal > 0 GROUP BY 1 HAVING count(s_suppkey) >= 1""",
+    rounded=("s", "mean"),
+)
+_model("agg_paths_keyed", Nation, {"segment=customers.segment": {}, "supplier=suppliers.name": {}, "k=count:customers.orders": {}, "v=sum:customers.orders.total": {}, "n=count:id": {}, ">=suppliers.acctbal": 5000}, "SELECT c_mktsegment AS segment, s_name AS supplier, count(o_orderkey) AS k, round(coalesce(sum(o_totalprice), 0), 2) AS v, count(n_nationkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal >= 5000 GROUP BY 1, 2", rounded=("v",))
+_model("agg_paths_linked", Part, {"brand=brand": {}, "n=count:suppliers": {}, "q=sum:items.quantity": {}, "^sum:items.quantity": -1, "#": 7}, "SELECT p_brand AS brand, count(supplier) AS n, round(coalesce(sum(l_quantity), 0), 2) AS q FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS of, l_suppkey AS supplier FROM lineitem) ON of = p_partkey LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY q DESC, brand LIMIT 7", rounded=("q",))
+
 # --- grouping and aggregates
 _model("agg_count", Order, {"n=count:id": {}, "?status": "F"}, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 _model("agg_sum", LineItem, {"flag=returnflag": {}, "v=sum:quantity": {}}, "SELECT l_returnflag AS flag, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1", rounded=("v",))
@@ -348,35 +371,6 @@ def _(spark, d):
     return out.select("owner", "item.id", "item.total")
 
 
-_REJECTED = {
-    "limit waived under a cap": (Order, {"#": 0}, {"limit": 8}), "limit over a cap": (Order, {"#": 9}, {"limit": 8}), "nested limit waived under a cap": (Nation, {"customers": {"#": 0}}, {"limit": 8}), "nested limit over a cap": (Nation, {"customers": {"#": 9}}, {"limit": 8}),
-    "aggregate in a plain request": (Order, {"n=count:id": {}}, {"plain": True}), "nested aggregate in a plain request": (Nation, {"customers": {"n=count:": {}}}, {"plain": True}), "path too deep": (Order, {"n=customer.nation": {}}, {"depth": 1}), "template too deep": (Nation, {"region": {"name": {}}}, {"depth": 0}),
-    "cell bound twice": (Order, {"a=status": {}, "a=total": {}}, {}), "key in the middle of a path": (Order, {"a=id.status": {}}, {}), "order by many values": (Customer, {"^orders.total": 1}, {}), "order by what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "^total": 1}, {}),
-    "focus on what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "+priority": ["1-URGENT"]}, {}), "order of references": (Order, {">customer": 1}, {}), "text sought in numbers": (Order, {"~total": "x"}, {}), "transform of another type": (Order, {"a=year:total": {}}, {}), "unknown transform": (Order, {"a=odd:total": {}}, {}),
-    "aggregate of an aggregate": (Order, {"a=sum:max:total": {}}, {}), "unknown property": (Order, {"odd": {}}, {}), "no variant fits": (Event, {"about": {"0": {"odd": {}}}}, {}), "negative offset": (Order, {"@": -1}, {}),
-}
-
-
-@_query("rejections", "SELECT request, true AS rejected FROM (VALUES " + ", ".join(f"('{k}')" for k in _REJECTED) + ") v(request)")
-def _(spark, d):
-    c, out = catalog(spark, d), []
-    for name, (shape, model, caps) in _REJECTED.items():
-        try:
-            select(c, shape, model, **caps)
-            out.append((name, False))
-        except ShapeError:
-            out.append((name, True))
-    return spark.createDataFrame(out, "request string, rejected boolean")
-
-
-@_query("admissions", "SELECT request, true AS admitted FROM (VALUES ('limit within a cap'), ('reference at depth 0'), ('localised text at depth 0'), ('path within the depth'), ('template within the depth')) v(request)")
-def _(spark, d):
-    c, out = catalog(spark, d), []
-    for name, shape, model, caps in (("limit within a cap", Order, {"#": 8}, {"limit": 8}), ("reference at depth 0", Customer, {"nation": {}, "orders": {}}, {"depth": 0}), ("localised text at depth 0", Document, {"titles": {"de": {}}}, {"depth": 0}), ("path within the depth", Order, {"n=customer.nation": {}}, {"depth": 2}), ("template within the depth", Nation, {"region": {"name": {}}, "customers": {"orders": {"total": {}}}}, {"depth": 2})):
-        out.append((name, bool(select(c, shape, model, **caps).columns)))
-    return spark.createDataFrame(out, "request string, admitted boolean")
-
-
 # --- writes: batches of resources, cascades, links, transactions
 _NEW = "(SELECT s_suppkey + 1450 AS id, s_name AS name FROM supplier)"
 
@@ -473,23 +467,6 @@ def _(spark, d):
     return _people(store)
 
 
-@_query("write_rejected", "SELECT request, true AS rejected FROM (VALUES ('repeated key'), ('missing member'), ('limit broken'), ('value out of a list'), ('column missing')) v(request)")
-def _(spark, d):
-    store, out = Store(ledger(spark, d)), []
-    person, bill = "c_custkey long, c_name string, c_acctbal double, c_nationkey int", "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long"
-    cases = {
-        "repeated key": (Person, [(1, "a", 0.0, 1), (1, "b", 0.0, 1)], person), "missing member": (Person, [(1, None, 0.0, 1)], person), "limit broken": (Person, [(1, "a", -1e9, 1)], person),
-        "value out of a list": (Bill, [(1, 5.0, "X", 1)], bill), "column missing": (Bill, [(1, 5.0)], "o_orderkey long, o_totalprice double"),
-    }
-    for name, (shape, rows, kind) in cases.items():
-        try:
-            store.insert_all(shape, spark.createDataFrame(rows, kind))
-            out.append((name, False))
-        except ShapeError:
-            out.append((name, True))
-    return spark.createDataFrame(out, "request string, rejected boolean")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["facet"](spark, sf_dir)
 

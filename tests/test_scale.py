@@ -1,0 +1,209 @@
+"""What holds at any size: long option sets, aggregates along independent paths, and requests that are turned down."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from facetry.engine import select
+from facetry.operators import optionsets
+from facetry.shapes import ShapeError
+from facetry.sources.tables import Bill, Customer, Document, Event, Nation, Order, Part, Person, Supplier, catalog, ledger
+from facetry.store import Store
+
+
+@pytest.fixture(scope="module")
+def c(spark, sf_dir):
+    return catalog(spark, sf_dir)
+
+
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# --- option sets
+
+MIXED = [*range(0, 50_000, 2), *(k + 0.5 for k in range(25_000)), *(f"w{k}" for k in range(25_000)), *({"de": f"x{k}"} for k in range(25_000)), True]
+
+
+@pytest.mark.parametrize("key", ["?id", "?total", "?customer", "?date", "?items.quantity"])
+def test_any_of_a_hundred_thousand_mixed_options(c, key):
+    more = {"?date": ["1998-10-03", "1997-05-28T00:00:00"]}.get(key, [])
+    df = select(c, Order, {"id": {}, key: [*MIXED, *more]})
+    assert len(plan_of(df)) < 6_000
+    v = {"?id": F.col("o_orderkey"), "?total": F.col("o_totalprice"), "?customer": F.col("o_custkey")}.get(key)
+    orders = c.frame(Order)
+    if v is not None:
+        want = orders.where(((v % 2 == 0) & (v < 50_000) & (v >= 0)) | ((v * 2 % 2 == 1) & (v < 25_000)))
+    elif key == "?date":
+        want = orders.where(F.col("o_orderdate").isin("1998-10-03", "1997-05-28"))
+    else:
+        own = c.read(orders.inputFiles()[0].rsplit("/", 1)[0] + "/lineitem.parquet").where("l_quantity % 2 = 0 and l_quantity < 50000").select("l_orderkey").distinct()
+        want = orders.join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    assert ids(df) == ids(want.select(F.col("o_orderkey").alias("id")))
+
+
+def test_absence_among_many_options(c):
+    many = select(c, Document, {"id": {}, "?label.quality": [None, 0, *range(2, 5000)]})
+    few = select(c, Document, {"id": {}, "?label.quality": [None, 0]})
+    assert ids(many) == ids(few) and len(plan_of(many)) < 6_000
+    assert ids(select(c, Order, {"id": {}, "?items": [None, *range(10**7, 10**7 + 100)]})) == ids(select(c, Order, {"id": {}, "?items": None}))
+
+
+@pytest.mark.parametrize("key", ["?titles", "?tags", "?caption", "?result", "?about"])
+def test_long_sets_mean_what_short_ones_do(c, key):
+    shape = Event if key in ("?result", "?about") else Document
+    short = {"?titles": ["odd", {"en": ["src6", "src10"]}, None], "?tags": [{"en": "src6"}, {"en": ["src10", "no"]}, "even"], "?caption": ["src4", {"en": "src7"}], "?result": ["click", 0.5, 7, None], "?about": [1, 2, 3, "4"]}[key]
+    filler = [*(f"zz{k}" for k in range(40)), *({"xx": f"zz{k}"} for k in range(40))] if shape is Document else [f"zz{k}" for k in range(40)] if key == "?result" else list(range(10**9, 10**9 + 40))
+    found = ids(select(c, shape, {"id": {}, key: short + filler}))
+    assert found and found == ids(select(c, shape, {"id": {}, key: short}))
+
+
+def test_all_of_many(c, monkeypatch):
+    few = {"!items.quantity": [1, 2, 3, 40], "!suppliers.name": []}
+    want = ids(select(c, Part, {"id": {}, **few}))
+    tagged = [{"de": "de"}, {"und": ["even"]}, "even"]
+    texts, single = ids(select(c, Document, {"id": {}, "!tags": tagged})), ids(select(c, Order, {"id": {}, "!status": ["F"]}))
+    monkeypatch.setattr("facetry.operators.select.INLINE", 0)
+    assert ids(select(c, Part, {"id": {}, **few})) == want and want
+    assert ids(select(c, Document, {"id": {}, "!tags": tagged})) == texts and texts
+    assert ids(select(c, Order, {"id": {}, "!status": ["F"]})) == single
+    assert not ids(select(c, Order, {"id": {}, "!status": ["F", "O"]})) and not ids(select(c, Order, {"id": {}, "!items": [None, 1]}))
+    assert ids(select(c, Order, {"id": {}, "!items": None})) == ids(select(c, Order, {"id": {}, "?items": None}))
+    # the same moment in two forms is one value that is both
+    day = c.frame(Order).select(F.col("o_orderdate").cast("date").cast("string")).first()[0]
+    assert ids(select(c, Order, {"id": {}, "!date": [day, f"{day}T00:00:00"]})) == ids(select(c, Order, {"id": {}, "?date": day}))
+
+
+def test_all_of_a_hundred_thousand(c):
+    many = list(range(1, 51))
+    df = select(c, Supplier, {"id": {}, "!items.quantity": many + [1.0, 2.0]})
+    assert len(plan_of(df)) < 8_000 and ids(df) == ids(select(c, Supplier, {"id": {}, "!items.quantity": many[:5]}))
+    df = select(c, Supplier, {"id": {}, "!items.quantity": many + MIXED})
+    assert len(plan_of(df)) < 8_000 and not ids(df)
+
+
+def test_long_sets_on_groups_and_focuses(c, monkeypatch):
+    model = {"customer=": {}, "n=count:orders": {}, "?count:orders": [4, 6, 9], "+n": None}
+    model.pop("+n")
+    few = sorted(map(tuple, select(c, Customer, model).collect()))
+    focus = [r["id"] for r in select(c, Order, {"id": {}, "+priority": ["5-LOW", "1-URGENT"], "^total": 1, "#": 50}).collect()]
+    item = ids(select(c, Customer, {"id": {}, "!count:orders": [10]})), ids(select(c, Customer, {"id": {}, "?max:orders.total": [None]}))
+    monkeypatch.setattr("facetry.operators.select.INLINE", 0)
+    monkeypatch.setattr("facetry.operators.select.LISTED", 0)
+    assert sorted(map(tuple, select(c, Customer, model).collect())) == few and few
+    assert [r["id"] for r in select(c, Order, {"id": {}, "+priority": ["5-LOW", "1-URGENT"], "^total": 1, "#": 50}).collect()] == focus
+    assert (ids(select(c, Customer, {"id": {}, "!count:orders": [10]})), ids(select(c, Customer, {"id": {}, "?max:orders.total": [None]}))) == item
+
+
+def test_bounds_of_a_long_set_reach_the_scan(c):
+    df = select(c, Order, {"id": {}, "?id": list(range(100, 5000))})
+    assert "GreaterThanOrEqual(o_orderkey,100)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_options_as_values():
+    from pyspark.sql import types as T
+
+    from facetry.shapes import Reference, date, decimal, integer, local, string
+
+    own = optionsets.constant
+    assert own(T.LongType(), integer, 3.0) == 3 and own(T.LongType(), integer, 3.5) is None and own(T.LongType(), integer, True) is None and own(T.LongType(), integer, 1 << 70) is None
+    assert own(T.LongType(), Reference(lambda: Order), "17") == 17 and own(T.LongType(), Reference(lambda: Order), "x") is None
+    assert own(T.DoubleType(), decimal, 2) == 2.0 and own(T.StringType(), string, 2) is None and own(T.BooleanType(), integer, 1) is None
+    assert own(T.DateType(), date, "1998-10-03") == "1998-10-03" and own(T.TimestampNTZType(), local, "odd") is None
+
+
+# --- aggregates along independent paths
+
+
+def rows_of(df):
+    """The largest number of rows that an operator of the plan that ran has put out."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        todo += [p.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in name else [p.children().apply(k) for k in range(p.children().size())]
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
+
+
+PATHS = {"n=count:customers": {}, "m=count:suppliers": {}, "v=sum:customers.orders.total": {}, "t=count:traders": {}}
+
+
+def test_independent_paths_add_up_and_do_not_multiply(c):
+    df = select(c, Nation, PATHS)
+    largest = c.frame(Order).count() + c.frame(Customer).count() + 100
+    assert rows_of(df) <= largest
+    nation = c.frame(Nation).select(F.col("n_nationkey").alias("k"))
+    each = lambda shape, key, *more: nation.join(c.frame(shape), F.col("k") == F.col(key), "left").groupBy("k").agg(F.count("*").alias("m"), F.count(key).alias("n"), *more)
+    want = 0
+    customers = {r["k"]: r for r in each(Customer, "c_nationkey").collect()}
+    suppliers = {r["k"]: r for r in each(Supplier, "s_nationkey").collect()}
+    orders = {r["k"]: r for r in nation.join(c.frame(Customer), F.col("k") == F.col("c_nationkey"), "left").join(c.frame(Order), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("k").agg(F.count("*").alias("m"), F.count("c_custkey").alias("n"), F.sum("o_totalprice").alias("v")).collect()}
+    traders = {k: customers[k]["n"] + suppliers[k]["n"] for k in customers}
+    want = {
+        "n": sum(orders[k]["n"] * suppliers[k]["m"] * max(1, traders[k]) for k in customers), "m": sum(suppliers[k]["n"] * orders[k]["m"] * max(1, traders[k]) for k in customers),
+        "v": sum((orders[k]["v"] or 0) * suppliers[k]["m"] * max(1, traders[k]) for k in customers), "t": sum(traders[k] * orders[k]["m"] * suppliers[k]["m"] for k in customers),
+    }
+    got = df.first().asDict()
+    assert {k: got[k] for k in "nmt"} == {k: want[k] for k in "nmt"} and abs(got["v"] - want["v"]) < 1e-6 * want["v"]
+
+
+@pytest.mark.parametrize("model", [
+    {"region=region.name": {}, "a=avg:suppliers.acctbal": {}, "b=min:customers.name": {}, "c=max:suppliers.acctbal": {}, "d=count:": {}, "e=sum:length:customers.segment": {}, "f=round:avg:customers.acctbal": {}},
+    {"segment=customers.segment": {}, "n=count:suppliers": {}, "s=sum:suppliers.acctbal": {}, ">=suppliers.acctbal": 2000, "^count:suppliers": -1},
+    {"segment=customers.segment": {}, "supplier=suppliers": {}, "n=count:customers": {}, "?region.name": ["ASIA", "EUROPE"], ">sum:customers.acctbal": 0},
+    {"id=": {}, "n=count:customers": {}, "s=count:suppliers": {}, "!customers.segment": ["BUILDING"], "~suppliers.name": "1"},
+    {"n=count:customers": {}, "s=sum:suppliers.acctbal": {}, "?name": "nowhere"},
+    {"n=count:customers.orders": {}, "m=count:customers": {}, "s=min:suppliers.acctbal": {}},
+])
+def test_reduced_paths_equal_the_product(c, model, monkeypatch):
+    """The same as over the joined rows, with shared prefixes, criteria and keys on either side."""
+    norm = lambda df: sorted((tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    found = norm(select(c, Nation, model))
+    from facetry.operators.select import Select
+
+    monkeypatch.setattr(Select, "_branches", lambda self: [])
+    assert found == norm(select(c, Nation, model)) and found
+
+
+# --- requests that are turned down
+
+REJECTED = {
+    "limit waived under a cap": (Order, {"#": 0}, {"limit": 8}), "limit over a cap": (Order, {"#": 9}, {"limit": 8}), "nested limit waived under a cap": (Nation, {"customers": {"#": 0}}, {"limit": 8}), "nested limit over a cap": (Nation, {"customers": {"#": 9}}, {"limit": 8}),
+    "aggregate in a plain request": (Order, {"n=count:id": {}}, {"plain": True}), "nested aggregate in a plain request": (Nation, {"customers": {"n=count:": {}}}, {"plain": True}), "path too deep": (Order, {"n=customer.nation": {}}, {"depth": 1}), "template too deep": (Nation, {"region": {"name": {}}}, {"depth": 0}),
+    "cell bound twice": (Order, {"a=status": {}, "a=total": {}}, {}), "key in the middle of a path": (Order, {"a=id.status": {}}, {}), "order by many values": (Customer, {"^orders.total": 1}, {}), "order by what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "^total": 1}, {}),
+    "focus on what is no grouping": (Order, {"s=status": {}, "n=count:id": {}, "+priority": ["1-URGENT"]}, {}), "order of references": (Order, {">customer": 1}, {}), "text sought in numbers": (Order, {"~total": "x"}, {}), "transform of another type": (Order, {"a=year:total": {}}, {}), "unknown transform": (Order, {"a=odd:total": {}}, {}),
+    "aggregate of an aggregate": (Order, {"a=sum:max:total": {}}, {}), "unknown property": (Order, {"odd": {}}, {}), "no variant fits": (Event, {"about": {"0": {"odd": {}}}}, {}), "negative offset": (Order, {"@": -1}, {}),
+}
+
+ADMITTED = {
+    "limit within a cap": (Order, {"#": 8}, {"limit": 8}), "reference at depth 0": (Customer, {"nation": {}, "orders": {}}, {"depth": 0}), "localised text at depth 0": (Document, {"titles": {"de": {}}}, {"depth": 0}),
+    "path within the depth": (Order, {"n=customer.nation": {}}, {"depth": 2}), "template within the depth": (Nation, {"region": {"name": {}}, "customers": {"orders": {"total": {}}}}, {"depth": 2}),
+}
+
+
+@pytest.mark.parametrize("name", REJECTED)
+def test_rejected(c, name):
+    shape, model, caps = REJECTED[name]
+    with pytest.raises(ShapeError):
+        select(c, shape, model, **caps)
+
+
+@pytest.mark.parametrize("name", ADMITTED)
+def test_admitted(c, name):
+    shape, model, caps = ADMITTED[name]
+    assert select(c, shape, model, **caps).columns
+
+
+@pytest.mark.parametrize(("shape", "rows", "kind"), [
+    (Person, [(1, "a", 0.0, 1), (1, "b", 0.0, 1)], "c_custkey long, c_name string, c_acctbal double, c_nationkey int"), (Person, [(1, None, 0.0, 1)], "c_custkey long, c_name string, c_acctbal double, c_nationkey int"),
+    (Person, [(1, "a", -1e9, 1)], "c_custkey long, c_name string, c_acctbal double, c_nationkey int"), (Bill, [(1, 5.0, "X", 1)], "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long"), (Bill, [(1, 5.0)], "o_orderkey long, o_totalprice double"),
+])
+def test_rejected_writes(spark, sf_dir, shape, rows, kind):
+    with pytest.raises(ShapeError):
+        Store(ledger(spark, sf_dir)).insert_all(shape, spark.createDataFrame(rows, kind))
