@@ -2,8 +2,9 @@
 
 Distances between unrelated documents are all 1, so pivots drawn from a corpus at random would part nothing.  The first
 pivots are therefore found by shingles: under one order of all shingles (common ones last), two sets within reach share
-a shingle among the first fifth of each, and the sets that hold it there form the region of the smallest of them, their
-pivot.  A region that fits in a task is joined there, all pairs at once.  A larger one is cut again: pivots are drawn
+a number of those that come first in each (see `need`), and the sets that hold one there belong to the region of the
+smallest of them, their pivot.  Sets that share fewer belong to none, and a set may leave the regions in which it shares
+least as long as it cannot miss a link by that.  A region that fits in a task is joined there, all pairs at once.  A larger one is cut again: pivots are drawn
 from its members, every member's distance to each is computed, a member belongs to the Voronoi cell of the nearest and
 is replicated to each cell that the triangle inequality leaves open (no farther than the nearest plus twice the reach),
 so that two linked members meet in the home of either.  Cells are regions of the next round.
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U, blocks, by_id, small, written, xxh64
@@ -34,6 +35,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 REACH = 1 - NUMERATOR / DENOMINATOR
 #: Sets that a task joins at once, and bytes of one that counts once (a larger one counts as often as it has them).
 LONG, UNIT_BYTES = 512, 1 << 15
+#: What heads hold beyond the least that two sets within reach share a shingle in, as a share of a set.
+EXTRA = (1, 10)
 #: Pivots drawn from a region.
 PIVOTS = 12
 #: Shingles that a task counts at once, in how many sets of these one is common, and the most that are sent to all tasks.
@@ -126,7 +129,7 @@ _KEY_SQL = "struct<id:bigint,text:bigint>"
 
 def _common(counted: DataFrame) -> np.ndarray:
     """Common shingles, ascending, and their ranks by frequency: a bounded list, the most frequent first to be in it.  Any
-    list gives right results; a good one keeps passages that many texts share out of the prefixes."""
+    list gives right results; a good one keeps passages that many texts share out of the heads."""
     total = counted.groupBy("shingle").agg(F.sum("times").alias("times"))
     total = written(total, "common")
     level = total.groupBy(F.floor(F.log2("times")).cast("int").alias("level")).count().collect()
@@ -144,31 +147,79 @@ def _common(counted: DataFrame) -> np.ndarray:
     return np.stack((s[order], rank[order].astype(U)))
 
 
-def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of all: of those of a set within reach, one is among them."""
-    length = len(own) - -(-NUMERATOR * len(own) // DENOMINATOR) + 1
+def need(n: int) -> int:
+    """How many shingles two sets within reach share among their heads, at least, if one has n.
+
+    The other has at least four fifths of n, and a fifth of either set at most is not shared.  The head that ends first
+    in the order of all holds that fifth, one more and EXTRA of its set, and what it shares is in the other's head, too."""
+    return 1 + EXTRA[0] * NUMERATOR * n // (EXTRA[1] * DENOMINATOR)
+
+
+def head(own: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of all, as (rare ones, common ones)."""
+    length = min(len(own), len(own) - -(-NUMERATOR * len(own) // DENOMINATOR) + 1 + EXTRA[0] * len(own) // EXTRA[1])
     if not common.shape[1]:
-        return own[:length]
+        return own[:length], own[:0]
     at = np.minimum(np.searchsorted(common[0], own), common.shape[1] - 1)
     hit = common[0][at] == own
-    rare = own[~hit]
-    if len(rare) >= length:
-        return rare[:length]
-    return np.concatenate((rare, own[hit][np.argsort(common[1][at[hit]])]))[:length]
+    rare = own[~hit][:length]
+    return rare, own[hit][np.argsort(common[1][at[hit]])][: length - len(rare)]
+
+
+def _heads(k: int, common):
+    """(node, n, rare, common) of each text with words."""
 
+    def listed(parts: list[np.ndarray]) -> pa.ListArray:
+        edge = np.concatenate(([0], np.cumsum([len(h) for h in parts], dtype=np.int64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*parts, np.zeros(0, U)]).view(np.int64)))
 
-def _prefixes(k: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [s for s in sets_of(b.column(0), k) if len(s)]
-            heads = [prefix(s, common.value) for s in own]
-            edge = np.concatenate(([0], np.cumsum([len(h) for h in heads], dtype=np.int64))).astype(np.int32)
-            flat = np.concatenate([*heads, np.zeros(0, U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], names=["node", "heads"])
+            heads = [head(s, common.value) for s in own]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), *(listed([h[i] for h in heads]) for i in (0, 1))], names=["node", "n", "rare", "common"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, node, times): for the lists (s, node) of a partition that is sorted by both, the smallest node with each,
+    if there are two; a list that goes on in the next batch is told by its first node and its last, so none is held."""
+    s, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        s, node = np.concatenate((s, np.asarray(b.column(0)))), np.concatenate((node, np.asarray(b.column(1))))
+        fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])))
+        s, node = s[fresh], node[fresh]
+        edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        size = np.diff(np.concatenate((edge, [len(s)])))
+        own = np.repeat(size > 1, size)
+        pairs, times = np.unique(np.stack((np.repeat(node[edge], size)[own], node[own]), axis=1), axis=0, return_counts=True) if own.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times.astype(np.int64))], names=["region", "node", "times"])
+        last = [edge[-1], len(s) - 1] if size[-1] > 1 else [len(s) - 1]
+        s, node = s[last], node[last]
+
+
+def regions_of(heads: DataFrame) -> DataFrame:
+    """(region, node): the first regions, by the lists of the heads' shingles; heads: (node, n, rare, common)."""
+    cold = heads.select(F.explode("rare").alias("s"), "node").repartition("s").sortWithinPartitions("s", "node").mapInArrow(_shared, "region long, node long, times long")
+    # lists of common shingles, which any number of sets may hold: summed on the map side, and of bounded number
+    hot = heads.select(F.explode("common").alias("s"), "node")
+    lists = hot.groupBy(F.col("s").alias("of")).agg(F.min("node").alias("region"), F.max("node").alias("last")).where("region <> last").drop("last")
+    hot = hot.join(small(written(lists, "lists"), 16), F.col("s") == F.col("of")).select("region", "node", F.lit(1).cast("long").alias("times"))
+    met = written(cold.unionByName(hot).groupBy("region", "node").agg(F.sum("times").alias("times")), "met")
+    sizes = written(heads.select(F.col("node").alias("of"), "n").distinct(), "sizes")
+    least = F.expr(f"1 + {EXTRA[0] * NUMERATOR} * n div {EXTRA[1] * DENOMINATOR}")
+    by = Window.partitionBy("node")
+    sofar = F.sum("times").over(by.orderBy("times", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = met.join(small(sizes, 16), F.col("node") == F.col("of")).withColumn("least", least)
+    met = met.withColumns({"all": F.sum("times").over(by), "sofar": sofar}).where("all >= least and 2 * sofar > least - 1")
+    members = written(met.select("region", "node"), "members")
+    many = members.groupBy(F.col("region").alias("of")).count().where("count > 1")
+    return members.join(many, F.col("region") == F.col("of"), "left_semi")
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,9 +333,13 @@ class Regions:
         size = written(size.where("low <> high").select(F.col("region").alias("r"), "size"), "sizes")
         return members.join(size, F.col("region") == F.col("r")).drop("r")
 
+    def _with_sets(self, rows: DataFrame) -> DataFrame:
+        """Rows that name nodes, with the nodes' sets: the sets stay where they are if the rows are few."""
+        return self.sets.select(F.col("node").alias("of"), "own").join(small(rows, 40), F.col("node") == F.col("of"))
+
     def _join(self, rows: DataFrame) -> None:
         """Joins groups (key, node, label) in one task each."""
-        met = rows.join(self.sets.select(F.col("node").alias("of"), "own"), F.col("node") == F.col("of")).select("key", "node", "label", "own")
+        met = self._with_sets(rows).select("key", "node", "label", "own")
         self.links = self.links.unionByName(written(_streamed(met, ["key"], ["node"], _joined, "a long, b long"), "links"))
 
     def run(self) -> DataFrame:
@@ -305,8 +360,7 @@ class Regions:
         buckets = F.ceil(F.col("size") / (2 * LONG)).cast("int")
         own = large.select("region", F.pmod(F.xxhash64("node", F.lit("bucket")), buckets).cast("int").alias("bucket"), F.lit(1).alias("member"), "node")
         pivots = large.where(drawn).select("region", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket"), F.lit(0).alias("member"), "node")
-        rows = own.unionByName(pivots).join(self.sets.select(F.col("node").alias("of"), "own"), F.col("node") == F.col("of"))
-        rows = rows.select("region", "bucket", "member", "node", "own")
+        rows = self._with_sets(own.unionByName(pivots)).select("region", "bucket", "member", "node", "own")
         found = written(_streamed(rows, ["region", "bucket"], ["member", "node"], _cells, "region long, node long, links array<bigint>, cells array<bigint>"), "cells")
         self.links = self.links.unionByName(written(found.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b"), "links"))
         labels = written(components(self.links), "labels").select(F.col("node").alias("of"), "root")
@@ -357,11 +411,8 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = written(base.mapInArrow(_nodes(shingle), f"key {_KEY_SQL}, n int, node long, shingle long, times long"), "sets")
     prints, counted = rows.where("shingle is null").select("key", "n", "node"), rows.where("shingle is not null")
     common = spark.sparkContext.broadcast(_common(counted))
-    heads = written(base.select("text").mapInArrow(_prefixes(shingle, common), "node long, heads array<bigint>"), "heads")
-    every = heads.select("node", F.explode("heads").alias("s"))
-    lists = every.groupBy(F.col("s").alias("of")).agg(F.min("node").alias("region"), F.max("node").alias("last")).where("region <> last").drop("last")
-    lists = written(lists, "lists")
-    members = written(every.join(small(lists, 16), F.col("s") == F.col("of")).select("region", "node").distinct(), "members")
+    heads = written(base.select("text").mapInArrow(_heads(shingle, common), "node long, n int, rare array<bigint>, common array<bigint>"), "heads")
+    members = written(regions_of(heads), "members")
     met = members.select(F.col("node").alias("of")).distinct()
     chosen = written(prints.join(met, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("key").alias("key")), "chosen")
     texts = by_id(base, small(chosen, 32), on="key", how="inner").select("text")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,7 +103,7 @@ def test_cells_and_blocks(docs, rows, monkeypatch, long, pivots):
 def test_any_common_list(spark, docs, rows, monkeypatch):
     """Right whatever is held to be common."""
     sets = [np.array(sorted(hash(x) % (1 << 63) for x in range(5)), np.uint64)]
-    every = np.unique(np.concatenate([*sets, *(s for s in jaccard.sets_of(__import__("pyarrow").array([t or "" for _, t in rows])))]))
+    every = np.unique(np.concatenate([*sets, *(s for s in jaccard.sets_of(pa.array([t or "" for _, t in rows])))]))
     some = every[::3]
     monkeypatch.setattr(jaccard, "_common", lambda _: np.stack((some, np.arange(len(some))[::-1].astype(np.uint64))))
     assert got(jaccard.near_sets(docs)) == brute(rows)
@@ -123,19 +124,37 @@ def test_long_texts_in_pieces(monkeypatch):
     assert (jaccard.shingle_set(text) == whole).all() and len(whole) == len(brute_set(text.decode()))
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.lists(st.integers(0, 60), unique=True))
-def test_prefixes_of_linked_sets_meet(a, b, common):
+@settings(max_examples=400, deadline=None)
+@given(st.sets(st.integers(0, 90), min_size=1), st.sets(st.integers(0, 90), max_size=6), st.sets(st.integers(0, 90), max_size=6), st.lists(st.integers(0, 90), unique=True))
+def test_heads_of_linked_sets_share_enough(a, more, less, common):
+    b = (a | more) - less or a
     own = [np.array(sorted(x), np.uint64) for x in (a, b)]
     c = np.array(sorted(common), np.uint64)
     ranks = np.array([common.index(int(x)) for x in c], np.uint64)
-    heads = [set(jaccard.prefix(x, np.stack((c, ranks))).tolist()) for x in own]
+    heads = [set(np.concatenate(jaccard.head(x, np.stack((c, ranks)))).tolist()) for x in own]
     if 100 * len(a & b) >= 80 * len(a | b):
-        assert heads[0] & heads[1]
+        assert len(heads[0] & heads[1]) >= max(jaccard.need(len(a)), jaccard.need(len(b)))
     linked, d = jaccard.near([own[0]], [own[1]])
     assert bool(linked[0, 0]) == (100 * len(a & b) >= 80 * len(a | b)) and abs(d[0, 0] - (1 - len(a & b) / len(a | b))) < 1e-12
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_lists_stream_in_batches(rows):
+    r = random.Random(rows)
+    own = sorted((r.randrange(40), r.randrange(25)) for _ in range(300)) + [(41, k) for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in own[k : k + rows]], pa.int64()), pa.array([y for _, y in own[k : k + rows]], pa.int64())], names=["s", "node"]) for k in range(0, len(own), rows)]
+    found = defaultdict(int)
+    for b in jaccard._shared(iter(batches)):
+        for region, node, times in zip(*(c.to_pylist() for c in b.columns)):
+            found[region, node] += times
+    want = defaultdict(int)
+    for s in {x for x, _ in own}:
+        nodes = sorted({y for x, y in own if x == s})
+        for y in nodes if len(nodes) > 1 else ():
+            want[nodes[0], y] += 1
+    assert set(found) == set(want) and all(found[k] >= want[k] for k in want)
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(queries()["op11_jaccard_join"](spark, sf_dir)) == brute(rows)
