@@ -163,7 +163,7 @@ class FMIndex:
         while True:  # prefix doubling, far enough for the longest text
             later = np.concatenate((rank[length:], np.zeros(min(length, n), np.int64))) if order is not None else None
             key = rank if later is None else rank * (n + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.empty(n, np.int64)
             new[order] = np.concatenate(([1], 1 + np.cumsum(np.diff(key[order]) != 0)))
             if later is not None:
@@ -218,21 +218,21 @@ def repeated(contents: list[bytes], times: np.ndarray, window: int) -> list[np.n
     weights = np.zeros(len(texts), np.int64)
     weights[place] = times[row]
     index = FMIndex(texts, len(known) + 1, int(n.max()) + 1, weights)
-    first, windows = begin[:-1], n - window + 1
+    first, windows = begin[:-1], np.maximum(0, n - window + 1)
     # whole segments first: one search settles all their windows
-    whole = index.reach(texts, first + n - 1, n)
-    flags = [np.zeros(max(0, k), bool) for k in windows.tolist()]
-    for i in np.flatnonzero(whole == n):
-        flags[i][:] = True
-    # then each end of the rest: a match that reaches back a whole window is one
-    rest = np.flatnonzero((whole < n) & (windows > 0))
-    if len(rest):
-        of = np.repeat(rest, windows[rest])
-        k = np.arange(len(of)) - np.repeat(np.cumsum(windows[rest]) - windows[rest], windows[rest])
-        got = index.reach(texts, first[of] + k + window - 1, np.full(len(of), window)) >= window
-        for i, part in zip(rest.tolist(), np.split(got, np.cumsum(windows[rest])[:-1])):
-            flags[i] = part
-    return flags
+    whole = index.reach(texts, first + n - 1, n) == n
+    flags, place = np.repeat(whole, windows), np.cumsum(windows) - windows
+    # then the rest, from left to right: a word's match is longer than the one before it by one word at most, so where it
+    # falls short of a window by k words, the next k - 1 windows are not repeated either
+    live = np.flatnonzero(~whole & (windows > 0))
+    end = np.full(len(live), window - 1)
+    while len(live):
+        short = window - index.reach(texts, first[live] + end, np.full(len(live), window))
+        flags[place[live] + end - window + 1] = short == 0
+        end += np.maximum(1, short)
+        more = end < n[live]
+        live, end = live[more], end[more]
+    return np.split(flags, np.cumsum(windows)[:-1])
 
 
 def _runs(flags: np.ndarray) -> list[int]:
