@@ -52,7 +52,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest id (rows without an id come last) and,
-    among rows that repeat it, the smallest hash of the text; of exact repeats of that row, one.  Null and empty texts are
+    among rows that repeat it, the smallest hash of the text; of rows that repeat both, the one whose columns come first as JSON.  Null and empty texts are
     one group.  An empty table stays empty."""
     ready(spark)
     packed = _named(_packed(docs))
@@ -69,7 +69,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = marked.where("not coalesce(gone, false)")
     out = kept.where("n is null").select("doc_id", "text", "rest")
     if not verdicts.where("not gone").isEmpty():  # rows that come more than once
-        out = out.unionByName(kept.where("n > 1").select("doc_id", "text", "rest").dropDuplicates(["doc_id"]))
+        repeated = kept.where("n > 1").select("doc_id", "text", "rest")
+        first = F.min_by(F.struct("text", "rest"), F.to_json(F.struct("text", "rest"))).alias("x")
+        out = out.unionByName(repeated.groupBy("doc_id").agg(first).select("doc_id", "x.text", "x.rest"))
     return _unpacked(out, docs)
 
 

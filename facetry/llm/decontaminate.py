@@ -1,9 +1,13 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The items' words are written as a table of parts, dealt to chunks of bounded size.  The documents are streamed past the
-automaton of one chunk at a time, without a shuffle; what is written between two chunks are the ids, spans and items of
-the documents that were hit, never a text.  Words that cannot be part of a match (their pair with the next word is in no
-item) are skipped by a vectorised test that has no false negatives; the rest step through the automaton as real words.
+The items' words are written as a table of parts, dealt to chunks of bounded size, each with an automaton.  Words that
+cannot be part of a match (their pair with the next word is in no item) are skipped by a vectorised test that has no false
+negatives; the rest step through an automaton as real words.
+
+A benchmark of one chunk goes to all tasks, and the documents stream past its automaton without a shuffle.  With more
+chunks the documents are read once as well: a set of bits of bounded size tests pairs against all chunks, and only the
+runs of words that pass are written.  Each is sent to the chunks that hold one of its pairs (of those a window apart, one
+of which any match has), whose automata run in tasks, several to a chunk where many runs meet.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -192,6 +197,154 @@ def merge(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
 _SCANNERS: dict[str, Scanner] = {}
 
 
+# --- many chunks
+
+
+#: Bits of the test of all chunks' pairs, at most, and bits for each pair.
+MOST_BITS, PAIR_BITS = 1 << 27, 16
+#: Runs that a task scans under one automaton.
+TASK_RUNS = 20_000
+
+
+def _pairs_of(pairs: bool):
+    """(pair, chunk) of the parts' words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = Scanner._hashes(item.split(b" "))
+                own = np.unique(grams(h, 2) if pairs else h)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), chunk, np.int64))], names=["pair", "chunk"])
+
+    return run
+
+
+def _bits(block_bits: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << block_bits, np.uint8)
+        own[rows["at"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    return run
+
+
+def pair_bits(pairs: DataFrame) -> np.ndarray:
+    """A set of bits, one for the upper bits of each pair's hash: built block by block in tasks, of bounded size."""
+    n = max(1, pairs.count())
+    level = min(MOST_BITS.bit_length() - 1, max(16, (PAIR_BITS * n - 1).bit_length()))
+    inner = max(0, level - 8)
+    at = F.shiftrightunsigned("pair", 64 - level)
+    placed = pairs.select(F.shiftright(at, inner).cast("int").alias("block"), at.bitwiseAND(F.lit((1 << inner) - 1)).cast("int").alias("at")).distinct()
+    found = placed.groupBy("block").applyInPandas(_bits(inner), "block int, bits binary").collect()
+    out = np.zeros(1 << level - 3, np.uint8)
+    for r in found:
+        out[r["block"] << inner - 3 : r["block"] + 1 << inner - 3] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+_RUN = pa.struct([("at", pa.int32()), ("words", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("probes", pa.list_(pa.int64()))])
+_RUN_SQL = "struct<at:int,words:binary,starts:binary,ends:binary,probes:array<bigint>>"
+
+
+def _candidates(bits, least: int):
+    """(doc_id, text_hash, n_words, runs) of each document: the runs of `least` words and more whose pairs all pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bits.value
+        level, pairs = U(64 - (8 * len(own)).bit_length() + 1), least > 1
+        for b in batches:
+            n, runs = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
+            for row0, buf, offsets in blocks(b.column(2)):
+                s, e, row, h = words(buf, offsets, _TABLE)
+                n[row0 : row0 + len(offsets) - 1] = np.bincount(row, minlength=len(offsets) - 1)
+                key = grams(h, 2) if pairs else h
+                bit = (key >> level).astype(np.int64)
+                ok = (own[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if pairs:
+                    ok &= row[:-1] == row[1:]
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], ok.astype(np.int8), [0]))))
+                raw = None
+                for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    i, j = (i, j + pairs) if pairs else (i, j)
+                    cuts = [i] if pairs else [i, *(np.flatnonzero(np.diff(row[i:j])) + i + 1).tolist()]
+                    for a, z in zip(cuts, [*cuts[1:], j]):
+                        if z - a < least:
+                            continue
+                        raw = buf.tobytes().lower() if raw is None else raw
+                        r = int(row[a])
+                        parts = [raw[x:y] for x, y in zip(s[a:z].tolist(), e[a:z].tolist())]
+                        starts, ends = (x[a:z] - offsets[r] for x in (s, e))
+                        first = int(np.searchsorted(row, r))
+                        probes = key[a : z - pairs : max(1, least - 1)]
+                        runs[row0 + r].append((a - first, b" ".join(parts), starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes(), probes.view(np.int64).tolist()))
+            lists = pa.array([[dict(zip(("at", "words", "starts", "ends", "probes"), x)) for x in own_runs] for own_runs in runs], pa.list_(_RUN))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), lists], names=["doc_id", "text_hash", "n_words", "runs"])
+
+    return run
+
+
+def _met(window: int):
+    """(run, spans, items) for a partition's rows (chunk, share, run, name, words): of each chunk its items come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items, automaton = None, [], None
+        for b in batches:
+            out = []
+            for chunk, share, number, name, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (chunk, share) != key:
+                    key, items, automaton = (chunk, share), [], None
+                own = raw.split(b" ")
+                if number is None:
+                    items.append((name, own))
+                    continue
+                if automaton is None and items:
+                    automaton = SuffixAutomaton(items, window)
+                hits, names = automaton.scan(own) if automaton else ((), ())
+                if hits:
+                    out.append((number, [{"start": x, "end": y} for x, y in merge(hits)], sorted(x for x in names if x is not None)))
+            kinds = (pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["run", "spans", "items"])
+
+    return run
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans within runs as spans of their documents, in words and in bytes."""
+    for b in batches:
+        spans = []
+        for at, starts, ends, own in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+            s, e = np.frombuffer(starts, "<i4"), np.frombuffer(ends, "<i4")
+            spans.append([(at + x["start"], at + x["end"], int(s[x["start"]]), int(e[x["end"] - 1])) for x in own])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _spans(spans), b.column(6)], names=["doc_id", "text_hash", "spans", "items"])
+
+
+def _in_chunks(own: DataFrame, dealt: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, n_words) of all documents, (doc_id, text_hash, spans, items) of those that are hit); dealt:
+    (item, words, n, chunk)."""
+    kind, spark = own.schema["doc_id"].dataType.simpleString(), own.sparkSession
+    least = min(window, dealt.agg(F.min("n")).first()[0])
+    pairs = written(dealt.select("chunk", "words").mapInArrow(_pairs_of(least > 1), "pair long, chunk long").distinct(), "pairs")
+    bits = spark.sparkContext.broadcast(pair_bits(pairs.select("pair").distinct()))
+    scanned = written(own.mapInArrow(_candidates(bits, least), f"doc_id {kind}, text_hash long, n_words long, runs array<{_RUN_SQL}>"), "candidates")
+    runs = scanned.select("doc_id", "text_hash", F.explode("runs").alias("r")).select("doc_id", "text_hash", "r.*")
+    # equal runs are scanned once
+    named = runs.withColumn("run", F.sha2("words", 256))
+    texts = named.groupBy("run").agg(F.first("words").alias("words"), F.first("probes").alias("probes"))
+    sent = texts.select("run", "words", F.explode("probes").alias("probe")).join(pairs, F.col("probe") == F.col("pair")).select("chunk", "run", "words").distinct()
+    sent = written(sent, "sent")
+    shares = sent.groupBy(F.col("chunk").alias("of")).agg(F.ceil(F.count("*") / TASK_RUNS).cast("int").alias("shares"))
+    shares = written(shares, "shares")
+    rows = sent.join(shares, F.col("chunk") == F.col("of")).select("chunk", F.pmod(F.xxhash64("run"), "shares").cast("int").alias("share"), "run", F.lit(None).cast("string").alias("item"), "words")
+    items = dealt.join(shares, F.col("chunk") == F.col("of")).select("chunk", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("string").alias("run"), "item", "words")
+    streamed = items.unionByName(rows).repartition("chunk", "share").sortWithinPartitions("chunk", "share", F.col("run").asc_nulls_first())
+    met = streamed.mapInArrow(_met(window), "run string, spans array<struct<start:int,end:int>>, items array<string>")
+    met = written(met, "met").select(F.col("run").alias("of"), "spans", "items")
+    hits = named.join(met, F.col("run") == F.col("of")).select("doc_id", "text_hash", "at", "starts", "ends", "spans", "items")
+    hits = hits.mapInArrow(_placed, f"doc_id {kind}, text_hash long, spans {_SPANS}, items array<string>")
+    hits = written(hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")), "hits")
+    return scanned.select("doc_id", "text_hash", "n_words"), hits.mapInArrow(_together, f"doc_id {kind}, text_hash long, spans {_SPANS}, items array<string>")
+
+
 _SPANS = "array<struct<start:int,end:int,from:int,to:int>>"
 _SPAN = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "from", "to")]))
 
@@ -200,8 +353,8 @@ def _spans(rows: list) -> pa.Array:
     return pa.array([None if own is None else [dict(zip(("start", "end", "from", "to"), x)) for x in own] for own in rows], _SPAN)
 
 
-def _scanned(name: str, items, window: int, every: bool):
-    """One automaton's pass over (doc_id, text_hash, text); `every`: rows without a hit come as well."""
+def _scanned(name: str, items, window: int):
+    """One automaton's pass over (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _SCANNERS:
@@ -215,8 +368,7 @@ def _scanned(name: str, items, window: int, every: bool):
                 n[row : row + len(count)] = count
                 for r, (own, items_of) in found.items():
                     spans[row + r], names[row + r] = own, sorted(x for x in items_of if x is not None)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), _spans(spans), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
-            yield out if every else out.filter(out.column(3).is_valid())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), _spans(spans), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
 
     return run
 
@@ -230,7 +382,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def item_parts(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words) of the benchmark: normalised words joined by spaces, in parts of bounded length that hold all windows;
+    """(item, words, n) of the benchmark: normalised words joined by spaces, in parts of bounded length that hold all windows;
     items without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +391,11 @@ def item_parts(benchmark: DataFrame, window: int, id_col: str = "item_id", text_
             for name, text in zip(b.column(0).to_pylist(), b.column(1)):
                 item = WORD.findall(text.as_buffer().to_pybytes().lower()) if text.is_valid else []
                 if item:
-                    out += [(name, b" ".join(item[at : at + PART_WORDS + window - 1])) for at in range(0, max(1, len(item) - window + 1), PART_WORDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([w for _, w in out], pa.binary())], names=["item", "words"])
+                    parts = [item[at : at + PART_WORDS + window - 1] for at in range(0, max(1, len(item) - window + 1), PART_WORDS)]
+                    out += [(name, b" ".join(own), len(own)) for own in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int32()))], names=["item", "words", "n"])
 
-    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "item string, words binary")
+    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "item string, words binary, n int")
 
 
 def row_hash(text_col: str = "text"):
@@ -266,25 +419,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     kind = own.schema["doc_id"].dataType.simpleString()
     parts = written(item_parts(benchmark, window, item_col, item_text_col), "benchmark")
     chunks = max(1, -(-(parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // CHUNK_BYTES))
-    dealt = parts.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(chunks)).alias("chunk"))
-    out, hits = None, []
-    for k in range(chunks):
+    if chunks == 1:
         # the rows of one chunk, of bounded size; with none, words are still counted: an item that no text can hold
-        chunk = [(r["item"], bytes(r["words"]).split(b" ")) for r in dealt.where(F.col("chunk") == k).collect()] or [(None, [b"\x00"] * window)]
+        chunk = [(r["item"], bytes(r["words"]).split(b" ")) for r in parts.collect()] or [(None, [b"\x00"] * window)]
         sent = spark.sparkContext.broadcast(chunk)
-        found = own.mapInArrow(_scanned(uuid.uuid4().hex, sent, window, k == 0), f"doc_id {kind}, text_hash long, n_words long, spans {_SPANS}, items array<string>")
-        if chunks > 1:
-            found = written(found, "hits")
-            sent.unpersist()
-            hits.append(found.where("spans is not null").select("doc_id", "text_hash", "spans", "items"))
-        out = found if out is None else out
-    if chunks > 1:
-        every = hits[0]
-        for h in hits[1:]:
-            every = every.unionByName(h)
-        met = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        met = met.mapInArrow(_together, f"doc_id {kind}, text_hash long, spans {_SPANS}, items array<string>").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-        out = out.select("doc_id", "text_hash", "n_words").join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+        out = own.mapInArrow(_scanned(uuid.uuid4().hex, sent, window), f"doc_id {kind}, text_hash long, n_words long, spans {_SPANS}, items array<string>")
+    else:
+        every, hits = _in_chunks(own, parts.withColumn("chunk", F.pmod(F.xxhash64("item", "words"), F.lit(chunks))), window)
+        met = hits.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+        out = every.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]), F.lit(0).cast("long"))
     out = out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage[1] >= F.col("n_words") * coverage[0]))
@@ -292,7 +435,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
 def remove_spans(docs: DataFrame, found: DataFrame, longest: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, without benchmark passages: contaminated texts lose all spans that
-    `found` (the result of decontaminate over the same rows) has of them, others the spans of `longest` words or more."""
+    `found` (the result of decontaminate over the same rows) has of them, others the spans of `longest` words or more.
+
+    Null texts stay null, texts without spans as they are; repeated rows fare alike; an empty table, or an empty `found`,
+    is fine.  Columns may have any names but __id, __hash and __gone."""
     gone = F.when(F.col("contaminated"), F.col("spans")).otherwise(F.filter("spans", lambda x: x["end"] - x["start"] >= longest))
     marks = found.where("spans is not null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), gone.alias("__gone")).where("size(__gone) > 0")
     marks = written(marks.dropDuplicates(["__id", "__hash"]), "removed")

@@ -128,8 +128,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of `docs`, extra columns are ignored.
 
     Texts are equal if their bytes are, after lower-casing A-Z; null counts as empty.  Of a group the row with the
-    largest id stays.  Rows that repeat an id count each, and are kept or dropped together.  Null ids order lowest and
-    count as the smallest long.
+    largest id stays.  Rows that repeat an id count each, and are kept or dropped together (a table in which they
+    must not be is told apart by ids of its own).  Ids are whole numbers or text of such; anything else is an error.  Null
+    ids order lowest and count as the smallest long.  An empty table gives no rows; a text of any length is one value.
 
     A text that a third of all documents share is one fingerprint of each chunk and one row of each task's partial
     grouping."""

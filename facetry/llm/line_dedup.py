@@ -28,7 +28,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id
     words is an array of (word, bits): bit b of word w is set where line 64 * w + b is dropped; words without a set bit
     are left out, which is the compression.  Null texts are one empty line.  Rows with the same id count as one document.
     Rows with a null id hold lines like one document that comes before all others."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
     # folding keeps the length, so lines that are too short once stripped are never folded
     long = lines.where((F.length("line") >= least_chars) & (F.length(F.btrim("line", F.lit(SPACES))) >= least_chars))
     keys = long.select("doc_id", "of", "pos", line_key(F.col("line")).alias("key"))
@@ -59,9 +59,11 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_
 
     Keys of at least least_chars code points in at least least_docs documents lose all lines but those in the document
     with the largest id.  n_lines counts the lines before; a null text counts as empty.  Documents keep their row even
-    when all lines go.  Columns named in `carry` come along; other columns are ignored."""
+    when all lines go.  Columns named in `carry` come along; other columns are ignored.  Ids keep their type.  Rows that
+    repeat an id lose and keep their lines as one document does.  An empty table gives no rows; a text of any length is one
+    value, as is the array of its lines."""
     maps = written(keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), "bitmaps")
-    base = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("of")).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
+    base = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
     marked = by_id(base, small(maps, 64, "24 * size(words)")).withColumn("dense", F.expr(_DENSE))
     kept = F.expr(_KEPT)
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U, blocks, byte_table, grams, mix, words
+from .common import NOT_SPACE, U, blocks, byte_table, grams, mix, small, words
 
 FEATURES_LOG2 = 18
 FEATURES = 1 << FEATURES_LOG2
@@ -105,17 +105,17 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     return Model(float(weights[-1]), weights[:-1].astype(np.float32))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = MOST_ROWS, size: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(documents: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = MOST_ROWS, size: int = MOST_BYTES, longest: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, text, label) of at most `rows` labelled documents with about `size` bytes of text: a bounded set of ids, so
     the texts are not shuffled to find them.  Documents without a label, and labels without a document, are left out; a
-    text of more than LONGEST_BYTES as well; an id that is repeated in either table is a row for each match."""
+    text of more than `longest` bytes (LONGEST_BYTES) as well; an id that is repeated in either table is a row for each match."""
     own = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__of"), F.col(label_col).alias("label"))
     n = own.count()
     if n > rows:  # by hash, a little less than the bound, which the limit then never has to enforce but for repeated ids
         own = own.where(F.pmod(F.xxhash64("__of"), F.lit(1 << 40)) < int(0.95 * rows / n * (1 << 40)))
     ids = own.limit(rows)
-    met = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("__id") == F.col("__of"))
-    met = met.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_BYTES)
+    met = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(small(ids, 40), F.col("__id") == F.col("__of"))
+    met = met.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= (LONGEST_BYTES if longest is None else longest))
     total = met.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > size:
         met = met.where(F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1 << 40)) < int(size / total * (1 << 40)))

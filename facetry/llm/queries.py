@@ -55,6 +55,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents without their benchmark passages, others as they are."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = decontaminate.remove_spans(docs, decontaminate.decontaminate(docs, documents(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.train(docs.where(~held_out()))
@@ -97,7 +104,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
-_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup, op11_jaccard_join, op12_fill_in_middle, op13_spelling_variants)
+_ALL = (op1_quality_classifier, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_exact_dedup, op7_token_counts, op8_bpe, op9_substring_dedup, op10_line_dedup, op11_jaccard_join, op12_fill_in_middle, op13_spelling_variants, passages_removed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -148,6 +155,21 @@ _SQL = {
         SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
             coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= coalesce(len(w), 0) AS contaminated
         FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items x USING (doc_id)""".replace("FOLD_TEXT", _FOLD.format("coalesce(text, '')")),
+    "passages_removed": r"""
+        WITH d AS (
+            SELECT doc_id, text, regexp_extract_all(FOLD_TEXT, 'W+') AS w, regexp_extract_all(coalesce(text, ''), 'S*W+') AS pieces, regexp_extract(coalesce(text, ''), 'S*$') AS rest FROM documents),
+        sized AS (SELECT w, least(13, len(w)) AS k FROM (SELECT regexp_extract_all(FOLD_TEXT, 'W+') AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT k, array_to_string(w[a : a + k - 1], ' ') AS s FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS a FROM sized)),
+        starts AS (
+            SELECT doc_id, k, a, array_to_string(w[a : a + k - 1], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS a FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+        hit AS (SELECT DISTINCT doc_id, unnest(generate_series(a, a + k - 1)) AS p FROM starts SEMI JOIN windows USING (k, s)),
+        gone AS (SELECT doc_id FROM hit JOIN d USING (doc_id) GROUP BY doc_id, len(w) HAVING 20 * count(*) >= len(w)),
+        every AS (SELECT doc_id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS p FROM d SEMI JOIN gone USING (doc_id)),
+        marked AS (SELECT e.*, h.p IS NOT NULL AS hit, lag(h.p IS NOT NULL, 1, false) OVER (PARTITION BY e.doc_id ORDER BY e.p) AS before FROM every e LEFT JOIN hit h ON h.doc_id = e.doc_id AND h.p = e.p),
+        kept AS (SELECT doc_id, string_agg(CASE WHEN hit AND before THEN '' WHEN hit THEN regexp_extract(piece, '^S*') ELSE piece END, '' ORDER BY p) AS t FROM marked GROUP BY doc_id)
+        SELECT doc_id, CAST(length(CASE WHEN kept.t IS NULL THEN text ELSE kept.t || rest END) AS BIGINT) AS n_chars, sha256(CASE WHEN kept.t IS NULL THEN text ELSE kept.t || rest END) AS text_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""".replace("FOLD_TEXT", _FOLD.format("coalesce(text, '')")).replace("W+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").replace("S*", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"),
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLD.format("coalesce(text, '')")} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -256,14 +256,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z; words are runs of anything but ASCII white space; a text of fewer than three words is
     one shingle, one without words (empty, null) has fingerprint 0 and links like any other.  component_id is the
     smallest id that a chain of links reaches, whatever the ids on the way; component, the smallest fingerprint (as a
-    signed number), tells groups apart.  Rows with a null id link like others, and component_id is null only if no row
-    of the group has an id.  Repeated rows are equal fingerprints.  An empty table gives no rows.
+    signed number), tells groups apart; ids keep their type.  Rows with a null id link like others, and component_id is null only if no row
+    of the group has an id.  Repeated rows are equal fingerprints.  Texts of any length
+    are read whole, of which long ones a piece at a time.  An empty table gives no rows.
 
     Copies meet in one group by fingerprint before the index, so a hot text is one entry; each list holds distinct
     fingerprints only and gives at most a spanning forest."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry))
     kinds = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
-    prints = written(base.mapInArrow(_fingerprints, f"doc_id long, fp long{kinds}"), "fingerprints")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    prints = written(base.mapInArrow(_fingerprints, f"doc_id {kind}, fp long{kinds}"), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     links = postings(classes).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_links, "a long, b long")
     met = written(components(links).join(classes, F.col("node") == F.col("fp")).select("node", "root", "rep"), "members")
