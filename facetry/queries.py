@@ -11,6 +11,7 @@ from .engine import detect, lookup_many, members, select, virtual
 from .shapes import Linked, Reference, Shape, multiple
 from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
 from .store import Store
+from .streaming.events import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -467,6 +468,19 @@ def _(spark, d):
     return _people(store)
 
 
+@_query("write_feed", f"""
+    WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey = 4), new AS (SELECT id FROM {_NEW})
+    SELECT 'Land' AS class, '4' AS key, false AS held, 1 AS commits UNION ALL SELECT 'Person', CAST(c_custkey AS VARCHAR), c_custkey IN (SELECT id FROM new), 1 FROM gone
+    UNION ALL SELECT 'Bill', CAST(o_orderkey AS VARCHAR), false, 1 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone)
+    UNION ALL SELECT 'Person', CAST(id AS VARCHAR), true, 1 FROM new WHERE id NOT IN (SELECT c_custkey FROM gone)""")
+def _(spark, d):
+    """What two commits have changed: a land with all it holds goes, people come; of each key the last change."""
+    store = Store(ledger(spark, d), feed=True)
+    store.remove_all(Land, spark.createDataFrame([(4,)], "id int"))
+    store.insert_all(Person, _new_people(store))
+    return latest(store.feed.read()).select("class", "key", F.col("exists").alias("held"), F.lit(1).alias("commits"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["facet"](spark, sf_dir)
 
