@@ -46,7 +46,7 @@ def members(catalog: Catalog, shape: Shape, name: str, model: Mapping[str, Any],
     query = parse(dict(model))
     own = plan(root.range, query, plain, depth, limit)
     if flat:
-        rows, item, by = items_of(catalog, base, root, dict(model), scope)
+        rows, item, by = items_of(catalog, base, root, dict(model), scope, flat=True)
         return rows.select(F.col(OWNER).alias("owner"), (F.col(RANK) if by == [RANK] else F.lit(None)).cast("int").alias("rank"), item.alias("item"))
     found = gather(catalog, base, root, dict(model), scope)
     if own.grouped and not own.grouping and not own.query.criteria:

@@ -162,12 +162,12 @@ def _items(catalog: Catalog, df: DataFrame, r: Range) -> tuple[DataFrame, Node]:
     return df, Node(r, Value(tuple(parts)), access)
 
 
-def items_of(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope) -> tuple[DataFrame, Column, list[str]]:
+def items_of(catalog: Catalog, base: DataFrame, root: Node, model: dict[str, Any], scope: Scope, flat: bool = False) -> tuple[DataFrame, Column, list[str]]:
     """The members of all owners' collections under a model, a row each: the frame with OWNER, the item, and the names of the
     columns whose values order the members of an owner."""
     s = Select(catalog, base, root, model, scope, owned=True, nested=True)
     result = s.compile()
-    df = window(result, s.plan, True)
+    df = window(result, s.plan, True, flat)
     by = [RANK]
     if RANK not in df.columns:
         by = [f"__tie{k}" for k in range(len(result.tie))]

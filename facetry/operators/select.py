@@ -16,6 +16,7 @@ from ..plans.analyze import Plan, aggregates, options, plan
 from ..plans.grammar import Binding, Criterion, Expression, parse, tag_ranges
 from ..shapes import TEMPORAL, TEXT, Dictionary, Range, Reference, Shape, ShapeError, Union
 from ..sources.catalog import Catalog
+from ..sources.folders import kept
 from .optionsets import INLINE, LISTED, OptionSet
 from .rows import Node, Rows
 
@@ -499,17 +500,71 @@ class Select:
         return Result(df, order, rows, [F.col(n) for n in names], out)
 
 
-def window(result: Result, p: Plan, owned: bool) -> DataFrame:
+#: Rows that a page may reach to before ranks are found range by range; it is cut from the top by each task till then.
+DEEP = 100_000
+
+
+def ranked(df: DataFrame, order: list[Column], columns: list[Column], owned: bool) -> DataFrame:
+    """`columns` of a frame's rows and their RANK in order, of the whole or of their owner's part, without one task for all.
+
+    Rows are partitioned by ranges of (owner and) order and sorted there, which numbers them within their range; the ranges'
+    counts, one row for each range and owner, add up to where each begins.  The numbered rows are written, as ranges are
+    drawn anew by every job."""
+    by = [F.col(OWNER)] if owned else []
+    keys = [*([F.col(OWNER).asc()] if owned else []), *order]
+    at = F.monotonically_increasing_id().alias("__at")  # the partition in the upper bits, the place in it in the lower 33
+    rows = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns, *by, at), "ranks")
+    rows = rows.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+    parts = rows.groupBy(*([OWNER] if owned else []), "__part").agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+    if owned:
+        before = Window.partitionBy(OWNER).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(F.col(OWNER).alias("__of"), F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        on = (F.col("__part") == F.col("__p")) & F.col(OWNER).eqNullSafe(F.col("__of"))
+    else:  # as many rows as there are partitions
+        total, starts = 0, []
+        for r in sorted(parts.collect(), key=lambda r: r["__part"]):
+            starts.append((r["__part"], 0, total))
+            total += r["__n"]
+        parts = F.broadcast(df.sparkSession.createDataFrame(starts, "__p long, __first long, __before long"))
+        on = F.col("__part") == F.col("__p")
+    met = rows.join(parts, on)
+    return met.withColumn(RANK, F.col("__place") - F.col("__first") + F.col("__before") + 1).drop("__part", "__place", "__p", "__of", "__first", "__before")
+
+
+def _paged(result: Result, p: Plan, owned: bool) -> DataFrame:
+    """A slice by distributed ranks.  Of members with keys only keys are sorted and written, and meet their columns after
+    the slice; other rows, which are narrow as a rule, are written whole."""
+    df, root = result.df, result.rows.nodes[()]
+    late = not result.cells and root.access and root.access[0][0].key and len(result.tie) == 1
+    rows = ranked(df, result.order, [result.tie[0].alias("__id")] if late else [F.col(c) for c in df.columns if c != OWNER], owned)
+    rows = rows.where(F.col(RANK) > p.offset)
+    rows = rows.where(F.col(RANK) <= p.offset + p.limit) if p.limit else rows
+    if late:
+        on = result.tie[0] == F.col("__id")
+        if owned:
+            rows = rows.withColumnRenamed(OWNER, "__o")
+            on = on & F.col(OWNER).eqNullSafe(F.col("__o"))
+        rows = df.join(rows, on).drop("__id", "__o")
+    return rows if owned else rows.orderBy(RANK)
+
+
+def window(result: Result, p: Plan, owned: bool, flat: bool = False) -> DataFrame:
     """Order and slice: of the whole frame, or of each owner's part, whose rows get their RANK.  Where a model asks for
-    neither, rows of an owner are not numbered."""
+    neither, rows of an owner are not numbered.  Slices that reach deep, or have no end, are found by distributed ranks; of
+    owners only if their members are rows (`flat`), as an array is one value anyway."""
     df, order = result.df, result.order
+    deep = bool(order) and (flat if owned else p.offset) and not (p.limit and p.offset + p.limit <= DEEP)
     if owned:
         if not order or not (p.sorted or p.sliced):
             return df
+        if deep:
+            return _paged(result, p, True)
         df = df.withColumn(RANK, F.row_number().over(Window.partitionBy(OWNER).orderBy(*order)))
         if p.offset:
             df = df.where(F.col(RANK) > p.offset)
         return df.where(F.col(RANK) <= p.offset + p.limit) if p.limit else df
+    if deep:
+        return _paged(result, p, False)
     if order and (any(c.op in "^+" for c in p.query.criteria) or p.sliced):  # a whole aggregate is one row
         df = df.orderBy(*order)
     if p.offset:

@@ -110,6 +110,18 @@ _model("join_reverse", Nation, {"nation=name": {}, "customer=customers": {}}, "S
 _model("fanout_one", Customer, {"customer=": {}, "priority=orders.priority": {}}, "SELECT DISTINCT c_custkey AS customer, o_orderpriority AS priority FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 _model("fanout_cross", Nation, {"nation=": {}, "segment=customers.segment": {}, "supplier=suppliers": {}}, "SELECT DISTINCT n_nationkey AS nation, c_mktsegment AS segment, s_suppkey AS supplier FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 
+# --- pages without an end or far down: ranks found range by range
+_model("page_rest", Order, {"id": {}, "total": {}, "^total": -1, "@": 900}, "SELECT o_orderkey AS id, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 900")
+_model("page_rest_groups", Order, {"customer=customer": {}, "n=count:id": {}, "^count:id": -1, "@": 30}, "SELECT o_custkey AS customer, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, customer OFFSET 30")
+_model("page_deep", LineItem, {"part=part": {}, "quantity=quantity": {}, "^quantity": 1, "^part": 2, "@": 90, "#": 200_000}, "SELECT DISTINCT l_partkey AS part, l_quantity AS quantity FROM lineitem ORDER BY quantity, part OFFSET 90 LIMIT 200000")
+
+
+@_query("owner_rest", "SELECT o_custkey AS owner, CAST(k AS INTEGER) AS rank, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k > 2")
+def _(spark, d):
+    """All but the two largest orders of each customer, with their ranks; a customer may have any share of all orders."""
+    return members(catalog(spark, d), Customer, "orders", {"^total": -1, "@": 2}, flat=True).withColumnRenamed("item", "id")
+
+
 # --- long option sets, which are relations
 _KEYS = [*range(0, 700_000, 7), "none", 0.5, True]
 _model("any_of_many", Order, {"id": {}, "total": {}, "?id": _KEYS}, "SELECT o_orderkey AS id, o_totalprice AS total FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 700000")

@@ -171,6 +171,62 @@ def test_reduced_paths_equal_the_product(c, model, monkeypatch):
     assert found == norm(select(c, Nation, model)) and found
 
 
+# --- ranks
+
+
+def single(df):
+    """Whether some exchange of the plan that ran brings all rows to one task."""
+    df.collect()
+    return "SinglePartition" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_deep_page_is_no_single_task(c, monkeypatch):
+    total = lambda **m: [(r["id"], r["total"]) for r in select(c, Order, {"id": {}, "total": {}, "^total": -1, **m}).collect()]
+    near = total(**{"@": 37, "#": 300})
+    deep = select(c, Order, {"id": {}, "total": {}, "^total": -1, "@": 10**7, "#": 100})
+    assert not single(deep) and deep.count() == 0
+    monkeypatch.setattr("facetry.operators.select.DEEP", 10)
+    df = select(c, Order, {"id": {}, "total": {}, "^total": -1, "@": 37, "#": 300})
+    assert not single(df) and [tuple(r) for r in df.collect()] == near
+    assert total(**{"@": 37})[:300] == near and len(total(**{"@": 37})) == c.frame(Order).count() - 37
+    # keys alone are sorted: the columns come after the slice
+    assert "o_totalprice" not in str(c.spark.read.parquet(next(f for f in df.inputFiles() if "ranks" in f)).columns)
+
+
+def test_an_owner_of_many_members_is_no_single_task(spark, monkeypatch):
+    """One owner holds most of all rows; its members are ranked in as many tasks as there are ranges."""
+    from pyspark.sql import types as T
+
+    from facetry.engine import members
+    from facetry.shapes import Reference, Reversed, Shape, integer, multiple, required
+    from facetry.sources.catalog import Catalog
+
+    item = Shape("Item", {"size": required(integer, "size")}, "id", T.LongType())
+    owner = Shape("Owner", {"items": multiple(Reference(lambda: item), Reversed("of"), foreign=True)}, "key", T.LongType())
+    rows = spark.range(40_000).selectExpr("id", "if(id % 10 < 7, 1, id % 10) as of", "(id * 7919) % 5000 as size")
+    c = Catalog(spark).bind(item, rows).bind(owner, spark.range(12).selectExpr("id as key"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        df = members(c, owner, "items", {"^size": -1, "@": 5}, flat=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r["owner"], r["rank"], r["item"]) for r in df.collect()}
+    own = rows.selectExpr("of", "id", "row_number() over (partition by of order by size desc, id) as k").where("k > 5")
+    assert got == {(r["of"], r["k"], r["id"]) for r in own.collect()}
+    parts = spark.read.parquet(next(f for f in df.inputFiles() if "ranks" in f).rsplit("/", 1)[0]).where("__owner = 1").selectExpr("shiftright(__at, 33) as p").groupBy("p").count().collect()
+    assert len(parts) >= 2 and max(r["count"] for r in parts) < 28_000
+    monkeypatch.setattr("facetry.operators.select.DEEP", 2)
+    cut = {(r["owner"], r["rank"], r["item"]) for r in members(c, owner, "items", {"^size": -1, "@": 5, "#": 3}, flat=True).collect()}
+    assert cut == {x for x in got if x[1] <= 8}
+
+
+@pytest.mark.parametrize(("shape", "model"), [(Order, {"customer=customer": {}, "n=count:id": {}, "^count:id": -1, "@": 3}), (Order, {"p=priority": {}, "d=year:date": {}, "@": 4, "#": 9}), (Document, {"t=titles": {"en": {}}, "l=lang": {}, "^lang": 1, "@": 2}), (Customer, {"id": {}, "nation": {"name": {}}, "orders": {"id": {}, "#": 2}, "+nation.name": ["CHINA"], "^acctbal": 1, "@": 20, "#": 30})])
+def test_pages_of_any_kind(c, shape, model, monkeypatch):
+    near = select(c, shape, {**model, "#": model.get("#", 90_000)}).collect()
+    monkeypatch.setattr("facetry.operators.select.DEEP", 1)
+    assert select(c, shape, model).collect() == near and near
+
+
 # --- requests that are turned down
 
 REJECTED = {
