@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_tokens, in_ranges
 from ..functions.transforms import domain, partial, reduced, scalar, split_pipe
 from ..functions.values import Value, literal, matches, tier
-from ..plans.analyze import Plan, aggregates, options, plan
+from ..plans.analyze import Plan, admits_absent, aggregates, options, plan
 from ..plans.grammar import Binding, Criterion, Expression, parse, tag_ranges
 from ..shapes import TEMPORAL, TEXT, Dictionary, Range, Reference, Shape, ShapeError, Union
 from ..sources.catalog import Catalog
@@ -163,9 +163,7 @@ class Select:
     def _filtered(self, rows: Rows, under: tuple[str, ...] | None = None) -> Rows:
         """Applies the criteria on rows; `under`: only those that share a multi-valued step with that path."""
         values = []
-        for c in self.plan.of("<", ">", "<=", ">=", "~", "?", aggregate=False):
-            if c.op == "?" and not options(c.value):
-                continue
+        for c in self.plan.filters:
             path = c.expression.path
             if under is not None and self._fan(path) and not self._shares(path, under):
                 continue
@@ -207,7 +205,7 @@ class Select:
             v = self.value(walk, c.expression)
             given = [o for o in own if o is not None]
             on = lambda right: self.same(self.item, right["__k"]) & (F.col(OWNER) == right["__o"] if self.owned else F.lit(True))
-            if len(given) < len(own):
+            if admits_absent(c):
                 some = held(walk, v.present).distinct()
                 some = some.withColumnRenamed(OWNER, "__o") if self.owned else some
                 rows.df = rows.df.join(some, on(some), "left_anti")
@@ -386,8 +384,8 @@ class Select:
             if self._branch(e.path) == branch:
                 rows.node(e.path)
         values = []
-        for c in self.plan.of("<", ">", "<=", ">=", "~", "?", aggregate=False):
-            if self._branch(c.expression.path) in (None, branch) and not (c.op == "?" and not options(c.value)):
+        for c in self.plan.filters:
+            if self._branch(c.expression.path) in (None, branch):
                 values.append((self.value(rows, c.expression), c))
         for v, c in sorted(values, key=lambda x: long(x[1])):
             rows.df = self._where(rows.df, v, c, self._lineage(c.expression))

@@ -3,7 +3,7 @@
 import pytest
 from voyages import Port, Ship, Voyage
 
-from facetry.plans.analyze import plan
+from facetry.plans.analyze import admits_absent, plan
 from facetry.plans.grammar import Expression, expression, parse, tag_ranges
 from facetry.shapes import IRI, Dictionary, Reference, ShapeError, Union, date, integer, schema, time
 
@@ -44,17 +44,16 @@ def test_limits():
 def test_branches():
     own = typed({"c=calls": {}, "m=month:sails": {}, "t=max:tide": {}, "?ship.built": ["1990", None], "~remark": "x", "?notes": {"en": "a"}, "!papers": []})
     at = lambda *p: own.root.at(p)
-    assert at("calls").many and at("calls").grouping and at("sails").computed and at("tide").aggregate and not at("tide").grouping
-    assert at("ship").constrained and not at("ship").filtered and at("ship", "built").filtered and at("ship", "built").admits_absent
-    assert at("notes").tagged and isinstance(at("remark").range, Union) and isinstance(at("notes").range, Dictionary) and not at("papers").constrained
-    assert at("ship", "built").valued and not typed({"?tide": [None]}).root.at(("tide",)).valued and not at("papers").valued
-    assert typed({"ship": {"sign": {}}, "id": {}}).templates["ship"][1] == {"sign": {}} and typed({"0": {}, "1": {"tons": {}}}).variants == {0: {}, 1: {"tons": {}}}
-    assert own.required == {("remark",), ("notes",)} and own.transforms == {"month", "max"} and own.projections["c"] is at("calls")
+    assert at("calls").many and not at("sails").many and isinstance(at("remark").range, Union) and isinstance(at("notes").range, Dictionary)
+    assert [c.op for c in own.filters] == ["?", "~", "?"] and not any(c.op == "!" for c in own.filters)
+    assert [admits_absent(c) for c in own.query.criteria] == [True, False, False, False] and admits_absent(typed({"!tide": None}).query.criteria[0])
+    assert typed({"?papers": []}).filters == [] and typed({">=max:tide": 1}).filters == []
+    assert own.required == {("remark",), ("notes",)} and own.grouped and [b.alias for b in own.grouping] == ["c", "m"]
 
 
 def test_cardinality_composes():
     own = typed({"a=calls.code": {}, "b=ship.log.knots": {}, "c=ship.sign": {}, "d=ship.home.spokes": {}})
-    assert [own.projections[k].many for k in "abcd"] == [True, True, False, True]
+    assert [own.root.at(b.expression.path).many for b in own.query.bindings] == [True, True, False, True]
 
 
 def test_schema_carries_what_properties_are():

@@ -7,7 +7,7 @@ import pytest
 from voyages import Crate, Ship
 
 from facetry.shapes import ShapeError
-from facetry.sources.rest import Problem, Response, RestStore, accept_language
+from facetry.sources.rest import Problem, Response, RestStore, accept_language, extends
 from facetry.validate import EntryError, conforms
 
 STATE = {"tons": 4}
@@ -84,6 +84,14 @@ def test_writes():
     assert store.remove(one, Crate) == one and calls[-1][2]["Prefer"] == "handling=lenient"
 
 
+@pytest.mark.parametrize(("collection", "entry", "ok"), [
+    ("http://x/c/", "http://x/c/1", True), ("http://x/c", "http://x/c/1/2", True), ("http://x/c", "http://x/cc/1", False), ("http://x/c", "http://x/c", False), ("http://x/c", "http://x/c/", False),
+    ("http://x/c", "http://y/c/1", False), ("http://x/c", "https://x/c/1", False), ("http://x/c", "http://x/c/1?a", False), ("/c", "/c/1", True), ("/c", "/d/1", False), ("http://x/c/", "http://x/c/../d", False), ("http://x/", "http://x/1", True),
+])
+def test_new_resources_lie_in_their_collection(collection, entry, ok):
+    assert extends(collection, entry) is ok
+
+
 def test_weights_fall():
     own = accept_language([f"l{k}" for k in range(30)]).split(", ")
     weights = [float(x.split("q=")[1]) for x in own]
