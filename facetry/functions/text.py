@@ -34,8 +34,8 @@ def in_ranges(tags: Column, ranges: Sequence[str]) -> Column:
 
 
 def has_tokens(text: Column, search: str) -> Column:
-    """Whether a text holds each word of a search somewhere, whatever the case."""
-    found = F.lit(True)
+    """Whether a text holds each word of a search somewhere, whatever the case (null or false if not, as for a filter)."""
+    found = text.isNotNull()
     for token in search.split():
         found = found & F.contains(F.lower(text), F.lower(F.lit(token)))
-    return F.coalesce(found & text.isNotNull(), F.lit(False))
+    return found

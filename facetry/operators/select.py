@@ -169,9 +169,19 @@ class Select:
                 continue
             values.append((self.value(rows, c.expression), c))
         for v, c in sorted(values, key=lambda x: long(x[1])):  # conditions that scans take come first
-            rows.df = self._where(rows.df, v, c, self._lineage(c.expression))
+            rows.df = self._where(self._candidates(rows, c), v, c, self._lineage(c.expression))
         return rows
 
+    def _candidates(self, rows: Rows, c: Criterion) -> DataFrame:
+        """The rows that a search may find, by an index of the text if there is one."""
+        path = c.expression.path
+        if c.op != "~" or not path or c.expression.pipe:
+            return rows.df
+        holders = [(shape, key) for shape, _, key in rows.node(path[:-1]).access if path[-1] in shape.properties]
+        index = self.catalog.index(holders[0][0], path[-1]) if len(holders) == 1 and holders[0][0].key else None
+        found = index.candidates(c.value) if index else None
+        return rows.df if found is None else rows.df.join(found.withColumnRenamed("key", "__found"), holders[0][1] == F.col("__found"), "left_semi")
+
     def _lineage(self, e: Expression) -> bool:
         return bool(e.path) and e.path[-1] == "type" and self.plan.root.at(e.path).marker
 
@@ -388,7 +398,7 @@ class Select:
             if self._branch(c.expression.path) in (None, branch):
                 values.append((self.value(rows, c.expression), c))
         for v, c in sorted(values, key=lambda x: long(x[1])):
-            rows.df = self._where(rows.df, v, c, self._lineage(c.expression))
+            rows.df = self._where(self._candidates(rows, c), v, c, self._lineage(c.expression))
         return rows
 
     def _factorised(self, branches: list[tuple[str, ...]], cells: list, wanted: dict[tuple, tuple[Expression, list[str]]]) -> tuple[DataFrame, dict[tuple, Range]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .engine import detect, lookup_many, members, select, virtual
 from .shapes import Linked, Reference, Shape, multiple
 from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
+from .sources.textindex import TextIndex
 from .store import Store
 from .streaming.events import latest
 
@@ -110,6 +111,14 @@ _model("join_reverse", Nation, {"nation=name": {}, "customer=customers": {}}, "S
 _model("fanout_one", Customer, {"customer=": {}, "priority=orders.priority": {}}, "SELECT DISTINCT c_custkey AS customer, o_orderpriority AS priority FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 _model("fanout_cross", Nation, {"nation=": {}, "segment=customers.segment": {}, "supplier=suppliers": {}}, "SELECT DISTINCT n_nationkey AS nation, c_mktsegment AS segment, s_suppkey AS supplier FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 
+# --- text search through an index
+@_query("text_index", "SELECT doc_id AS id, lang FROM documents WHERE contains(lower(text), 'thtion') AND contains(lower(text), 'anea')")
+def _(spark, d):
+    c = catalog(spark, d)
+    c.indexed(Document, "text", TextIndex.build(c.frame(Document), "doc_id", "text", buckets=16))
+    return select(c, Document, {"id": {}, "lang": {}, "~text": "THTION anea"})
+
+
 # --- pages without an end or far down: ranks found range by range
 _model("page_rest", Order, {"id": {}, "total": {}, "^total": -1, "@": 900}, "SELECT o_orderkey AS id, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 900")
 _model("page_rest_groups", Order, {"customer=customer": {}, "n=count:id": {}, "^count:id": -1, "@": 30}, "SELECT o_custkey AS customer, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, customer OFFSET 30")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shapes import InColumn, InVariants, Property, Shape
+from .textindex import TextIndex
 
 #: The column of a frame that holds the classes of its rows, their own first.
 LINEAGE = "__lineage"
@@ -46,11 +47,23 @@ class Catalog:
         self.schemas = {} if schemas is None else schemas
         self._classes: dict[str, tuple[Shape, Callable[[], DataFrame]]] = {}
         self._links: dict[str, Callable[[], DataFrame]] = {}
+        self._indexes: dict[tuple[str, str], TextIndex] = {}
 
     def bind(self, shape: Shape, frame: DataFrame | Callable[[], DataFrame]) -> Catalog:
+        """Binds a class to its frame; indexes of what it was bound to before are dropped."""
         self._classes[shape.name] = (shape, frame if callable(frame) else lambda: frame)
+        self._indexes = {k: v for k, v in self._indexes.items() if k[0] != shape.name}
         return self
 
+    def indexed(self, shape: Shape, name: str, index: TextIndex) -> Catalog:
+        """Lets searches in a text property of a class go through an index of its column, made of the bound frame."""
+        self._indexes[shape.name, name] = index
+        return self
+
+    def index(self, shape: Shape, name: str) -> TextIndex | None:
+        """The index of a property, if it covers all rows of the class."""
+        return self._indexes.get((shape.name, name)) if self.concrete(shape) == [shape] else None
+
     def link(self, name: str, frame: DataFrame | Callable[[], DataFrame]) -> Catalog:
         self._links[name] = frame if callable(frame) else lambda: frame
         return self
@@ -79,7 +92,7 @@ class Catalog:
 
     def copy(self) -> Catalog:
         own = Catalog(self.spark, self.schemas)
-        own._classes, own._links = dict(self._classes), dict(self._links)
+        own._classes, own._links, own._indexes = dict(self._classes), dict(self._links), dict(self._indexes)
         return own
 
     def shapes(self) -> list[Shape]:
