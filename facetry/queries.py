@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batching import lookup_requests
 from .engine import detect, lookup_many, members, select, virtual
 from .shapes import Linked, Reference, Shape, multiple
 from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
@@ -111,6 +112,20 @@ _model("join_reverse", Nation, {"nation=name": {}, "customer=customers": {}}, "S
 _model("fanout_one", Customer, {"customer=": {}, "priority=orders.priority": {}}, "SELECT DISTINCT c_custkey AS customer, o_orderpriority AS priority FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 _model("fanout_cross", Nation, {"nation=": {}, "segment=customers.segment": {}, "supplier=suppliers": {}}, "SELECT DISTINCT n_nationkey AS nation, c_mktsegment AS segment, s_suppkey AS supplier FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 
+# --- many lookups as one plan
+_ASKED = ({"name": {}}, {"name": {}, "acctbal": {}}, {"segment": {}, "nation": {"name": {}}}, {"nation": {"region": {"name": {}}}, "acctbal": {}}, {"id": {}, "segment": {}})
+
+
+@_query("lookup_merged", """
+    SELECT r AS request, c_custkey AS id, CASE WHEN r % 5 IN (0, 1) THEN c_name END AS name, CASE WHEN r % 5 IN (1, 3) THEN c_acctbal END AS acctbal, CASE WHEN r % 5 IN (2, 4) THEN c_mktsegment END AS segment,
+        CASE WHEN r % 5 IN (2, 3) THEN n_name END AS nation, CASE WHEN r % 5 IN (2, 3) THEN r_name END AS region
+    FROM range(0, 200) t(r) JOIN customer ON c_custkey = r * 3 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def _(spark, d):
+    """Two hundred requests for customers under five templates, which merge into one; nation's record serves two of them."""
+    (df,) = lookup_requests(catalog(spark, d), Customer, [(3 * k, _ASKED[k % 5]) for k in range(200)])
+    return df.select("request", "id", "name", "acctbal", "segment", F.col("nation.name").alias("nation"), F.col("nation.region.name").alias("region"))
+
+
 # --- text search through an index
 @_query("text_index", "SELECT doc_id AS id, lang FROM documents WHERE contains(lower(text), 'thtion') AND contains(lower(text), 'anea')")
 def _(spark, d):
