@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .checks import guarded
 from .functions.values import variants
 from .operators.expand import Expander, contents, gather, items_of, members_of
 from .operators.rows import prefixed, root_node
@@ -19,16 +20,18 @@ from .shapes import Reference, Shape, ShapeError
 from .sources.catalog import Catalog
 
 
-def select(catalog: Catalog, shape: Shape, model: Mapping[str, Any], locale: Sequence[str] | None = None, plain: bool = False, depth: int | None = None, limit: int | None = None) -> DataFrame:
+def select(catalog: Catalog, shape: Shape, model: Mapping[str, Any], locale: Sequence[str] | None = None, plain: bool = False, depth: int | None = None, limit: int | None = None, checked: bool = False) -> DataFrame:
     """The extent of a class under a model: one row per member (template), or per combination of cells (projection).
 
-    A bare model gives the members' keys as `id`.  Rows are in order if the model asks for one or for a slice."""
+    A bare model gives the members' keys as `id`.  Rows are in order if the model asks for one or for a slice.
+    checked: reading a member that breaks its shape is an error."""
     scope = Scope(locale, plain, depth, limit)
     base, root = prefixed(catalog.extent(shape), "r_"), root_node(shape, lambda c: F.col(f"r_{c}"))
     s = Select(catalog, base, root, dict(model), scope)
     result = s.compile()
     df, cells = contents(catalog, window(result, s.plan, False), result, s, scope)
-    return df.select(*(c.alias(n or "id") for n, c in cells))
+    out = df.select(*(c.alias(n or "id") for n, c in cells))
+    return guarded(shape, model, out) if checked and not s.plan.projection else out
 
 
 def members(catalog: Catalog, shape: Shape, name: str, model: Mapping[str, Any], owners: DataFrame | None = None, locale: Sequence[str] | None = None, flat: bool = False, plain: bool = False, depth: int | None = None, limit: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batching import lookup_requests
+from .checks import breaches
 from .engine import detect, lookup_many, members, select, virtual
 from .shapes import Linked, Reference, Shape, multiple
 from .sources.tables import DEALINGS, Bill, Conversation, Customer, Dealer, Document, Event, Label, Land, LineItem, Nation, Order, Part, Party, Person, Region, Supplier, catalog, ledger
@@ -504,6 +505,23 @@ def _(spark, d):
     return _people(store)
 
 
+@_query("answers_checked", """
+    WITH o AS (SELECT *, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice END AS total, CASE WHEN o_orderkey % 101 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders),
+    p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE c_name END AS name FROM customer),
+    bad AS (
+        SELECT 'bills[].total' AS path, 'is missing' AS reason, o_custkey AS k FROM o JOIN p ON k = o_custkey WHERE total IS NULL
+        UNION ALL SELECT 'bills[].status', 'breaks {''one_of'': (''O'', ''F'', ''P'')}', o_custkey FROM o JOIN p ON k = o_custkey WHERE status = 'X'
+        UNION ALL SELECT 'name', 'breaks {''min_length'': 1}', k FROM p WHERE name = '')
+    SELECT path, reason, count(DISTINCT k) AS n_rows, min(CAST(k AS VARCHAR)) AS example FROM bad GROUP BY 1, 2""")
+def _(spark, d):
+    """Planted breaches, in people and in the bills nested in them, as a report of one pass over the answer."""
+    c = ledger(spark, d)
+    bills = c.frame(Bill).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_totalprice"))).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 101 == 0, "X").otherwise(F.col("o_orderstatus")))
+    c.bind(Bill, bills).bind(Person, c.frame(Person).withColumn("c_name", F.when(F.col("c_custkey") % 50 == 0, "").otherwise(F.col("c_name"))))
+    model = {"id": {}, "name": {}, "acctbal": {}, "bills": {"total": {}, "status": {}}}
+    return breaches(Person, model, select(c, Person, model))
+
+
 @_query("write_feed", f"""
     WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey = 4), new AS (SELECT id FROM {_NEW})
     SELECT 'Land' AS class, '4' AS key, false AS held, 1 AS commits UNION ALL SELECT 'Person', CAST(c_custkey AS VARCHAR), c_custkey IN (SELECT id FROM new), 1 FROM gone

@@ -177,7 +177,7 @@ def _many(p: Property, value: Any, at: str) -> list[Any]:
 # --- many states at once
 
 
-def _breaks(limits: tuple[tuple[str, Any], ...], value: Column) -> Column:
+def breaks(limits: tuple[tuple[str, Any], ...], value: Column) -> Column:
     out = F.lit(False)
     for name, bound in limits:
         out = out | {
@@ -205,7 +205,7 @@ def violation(shape: Shape, rows: DataFrame) -> str | None:
             checks[f"{name} takes at most {p.most}"] = F.bool_or(n > p.most)
         limits = p.range.limits if isinstance(p.range, Scalar) else ()
         if limits:
-            checks[f"{name} breaks {dict(limits)}"] = F.bool_or(F.coalesce(F.exists(value, lambda x, own=limits: _breaks(own, x)) if p.many else _breaks(limits, value), F.lit(False)))
+            checks[f"{name} breaks {dict(limits)}"] = F.bool_or(F.coalesce(F.exists(value, lambda x, own=limits: breaks(own, x)) if p.many else breaks(limits, value), F.lit(False)))
     found = rows.agg(*(c.alias(f"c{k}") for k, c in enumerate(checks.values()))).first()
     return next((f"{shape.name}: {text}" for text, bad in zip(checks, found) if bad), None)
 
