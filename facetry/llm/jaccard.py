@@ -404,7 +404,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     component_id is the smallest id that a chain of links reaches.  Texts without words, null ones included, have an empty
     set and are linked with nothing: component_id is their own id.  Rows with a null id link like others, and component_id
     is null only if no row of the group has an id.  Repeated rows are one set.  Texts of any length are read whole; a set
-    takes eight bytes a word.  An empty table gives no rows."""
+    takes eight bytes a word.  Ids are whole numbers, or text of such.  An empty table gives no rows."""
     spark: SparkSession = docs.sparkSession
     key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
     base = docs.select(key.alias("key"), F.col(text_col).alias("text"))

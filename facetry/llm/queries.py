@@ -194,6 +194,19 @@ _SQL = {
         marked AS (SELECT doc_id, line, p, common.k IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN common USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""".replace("FOLD_LINE", _FOLD.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")),
+    "op11_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(FOLD_TEXT, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[a : a + 4], ' ')) AS x
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS a FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+        sized AS (SELECT doc_id, x, n FROM sets JOIN sizes USING (doc_id)),
+        links AS (
+            SELECT a.doc_id AS i, b.doc_id AS j FROM sized a JOIN sized b ON a.x = b.x AND a.doc_id <> b.doc_id AND 5 * b.n >= 4 * a.n AND 5 * a.n >= 4 * b.n
+            GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach(node, low) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT j, low FROM reach JOIN links ON i = node)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+        FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT node, min(low) AS component FROM reach GROUP BY 1) ON node = d.doc_id""".replace("FOLD_TEXT", _FOLD.format("coalesce(text, '')")),
     "op12_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         seeded AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS p, CAST('0x' || h[25:32] AS BIGINT) % 100 AS q FROM d),
