@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from facetry.sources.tables import ledger
+from facetry.sources.tables import DEALINGS, Dealer, Person, ledger
+from facetry.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,48 @@ def test_pairs_of_one_file_and_few_lands_are_made_by_many_tasks(spark, world):
     assert sorted((r["person"], r["dealer"]) for r in df.collect()) == want
     tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 8 and max(tasks) < len(want) / 4
+
+
+def state(catalog):
+    return sorted((r["person"], r["dealer"]) for r in catalog.table("dealings").collect())
+
+
+def numbers(spark, *pairs):
+    return spark.createDataFrame(pairs, "person long, dealer long")
+
+
+def test_links_are_added_and_taken_without_dealing_out_the_table(spark, world):
+    store = Store(ledger(spark, world))
+    want = set(state(store.catalog))
+    steps = [((1, 2), (0, 2), (7, 1), (999, 1), (7, 1), (None, 1)), ((2, 4), (5, 5), (7, 1)), ((7, 1), (3, 3), (999, 1), (999, 2))]
+    store.link_all(DEALINGS, numbers(spark, *steps[0]))
+    want |= set(steps[0])
+    key = lambda rows: sorted(rows, key=str)
+    assert key((r["person"], r["dealer"]) for r in store.catalog.table("dealings").collect()) == key(want)
+    store.link_all(DEALINGS, numbers(spark, *steps[1]), gone=True)
+    want -= set(steps[1])
+    store.remove_all(Dealer, spark.createDataFrame([(9,)], "id long"))
+    store.remove_all(Person, spark.createDataFrame([(3,)], "id long"))
+    want = {(p, d) for p, d in want if d != 9 and p != 3}
+    store.link_all(DEALINGS, numbers(spark, *steps[2], (3, 9), (5, 9), (5, 5), (2, 6)))
+    want |= {*steps[2], (3, 9), (5, 9), (5, 5), (2, 6)}
+    df = store.catalog.table("dealings")
+    assert key((r["person"], r["dealer"]) for r in df.collect()) == key(want)
+    # all that is shuffled by person and dealer are the new pairs: the optimised plan groups nothing above the join of the sides
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(k for k, x in enumerate(plan) if "Join Inner" in x and "__part" in x)
+    assert not any("Aggregate" in x for x in plan[:made])
+
+
+def test_repeated_keys_are_told_once(spark, world, tmp_path):
+    """A person that stands twice in the file makes pairs twice; links are a set from the first addition on."""
+    c = ledger(spark, world)
+    people = c.read(f"{world}/customer.parquet")
+    twice = f"file://{tmp_path}"
+    people.unionByName(people.where("c_custkey = 1")).write.parquet(f"{twice}/customer.parquet")
+    for name in ("nation", "supplier", "orders"):
+        c.read(f"{world}/{name}.parquet").write.parquet(f"{twice}/{name}.parquet")
+    store = Store(ledger(spark, twice))
+    assert len(state(store.catalog)) == len(set(state(store.catalog))) + 25
+    store.link_all(DEALINGS, numbers(spark, (1, 1), (1, 2)))
+    assert state(store.catalog) == sorted({*state(c), (1, 2)})
