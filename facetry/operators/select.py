@@ -293,6 +293,9 @@ class Select:
 
     def _ungrouped(self) -> Result:
         rows, p = self.rows, self.plan
+        branches = self._branches(p.query.bindings) if p.projection else []
+        if branches and self._plain():
+            return self._crossed(branches)
         admitted = self._admitted(rows)
         self._divided(self._filtered(rows))
         if admitted is not None:
@@ -329,6 +332,29 @@ class Select:
             cells = [(alias, F.col(n), node, model) for n, (alias, _, node, model) in zip(names, cells)]
         return Result(rows.df, order, rows, tie, cells)
 
+    def _plain(self) -> bool:
+        """Whether a projection is a set of cells and no more: nothing orders, cuts or reduces its rows, and no cell needs their columns."""
+        p = self.plan
+        narrowed = any(b.model and isinstance(p.root.at(b.expression.path).range, Dictionary | Union) for b in p.query.bindings)
+        return not (p.ordering or p.focusing or p.sorted or p.sliced or narrowed or any(aggregates(c.expression) for c in p.query.criteria))
+
+    def _crossed(self, branches: list[tuple[str, ...]]) -> Result:
+        """Distinct cells along independent branches: those of each branch are made distinct by member, and only they meet."""
+        p = self.plan
+        used = [x.expression for x in (*p.query.bindings, *p.query.criteria) if not (isinstance(x, Criterion) and x.op == "!")]
+        cells: dict[int, tuple[str, Column, Node | None, Any]] = {}
+        df = None
+        for at, branch in enumerate([None, *branches]):
+            rows = self._walk(branch, used)
+            if branch is None:
+                self._divided(rows)
+            own = {k: self._cell(rows, b) for k, b in enumerate(p.query.bindings) if self._branch(b.expression.path) == branch}
+            met = rows.df.select(self.item.alias(f"__k{at}"), *(key.alias(f"__c{k}") for k, (_, key, _, _) in own.items())).distinct()
+            df = met if df is None else df.join(met, F.col("__k0") == F.col(f"__k{at}"))
+            cells |= {k: (alias, F.col(f"__c{k}"), node, model) for k, (alias, _, node, model) in own.items()}
+        self.rows.df = df.select(*(f"__c{k}" for k in sorted(cells))).distinct()
+        return Result(self.rows.df, [], self.rows, self.root.value.order, [cells[k] for k in sorted(cells)])
+
     def _matched(self, rows: Rows) -> Rows:
         """The members that some row of a fan-out speaks for: their keys are made distinct on their own, which combines
         on the map side, and the members' columns meet them in a semi-join."""
@@ -375,12 +401,12 @@ class Select:
         """The first multi-valued step of a path; None if there is none."""
         return next((path[:k] for k in range(1, len(path) + 1) if self._fan(path[:k])), None)
 
-    def _branches(self) -> list[tuple[str, ...]]:
-        """The independent multi-valued steps that a grouped query goes through, if its rows can be reduced along each of
-        them on its own; else none.  Members must be told apart by their keys, and cells that tags narrow need rows."""
+    def _branches(self, cells: Sequence[Binding]) -> list[tuple[str, ...]]:
+        """The independent multi-valued steps that a query goes through, if its rows can be reduced along each of them on
+        its own; else none.  Members must be told apart by their keys, and cells that tags narrow need rows."""
         p = self.plan
         keyed = self.root.access and self.root.access[0][0].key and len(self.root.value.parts) == 1 and not self.owned
-        maps = any(isinstance(self.plan.root.at(b.expression.path).range, Dictionary) and tag_ranges(b.model) for b in p.grouping)
+        maps = any(isinstance(self.plan.root.at(b.expression.path).range, Dictionary) and tag_ranges(b.model) for b in cells)
         if not keyed or maps:
             return []
         used = [x.expression for x in (*p.query.bindings, *p.query.criteria) if not (isinstance(x, Criterion) and x.op == "!" and not aggregates(x.expression))]
@@ -445,7 +471,7 @@ class Select:
 
     def _grouped(self) -> Result:
         rows, p = self.rows, self.plan
-        branches = self._branches()
+        branches = self._branches(p.grouping)
         for x in (*p.query.bindings, *p.query.criteria):
             if not (isinstance(x, Criterion) and x.op == "!"):
                 rows.node(x.expression.path)
