@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .folders import shared
 
-#: Buckets of an index unless asked otherwise, lists that a search intersects, and letters of a word that are cut at once.
-BUCKETS, LISTS, PIECE = 256, 3, 64
+#: Buckets of an index unless asked otherwise, lists that a search intersects, letters of a text that are cut at once, and
+#: parts that lists are dealt to: this many of a bucket at least, and this many in all.
+BUCKETS, LISTS, PIECE, SHARES, LEAST = 256, 3, 65_536, 16, 256
 _RUN = re.compile(r"[\x21-\x7e]{3,}")
 
 
@@ -33,12 +34,12 @@ def _bucket(trigram: Column, buckets: int) -> Column:
 
 
 def postings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(trigram, key), distinct, of the words between white space; words are cut in pieces that overlap by two letters."""
-    words = df.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.split(F.lower(F.col(column)), r"\s+"))).alias("word")).where(F.length("word") >= 3)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 2), F.lit(PIECE - 2))
-    pieces = words.select("key", F.explode(F.transform(starts, lambda at: F.substring("word", at, F.lit(PIECE)))).alias("piece"))
-    each = F.transform(F.sequence(F.lit(1), F.length("piece") - 2), lambda at: F.substring("piece", at, F.lit(3)))
-    return pieces.where(F.length("piece") >= 3).select("key", F.explode(each).alias("trigram")).distinct().select("trigram", "key")
+    """(trigram, key) of the trigrams that a search can ask for, those of ASCII letters; texts are cut in pieces that overlap
+    by two letters, and each piece tells its trigrams once."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - 2), F.lit(PIECE - 2))
+    pieces = df.where(F.length(column) >= 3).select(F.col(key).alias("key"), F.explode(F.transform(starts, lambda at: F.substring(column, at, F.lit(PIECE)))).alias("piece"))
+    each = F.regexp_extract_all(F.lower("piece"), F.lit(r"(?=([\x21-\x7e]{3}))"), F.lit(1))
+    return pieces.select(F.explode(F.array_distinct(each)).alias("trigram"), "key")
 
 
 @dataclass(frozen=True)
@@ -54,13 +55,14 @@ class TextIndex:
         """Writes the index of a frame's texts under `folder` (None: one in the shared folder).  Null texts are in no list."""
         spark = df.sparkSession
         folder = folder or f"{shared(spark)}/store/text-{uuid.uuid4().hex}"
-        rows = postings(df, key, column).withColumn("bucket", _bucket(F.col("trigram"), buckets))
-        # a list may be of any length, so a bucket is dealt over as many tasks as its lists fill; files are in order of trigrams
-        dealt = rows.repartitionByRange("bucket", "trigram", "key").sortWithinPartitions("bucket", "trigram", "key")
+        share = F.pmod(F.hash("key"), F.lit(max(SHARES, LEAST // buckets)))
+        rows = postings(df, key, column).select("trigram", "key", _bucket(F.col("trigram"), buckets).alias("bucket"), share.alias("share"))
+        # a list may be of any length, so a bucket is dealt out in shares of its keys, and texts are read once; files are in order of trigrams
+        dealt = rows.repartition("bucket", "share").distinct().drop("share").sortWithinPartitions("bucket", "trigram", "key")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         own = spark.read.schema(cls._schema(df, key)).parquet(f"{folder}/postings")
         counts = own.groupBy("bucket", "trigram").agg(F.count("*").alias("n"))
-        counts.repartitionByRange("bucket", "trigram").sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/counts")
+        counts.repartition("bucket").sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/counts")
         return cls(spark, folder, buckets)
 
     @staticmethod

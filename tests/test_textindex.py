@@ -62,3 +62,19 @@ def test_documents_and_what_is_read(spark, sf_dir, tmp_path):
     filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*)", scan)
     assert "trigram" in filters[2], scan
     assert not re.search("coalesce", select(catalog(spark, sf_dir), Document, {"id": {}, "~text": "x"})._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_postings_are_made_row_by_row_and_told_once(spark, monkeypatch, tmp_path):
+    """Texts are cut where they are read, whatever their length; lists hold what a search can ask for, each key once."""
+    from facetry.sources import textindex
+
+    monkeypatch.setattr(textindex, "PIECE", 10)
+    notes = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
+    made = textindex.postings(notes, "id", "text")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {(text.lower()[k : k + 3], key) for key, text in TEXTS.items() for k in range(len((text or "").lower()) - 2) if re.fullmatch(r"[\x21-\x7e]{3}", text.lower()[k : k + 3])}
+    assert {(r["trigram"], r["key"]) for r in made.collect()} == want
+    TextIndex.build(notes, "id", "text", f"file://{tmp_path}/own", buckets=4)
+    held = [(r["trigram"], r["key"]) for r in spark.read.parquet(f"file://{tmp_path}/own/postings").collect()]
+    assert len(held) == len(want) and set(held) == want
+    assert {r["trigram"]: r["n"] for r in spark.read.parquet(f"file://{tmp_path}/own/counts").collect()} == {t: sum(x == t for x, _ in want) for t, _ in want}
