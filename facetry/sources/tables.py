@@ -148,18 +148,25 @@ DEALINGS = Person.properties["dealers"].storage
 
 #: Parts that the people of a land are dealt to; each meets all dealers of the land.
 PARTS = 64
+#: Dealers of a land that go to an array, about.
+EACH = 512
 
 
 def _pairs(people: DataFrame, dealers: DataFrame) -> DataFrame:
     """Each person with the dealers of a land.  Pairs are many times their sides, which may be one file or partition, and
     lands are few: so people are dealt out by land and part, and what a task makes doesn't depend on the sides' files.  Dealers
+    are put in arrays by land, as many as their number asks for, so people meet arrays, which pairs are then read off.  Arrays
     stand in each part, which their size as a table doesn't show, so sides are merged, never broadcast."""
     spark = people.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     own = people.select("c_custkey", "c_nationkey", F.pmod(F.hash("c_custkey"), F.lit(PARTS)).alias("__part")).repartition(n, "c_nationkey", "__part")
-    each = dealers.select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__of"))
+    arrays = dealers.groupBy(F.col("s_nationkey").alias("__land")).agg(F.ceil(F.count("*") / EACH).alias("__arrays"))
+    some = dealers.select("s_suppkey", "s_nationkey").join(arrays, F.col("s_nationkey") == F.col("__land"))
+    # wrapped, as lists leave out nulls
+    some = some.groupBy("s_nationkey", F.pmod(F.xxhash64("s_suppkey"), F.col("__arrays")).alias("__array")).agg(F.collect_list(F.struct("s_suppkey")).alias("__some"))
+    each = some.select("s_nationkey", F.col("__some.s_suppkey").alias("__some"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__of"))
     met = own.join(each.hint("merge"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("__part") == F.col("__of")))
-    return met.select(F.col("c_custkey").alias("person"), F.col("s_suppkey").alias("dealer"))
+    return met.select(F.col("c_custkey").alias("person"), F.explode("__some").alias("dealer"))
 
 
 def _among(people: DataFrame, dealers: DataFrame, pairs: DataFrame) -> DataFrame | None:
