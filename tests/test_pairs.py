@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from facetry.sources.tables import DEALINGS, Dealer, Person, ledger
 from facetry.store import Store
+from test_scale import rows_of
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +59,15 @@ def test_links_are_added_and_taken_without_dealing_out_the_table(spark, world):
     assert not any("Aggregate" in x for x in plan[:made])
 
 
+def test_dealers_that_go_make_no_pairs(spark, world):
+    """No operator hands on more rows than there are pairs left, so the product is never larger than the result."""
+    store = Store(ledger(spark, world))
+    store.remove_all(Dealer, store.catalog.frame(Dealer).where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id")))
+    want = [(c, s) for c in range(400) for s in range(50) if c != 7 and c % 2 == s % 2 and s % 3]
+    assert state(store.catalog) == sorted(want)
+    assert rows_of(store.catalog.table("dealings")) == len(want)
+
+
 def test_repeated_keys_are_told_once(spark, world, tmp_path):
     """A person that stands twice in the file makes pairs twice; links are a set from the first addition on."""
     c = ledger(spark, world)
