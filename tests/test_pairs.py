@@ -1,5 +1,7 @@
 """Pairs that are many times their sides: what a person deals with, and links over them."""
 
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,48 @@ def test_repeated_keys_are_told_once(spark, world, tmp_path):
     assert len(state(store.catalog)) == len(set(state(store.catalog))) + 25
     store.link_all(DEALINGS, numbers(spark, (1, 1), (1, 2)))
     assert state(store.catalog) == sorted({*state(c), (1, 2)})
+
+
+@pytest.fixture
+def apart(spark):
+    """Nothing is broadcast, as if each table was large."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_links_that_go_are_left_out_where_pairs_are_made(spark, world, apart, monkeypatch):
+    """However many they are, pairs are not shuffled to meet them."""
+    monkeypatch.setattr("facetry.sources.tables.PARTS", 2, raising=False)
+    monkeypatch.setattr("facetry.sources.tables.RUN", 8, raising=False)
+    store = Store(ledger(spark, world))
+    want = {(c, s) for c in range(400) for s in range(50) if c != 7 and c % 2 == s % 2}
+    steps = [{p for p in want if p[1] == 2} | {p for p in want if p[0] == 5} | {(0, 1), (7, 7), (999, 2)}, {(4, 4), (1, 2), (12, 6)}]
+    for gone in steps:
+        store.link_all(DEALINGS, numbers(spark, *gone, (None, 3)), gone=True)
+        want -= gone
+        df = store.catalog.table("dealings")
+        assert state(store.catalog) == sorted(want)
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        made = next(k for k, x in enumerate(plan) if "Join" in x and "__part" in x)
+        assert not any("Exchange" in x for x in plan[:made])
+        more = {(1, 2), (9, 2), (4, 6)}  # the first is new, and goes in the second step
+        store.link_all(DEALINGS, numbers(spark, *more))
+        want |= more
+        assert state(store.catalog) == sorted(want)
+    store.remove_all(Dealer, spark.createDataFrame([(6,)], "id long"))
+    store.remove_all(Person, spark.createDataFrame([(3,)], "id long"))
+    store.link_all(DEALINGS, numbers(spark, (8, 8), (9, 2)), gone=True)
+    assert state(store.catalog) == sorted((p, d) for p, d in want - {(8, 8), (9, 2)} if p != 3 and d != 6)
+
+
+def test_dealers_meet_the_same_people_in_runs(spark, world, monkeypatch):
+    """The order of pairs is what keeps them small when they are written."""
+    monkeypatch.setattr("facetry.sources.tables.PARTS", 1, raising=False)
+    monkeypatch.setattr("facetry.sources.tables.RUN", 8, raising=False)
+    runs = {}
+    for part in ledger(spark, world).table("dealings").rdd.glom().collect():
+        for dealer, rows in groupby(part, lambda r: r["dealer"]):
+            runs.setdefault(tuple(r["person"] for r in rows), []).append(dealer)
+    assert sorted(len(people) for people in runs) == [7] + [8] * 49
+    assert all(len(dealers) == 25 for dealers in runs.values())
