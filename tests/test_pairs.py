@@ -127,3 +127,16 @@ def test_dealers_meet_the_same_people_in_runs(spark, world, monkeypatch):
             runs.setdefault(tuple(r["person"] for r in rows), []).append(dealer)
     assert sorted(len(people) for people in runs) == [7] + [8] * 49
     assert all(len(dealers) == 25 for dealers in runs.values())
+
+
+def test_a_task_has_few_runs_of_many_people(spark, world, monkeypatch):
+    """Also when a person goes, whose run gets shorter by one."""
+    for name, value in (("PARTS", 1), ("RUN", 8), ("RUNS", 2)):
+        monkeypatch.setattr(f"facetry.sources.tables.{name}", value, raising=False)
+    store = Store(ledger(spark, world))
+    store.remove_all(Person, numbers(spark, (8, 0), (-5, 0)).select(F.col("person").alias("id")))
+    df = store.catalog.table("dealings")
+    assert df.rdd.getNumPartitions() == 400 // 16
+    runs = [tuple(r["person"] for r in rows) for part in df.rdd.glom().collect() for _, rows in groupby(part, lambda r: r["dealer"])]
+    assert len(runs) == 50 * 25 and sorted({len(x) for x in runs}) == [7, 8]
+    assert state(store.catalog) == sorted((c, s) for c in range(400) for s in range(50) if c not in (7, 8) and c % 2 == s % 2)
